@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, fingerprint, langid, packing, sharding, toxicity
+from . import decontaminate, extract, fingerprint, langid, packing, repeats, sharding, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"), window=35).drop("kept")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -45,6 +49,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op4_toxicity, op5_language, op8_decontaminate, op9_sharding, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op4_toxicity, op5_language, op6_repeats, op8_decontaminate, op9_sharding, op10_fingerprint)}
 
 ORACLE: dict[str, str] = {}
