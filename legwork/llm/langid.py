@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_crc
+from .common import hashed_sample, slices, text_crc
 
 NEW = 1 << 30
 
@@ -146,8 +146,8 @@ def sample(docs: DataFrame, label: str, keep, texts: int, chars: int) -> dict[st
     """For each label up to ``texts`` texts by a hash of doc_id, first ``chars`` characters of each."""
     labelled = docs.where(keep & F.col(label).isNotNull() & F.col("text").isNotNull())
     out = {}
-    for (value,) in labelled.select(label).distinct().orderBy(label).collect():
-        rows = labelled.where(F.col(label) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts)
+    for value, total in labelled.groupBy(label).count().orderBy(label).collect():
+        rows = hashed_sample(labelled.where(F.col(label) == value), total, texts)
         out[value] = [r[0] for r in rows.select(F.substring("text", 1, chars)).collect()]
     return out
 

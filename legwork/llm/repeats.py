@@ -97,8 +97,9 @@ _powers = Powers()
 class Slice:
     """The words of a slice's texts end to end as 64-bit numbers, and where each text's begin."""
 
-    def __init__(self, batch):
-        body, begins = raw(batch.column("text"))
+    def __init__(self, column, fold: bytes | None = None):
+        body, begins = raw(column)
+        body = body.translate(fold) if fold else body
         letters = np.frombuffer(body, np.uint8)
         n = len(letters)
         inside = ~SPACE[letters]
@@ -140,7 +141,7 @@ def anchors(docs: DataFrame, block: int) -> tuple[np.ndarray, np.ndarray]:
 
     def blocks(batches):
         for batch in slices(batches):
-            part = Slice(batch)
+            part = Slice(batch.column("text"))
             hashes, ok = part.runs(block)
             at = np.sort(slots(hashes[ok & part.anchored(len(hashes), block)]))
             cuts = np.searchsorted(at, np.arange(PIECES + 1) * piece_slots)
@@ -197,7 +198,7 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     def probe(key, batches) -> pa.Table:
         found = [np.zeros(0, np.uint64)]
         for part in slices(batches, rows=1 << 20):
-            found.append(candidates(Slice(part), window, block, *tables.value)[1])
+            found.append(candidates(Slice(part.column("text")), window, block, *tables.value)[1])
         hashes, counts = np.unique(np.concatenate(found), return_counts=True)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -224,7 +225,7 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         repeated = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in right.column("hashes").to_pylist())]))
         total, removed, digest, kept = [], [], [], []
         for part in slices(left.to_batches(), rows=1 << 20):
-            cut = Slice(part)
+            cut = Slice(part.column("text"))
             place, hashes = candidates(cut, window, block, *tables.value)
             if len(repeated):
                 at = np.searchsorted(repeated, hashes)

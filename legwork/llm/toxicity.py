@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_crc
+from .common import hashed_sample, slices, text_crc
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 4, 8
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labelled: DataFrame, examples: int = 2000, terms: int
     totals = dict(labelled.groupBy("label").count().collect())
     picked = []
     for label in (0, 1):
-        picked += labelled.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
+        picked += hashed_sample(labelled.where(F.col("label") == label), totals.get(label, 0), examples).collect()
     if not picked:
         return None
     one = {r["doc_id"]: int(r["label"]) for r in picked}  # at most 2 * examples
