@@ -16,16 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by ``checkpoint()`` in the folder that the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (one machine, tests) a new temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; only where it is unset (one machine, tests) a new temporary one."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by ``checkpoint()`` in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

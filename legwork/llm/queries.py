@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, fingerprint, langid, neardup, packing, repeats, sharding, toxicity
+from . import decontaminate, extract, fingerprint, langid, neardup, packing, pii, repeats, sharding, toxicity
 from .common import table
 
 
@@ -41,6 +41,14 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"), window=35).drop("kept")
 
 
+#: Key of the pseudonyms in the query and the pipeline; a deployment passes its own.
+PII_KEY = "demonstration key"
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -53,6 +61,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op3_near_duplicates, op4_toxicity, op5_language, op6_repeats, op8_decontaminate, op9_sharding, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op3_near_duplicates, op4_toxicity, op5_language, op6_repeats, op7_pseudonyms, op8_decontaminate, op9_sharding, op10_fingerprint)}
 
 ORACLE: dict[str, str] = {}
