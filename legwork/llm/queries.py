@@ -61,6 +61,12 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op3_near_duplicates, op4_toxicity, op5_language, op6_repeats, op7_pseudonyms, op8_decontaminate, op9_sharding, op10_fingerprint)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op3_near_duplicates, op4_toxicity, op5_language, op6_repeats, op7_pseudonyms, op8_decontaminate, op9_sharding, op10_fingerprint, pipeline)}
 
 ORACLE: dict[str, str] = {}
