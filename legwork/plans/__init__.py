@@ -1,0 +1,17 @@
+"""All queries of the operators, by name, and their SQL."""
+
+from __future__ import annotations
+
+
+def _load():
+    from . import calendar_and_joins, registry
+
+    return registry
+
+
+def all_queries() -> dict:
+    return dict(_load().QUERIES)
+
+
+def all_oracles() -> dict:
+    return dict(_load().ORACLE)

@@ -1,0 +1 @@
+"""The operators are batch operators; publication lag is a batch notion (see operators.windows.publication_history)."""
