@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from .joins import asof
 
 
@@ -104,7 +105,7 @@ def islands(rows: DataFrame, keys: list[str], order: list, same: list[str]) -> D
 def merged(pairs: DataFrame, group: str, member: str) -> DataFrame:
     """group, label: groups that share members, directly or over others, get the least label.
 
-    Minimum labels run over members and groups until nothing changes; each round's labels are stored by checkpoint().
+    Minimum labels run over members and groups until nothing changes; each round's labels are written to the shared folder.
     Groups in a chain of length d need d rounds; chains within one day are short.
     """
     pairs = pairs.select(group, member).distinct()
@@ -118,16 +119,6 @@ def merged(pairs: DataFrame, group: str, member: str) -> DataFrame:
         labels = fresh.select(group, F.col("new").alias("label"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage in the folder of ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def conservation(rows: DataFrame, trip: list[str], order: list, load: str, on: str, off: str) -> DataFrame:
     """Residual next load - load - boardings + alightings along a trip (of the next stop)."""
     w = Window.partitionBy(*trip).orderBy(*order)

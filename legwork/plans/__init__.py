@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import calendar_and_joins, registry
+    from . import aggregates_and_decisions, calendar_and_joins, registry, windows_and_texts
 
     return registry
 
