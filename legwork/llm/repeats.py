@@ -4,14 +4,14 @@ A repeated run of ``window`` words holds, in either text, a whole block of
 ``block = (window + 1) // 2`` words that begins at a multiple of ``block``.
 
 1. Anchors: the hashes of all non-overlapping reference blocks. They are turned
-   into a bit table of fixed size (one bit for a hash; built piece by piece by
-   tasks, sent to the executors once; TABLE_BITS is all it ever takes).
+   into a bit table (three bits for a hash; built piece by piece by tasks, sent to
+   the executors once) of 24 bits or more a block, up to MAX_BITS in all.
 2. Probes: every rolling window of ``block`` words is looked up in the table. If a
    run of ``window`` words also stands elsewhere, a whole reference block of that
    other place lies in it: here a rolling window that hits, or a reference block
    too, so two bits are kept: seen, and seen more than once. Hits are extended to
    the runs of ``window`` words around them, whose 64-bit hashes travel, once for each group of documents, packed and sorted, to
-   the bucket of their leading bits. A table that fills up as the data outgrow it
+   their bucket. A table that fills up as the data outgrow it
    lets more windows through; the result is the same.
 3. A bucket finds the hashes that more than one group sent, or one group twice,
    and answers each group with those of its own.
@@ -40,8 +40,8 @@ from .common import raw, slices
 #: White space that parts words: a fixed value of the query's contract.
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-#: Size of the anchors' table: 2 bits for each of 2^26 places, 16 MB, whatever the data.
-TABLE_BITS = 26
+#: The anchors' two tables take 2^MAX_BITS bits each at most (64 MB), whatever the data.
+MAX_BITS = 29
 PIECES = 64
 #: Bytes of text in a group, and windows in a bucket, about.
 GROUP_BYTES, BUCKET_WINDOWS = 8 << 20, 1 << 21
@@ -131,52 +131,77 @@ class Slice:
         return place[:n] % size == 0
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+class Table:
+    """Bits set for hashes in pieces by their leading bits."""
 
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.size = 1 << bits - 6  # of a piece
 
-def anchors(docs: DataFrame, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit tables over all reference blocks: seen, and seen more than once (as far as slots tell)."""
-    piece_slots = (1 << TABLE_BITS) // PIECES
+    def places(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        """The k-th of three places of each hash within its piece."""
+        return (mixed(hashes + np.uint64(k) * MULTIPLIER) & np.uint64(self.size - 1)).astype(np.int64)
+
+    def held(self, table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Whether all three bits of each hash are set."""
+        piece = (hashes >> np.uint64(58)).astype(np.int64) * self.size
+        left = np.arange(len(hashes))
+        for k in range(3):
+            left = left[bit(table, piece[left] + self.places(hashes[left], k))]
+        out = np.zeros(len(hashes), bool)
+        out[left] = True
+        return out
+
+
+def bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def anchors(docs: DataFrame, block: int, size: int) -> tuple[Table, np.ndarray, np.ndarray]:
+    """Bit tables over all reference blocks of texts of about ``size`` bytes: seen, and seen more than once."""
+    table = Table(min(MAX_BITS, max(20, int(size / (6 * block) * 24).bit_length())))
 
     def blocks(batches):
         for batch in slices(batches):
             part = Slice(batch.column("text"))
             hashes, ok = part.runs(block)
-            at = np.sort(slots(hashes[ok & part.anchored(len(hashes), block)]))
-            cuts = np.searchsorted(at, np.arange(PIECES + 1) * piece_slots)
-            rows = [(k, at[cuts[k] : cuts[k + 1]] - k * piece_slots) for k in range(PIECES) if cuts[k + 1] > cuts[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([s.astype(np.uint32).tobytes() for _, s in rows], pa.binary())], ["piece", "slots"])
+            found = np.sort(hashes[ok & part.anchored(len(hashes), block)])
+            cuts = np.searchsorted(found >> np.uint64(58), np.arange(PIECES + 1, dtype=np.uint64))
+            some = [k for k in range(PIECES) if cuts[k + 1] > cuts[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([found[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], ["piece", "hashes"])
 
-    def table(batches):
-        held: dict[int, np.ndarray] = {}
+    def fill(batches):
+        pieces: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, s in zip(batch.column("piece").to_pylist(), batch.column("slots").to_pylist(), strict=True):
-                bits = held.setdefault(k, np.zeros((2, piece_slots), bool))
-                s = np.frombuffer(s, np.uint32)
-                again = np.concatenate((s[1:] == s[:-1], [False]))
-                bits[1, s[bits[0, s] | again]] = True
-                bits[0, s] = True
-        keys = sorted(held)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([np.packbits(held[k][i]).tobytes() for k in keys], pa.binary()) for i in (0, 1))], ["piece", "seen", "twice"])
-
-    packed = docs.select("text").mapInArrow(blocks, "piece int, slots binary").repartition(PIECES, "piece").mapInArrow(table, "piece int, seen binary, twice binary")
-    seen, twice = (np.zeros((PIECES, piece_slots // 8), np.uint8) for _ in range(2))
-    for row in packed.collect():  # 2^TABLE_BITS times 2 bits in all
+            for k, h in zip(batch.column("piece").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                bits = pieces.setdefault(k, np.zeros((2, table.size), bool))
+                h = np.frombuffer(h, np.uint64)
+                at = [table.places(h, i) for i in range(3)]
+                again = bits[0, at[0]] & bits[0, at[1]] & bits[0, at[2]]
+                again[1:] |= h[1:] == h[:-1]
+                for a in at:
+                    bits[1, a[again]] = True
+                for a in at:
+                    bits[0, a] = True
+        keys = sorted(pieces)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([np.packbits(pieces[k][i]).tobytes() for k in keys], pa.binary()) for i in (0, 1))], ["piece", "seen", "twice"])
+
+    packed = docs.select("text").mapInArrow(blocks, "piece int, hashes binary").repartition(PIECES, "piece").mapInArrow(fill, "piece int, seen binary, twice binary")
+    seen, twice = (np.zeros((PIECES, table.size // 8), np.uint8) for _ in range(2))
+    for row in packed.toLocalIterator():  # 2^MAX_BITS times 2 bits at most in all
         seen[row["piece"]] |= np.frombuffer(row["seen"], np.uint8)
         twice[row["piece"]] |= np.frombuffer(row["twice"], np.uint8)
-    return seen.ravel(), twice.ravel()
-
-
-def bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return table, seen.ravel(), twice.ravel()
 
 
-def candidates(part: Slice, window: int, block: int, seen: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(part: Slice, window: int, block: int, table: Table, seen: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (in the slice) and hashes of the windows of ``window`` words that hold an anchor hit."""
     short, fits = part.runs(block)
-    at, own = slots(short), part.anchored(len(short), block)
-    hit = fits & np.where(own, bit(twice, at), bit(seen, at))
+    own = part.anchored(len(short), block)
+    hit = np.zeros(len(short), bool)
+    for bits, some in ((twice, fits & own), (seen, fits & ~own)):
+        at = np.flatnonzero(some)
+        hit[at] = table.held(bits, short[at])
     hashes, fits = part.runs(window)
     sums = np.concatenate(([0], np.cumsum(hit)))
     n = len(hashes)
@@ -190,8 +215,8 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     spark = docs.sparkSession
     block = (window + 1) // 2
     docs = docs.select("doc_id", "text")
-    tables = spark.sparkContext.broadcast(anchors(docs, block))
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    tables = spark.sparkContext.broadcast(anchors(docs, block, size))
     groups, buckets = max(4, -(-size // GROUP_BYTES)), max(4, -(-size // (6 * BUCKET_WINDOWS)))
     dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text")), F.lit(groups)))
 
