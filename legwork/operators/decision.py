@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import confusion, pr_curve
 
-one = F.lit(1)
+one = "*"
 
 
 def trips(legs: DataFrame, trip: list[str], pred: str, load: str, booked: str | None = None, threshold: float = 63.0) -> DataFrame:

@@ -11,7 +11,8 @@ from ..operators import decision, inference, joins, quality, windows
 from .calendar_and_joins import dated_orders
 from .registry import query
 
-n = F.count(F.lit(1)).alias("n")
+def n():
+    return F.count("*").alias("n")
 
 TRIPS = """
 legs as (select o_orderdate::date as day, l_orderkey as trip, o_orderpriority as pri, o_orderstatus as st, l_extendedprice / 1000 as pred, l_quantity * 2 as load, l_discount * 1000 as booked from lineitem join orders on l_orderkey = o_orderkey),
@@ -32,7 +33,7 @@ def trip_rows(t):
 @query(f"""with {TRIPS} select case when load >= 166 then 'high' when load >= 94 then 'mid' when load >= 63 then 'low' end as band, label, count(*) as n, sum(legs)::bigint as legs, round(avg(score), 4) as score from trips group by all""")
 def q_trip_agg(t):
     band = casts.band(F.col("load"), [63, 94, 166], ["low", "mid", "high"])
-    return trip_rows(t).groupBy(band.alias("band"), "label").agg(n, F.sum("legs").alias("legs"), F.round(F.avg("score"), 4).alias("score"))
+    return trip_rows(t).groupBy(band.alias("band"), "label").agg(n(), F.sum("legs").alias("legs"), F.round(F.avg("score"), 4).alias("score"))
 
 
 @query("""
@@ -161,11 +162,11 @@ select pri, count(*) as n, count(*) filter (reco) as policy, count(*) filter (un
 def q_policy_by_type(t):
     """A threshold for each class, joined as a small table."""
     rows = trip_rows(t).withColumn("s", F.floor("score"))
-    cal = rows.where(F.year("day") == 1997).groupBy("pri", "s").agg(n)
+    cal = rows.where(F.year("day") == 1997).groupBy("pri", "s").agg(n())
     down = Window.partitionBy("pri").orderBy(F.desc("s"))
     th = cal.withColumn("n", F.sum("n").over(down)).where("n >= 30").groupBy("pri").agg(F.max("s").alias("threshold"))
     j = rows.where(F.year("day") == 1998).join(joins.small(th), "pri").withColumns({"reco": F.col("s") >= F.col("threshold"), "uniform": F.col("s") >= 85})
-    return j.groupBy("pri").agg(n, F.count_if("reco").alias("policy"), F.count_if("uniform").alias("uniform"), F.count_if(F.col("reco") & F.col("label")).alias("hits"), F.count_if(F.col("reco") & ~F.col("uniform")).alias("only_policy"), F.count_if(F.col("reco") & F.col("uniform")).alias("both"))
+    return j.groupBy("pri").agg(n(), F.count_if("reco").alias("policy"), F.count_if("uniform").alias("uniform"), F.count_if(F.col("reco") & F.col("label")).alias("hits"), F.count_if(F.col("reco") & ~F.col("uniform")).alias("only_policy"), F.count_if(F.col("reco") & F.col("uniform")).alias("both"))
 
 
 @query("""
@@ -174,7 +175,7 @@ from lineitem group by l_linenumber
 """)
 def q_profile_percentiles(t):
     p = [F.round(c, 4).alias(k) for c, k in zip(agg.percentiles("l_extendedprice"), ("p50", "p90", "p95", "p99"), strict=True)]
-    return t.lineitem.groupBy("l_linenumber").agg(n, F.round(F.avg("l_quantity"), 5).alias("mean"), F.round(F.stddev_pop("l_extendedprice"), 3).alias("std"), *p, F.max("l_extendedprice").alias("most"))
+    return t.lineitem.groupBy("l_linenumber").agg(n(), F.round(F.avg("l_quantity"), 5).alias("mean"), F.round(F.stddev_pop("l_extendedprice"), 3).alias("std"), *p, F.max("l_extendedprice").alias("most"))
 
 
 @query("""
@@ -209,7 +210,7 @@ def q_vintage_corr(t):
     total = lambda c: F.sum(F.when(c, F.round(F.col("l_discount") * 100).cast("bigint")))
     p = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey").groupBy("l_partkey").agg(total(y <= 1997).alias("a"), total(y > 1997).alias("b"), F.count(F.lit(1)).alias("w")).where("a is not null and b is not null")
     r = p.withColumn("g", F.lit(0)).withColumns({"ra": agg.midranks(p, ["g"], "a"), "rb": agg.midranks(p, ["g"], "b")})
-    return r.agg(n, F.round(F.corr("ra", "rb"), 6).alias("spearman"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mae"), F.round(agg.weighted_corr(F.col("a"), F.col("b"), F.col("w")), 5).alias("weighted"))
+    return r.agg(n(), F.round(F.corr("ra", "rb"), 6).alias("spearman"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mae"), F.round(agg.weighted_corr(F.col("a"), F.col("b"), F.col("w")), 5).alias("weighted"))
 
 
 @query("""
@@ -246,7 +247,7 @@ select round(pow(greatest(abs(b_ - c_) - 1, 0), 2) / (b_ + c_), 4) as mcnemar, r
 """)
 def q_mcnemar(t):
     a, b = F.col("o_totalprice") > 250000, F.col("o_custkey") % 3 != 0
-    c = t.orders.agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"), F.count_if(a).alias("x1"), F.count_if(b).alias("x2"), n)
+    c = t.orders.agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"), F.count_if(a).alias("x1"), F.count_if(b).alias("x2"), n())
     z, h = inference.two_proportions(F.col("x1"), F.col("n"), F.col("x2"), F.col("n"))
     return c.select(F.round(inference.mcnemar(F.col("b"), F.col("c")), 4).alias("mcnemar"), F.round(z, 5).alias("z"), F.round(h, 6).alias("h"))
 
@@ -282,7 +283,7 @@ select month, st, n, round(rate, 6) as rate, round(rate / (sum(rate * n) over ()
 """)
 def q_rate_lift(t):
     over = F.col("o_totalprice") > 400000
-    r = t.orders.groupBy(F.month("o_orderdate").alias("month"), F.col("o_orderstatus").alias("st")).agg(n, F.avg(over.cast("double")).alias("rate"), F.round(F.avg(F.when(over, F.col("o_totalprice") - 400000)), 3).alias("excess"))
+    r = t.orders.groupBy(F.month("o_orderdate").alias("month"), F.col("o_orderstatus").alias("st")).agg(n(), F.avg(over.cast("double")).alias("rate"), F.round(F.avg(F.when(over, F.col("o_totalprice") - 400000)), 3).alias("excess"))
     total = t.orders.agg(F.avg(over.cast("double")).alias("all"))
     return r.crossJoin(F.broadcast(total)).select("month", "st", "n", F.round("rate", 6).alias("rate"), F.round(F.col("rate") / F.col("all"), 5).alias("lift"), "excess")  # one row
 
@@ -294,7 +295,7 @@ select band, y, count(*) as n, round(quantile_cont(ex, 0.5), 4) as p50, round(qu
 def q_severity(t):
     b = trip_rows(t).where("load >= 63").select(casts.band(F.col("load"), [63, 80, 94], ["63", "80", "94"]).alias("band"), F.year("day").alias("y"), (F.col("load") - 63).alias("ex"), (F.col("booked") > 90).alias("bk"), (F.col("score") - F.col("load")).alias("res"))
     p = [F.round(F.percentile("ex", F.lit(q)), 4).alias(k) for q, k in ((0.5, "p50"), (0.9, "p90"))]
-    return b.groupBy("band", "y").agg(n, *p, F.round(F.avg(F.col("bk").cast("double")), 6).alias("booked"), F.round(F.avg("res"), 4).alias("bias"), F.round(F.avg(F.abs("res")), 4).alias("mae"))
+    return b.groupBy("band", "y").agg(n(), *p, F.round(F.avg(F.col("bk").cast("double")), 6).alias("booked"), F.round(F.avg("res"), 4).alias("bias"), F.round(F.avg(F.abs("res")), 4).alias("mae"))
 
 
 @query("""
@@ -332,7 +333,7 @@ def q_calendar_similarity(t):
     d = t.events.groupBy(F.to_date("ts").alias("day")).agg((count("error") % 2 == 0).alias("a"), (count("signup") % 3 > 0).alias("b"))
     d = d.withColumn("days", F.explode(F.when(F.weekday("day") < 5, F.array(F.lit("all"), F.lit("weekdays"))).otherwise(F.array(F.lit("all")))))
     jac = F.try_divide(F.count_if(F.col("a") & F.col("b")).cast("double"), F.count_if(F.col("a") | F.col("b")))
-    return d.groupBy("days").agg(F.round(F.corr(F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("phi"), F.round(jac, 6).alias("jaccard"), n)
+    return d.groupBy("days").agg(F.round(F.corr(F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("phi"), F.round(jac, 6).alias("jaccard"), n())
 
 
 @query("""
@@ -354,7 +355,7 @@ def q_line_profile(t):
     runs = t.lineitem.groupBy(F.col("l_suppkey").alias("s"), F.to_date("l_shipdate").alias("day")).agg(F.count_distinct("l_orderkey").alias("runs"))
     freq = runs.groupBy("s").agg(F.round(F.avg("runs"), 1).alias("freq"), F.count(F.lit(1)).alias("days"))
     p = t.lineitem.groupBy(F.col("l_suppkey").alias("s")).agg(
-        F.min("l_quantity").alias("nearest"), F.count_if(F.col("l_quantity") < 5).alias("near_hub"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("names"), n, F.round(F.avg(F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice"))), 4).alias("centre"), (F.count_if(F.col("l_tax") > 0.06) / F.count(F.lit(1)) > 0.2).alias("doubtful")
+        F.min("l_quantity").alias("nearest"), F.count_if(F.col("l_quantity") < 5).alias("near_hub"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("names"), n(), F.round(F.avg(F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice"))), 4).alias("centre"), (F.count_if(F.col("l_tax") > 0.06) / F.count(F.lit(1)) > 0.2).alias("doubtful")
     )
     return p.join(freq, "s")
 
@@ -389,9 +390,9 @@ with c as (select o_custkey, count(*) as n, round(median(o_totalprice), 3) as me
 select * from c order by n desc, o_custkey limit 10
 """)
 def q_top_services(t):
-    c = t.orders.groupBy("o_custkey").agg(n).orderBy(F.desc("n"), "o_custkey").limit(10)  # the report's ten, then their profile
+    c = t.orders.groupBy("o_custkey").agg(n()).orderBy(F.desc("n"), "o_custkey").limit(10)  # the report's ten, then their profile
     p = t.orders.join(F.broadcast(c.select("o_custkey")), "o_custkey").groupBy("o_custkey").agg(
-        n, F.round(F.percentile("o_totalprice", F.lit(0.5)), 3).alias("med"), F.round(F.percentile("o_totalprice", F.lit(0.9)), 3).alias("p90"), *(F.round(F.avg((F.col("o_totalprice") > v).cast("double")), 6).alias(k) for v, k in ((300000, "over_a"), (400000, "over_b")))
+        n(), F.round(F.percentile("o_totalprice", F.lit(0.5)), 3).alias("med"), F.round(F.percentile("o_totalprice", F.lit(0.9)), 3).alias("p90"), *(F.round(F.avg((F.col("o_totalprice") > v).cast("double")), 6).alias(k) for v, k in ((300000, "over_a"), (400000, "over_b")))
     )
     return p
 
@@ -426,7 +427,7 @@ select band, count(*) as n, count(*) filter (label) as labels, count(*) filter (
 def q_bands_recall(t):
     a, b, l = F.col("score") > 80, F.col("booked") > 90, F.col("label")  # noqa: E741
     band = F.coalesce(casts.band(F.col("load"), [90, 96], ["90", "96"]), F.lit("less"))
-    out = trip_rows(t).groupBy(band.alias("band")).agg(n, F.count_if(l).alias("labels"), F.count_if(l & a).alias("by_score"), F.count_if(l & b).alias("by_floor"), F.count_if(l & a & b).alias("by_both"), F.count_if(l & ~a & ~b).alias("missed"), F.round(F.try_divide(F.count_if(l & (a | b)).cast("double"), F.count_if(l)), 6).alias("recall"))
+    out = trip_rows(t).groupBy(band.alias("band")).agg(n(), F.count_if(l).alias("labels"), F.count_if(l & a).alias("by_score"), F.count_if(l & b).alias("by_floor"), F.count_if(l & a & b).alias("by_both"), F.count_if(l & ~a & ~b).alias("missed"), F.round(F.try_divide(F.count_if(l & (a | b)).cast("double"), F.count_if(l)), 6).alias("recall"))
     return out
 
 
@@ -487,7 +488,7 @@ select year(o_orderdate)::int as y, count(*) as n, count(tr.o_custkey) as known,
 def q_known_strata(t):
     o = t.orders.select("o_custkey", "o_totalprice", F.year("o_orderdate").alias("y"))
     known = o.where("y <= 1996 and o_totalprice > 300000").select("o_custkey").distinct().withColumn("known", F.lit(1))
-    return o.where("y > 1996").join(known, "o_custkey", "left").groupBy("y").agg(n, F.count("known").alias("known"), F.count_if(F.col("known").isNull()).alias("renumbered"), F.round(F.avg(F.when(F.col("known") == 1, F.col("o_totalprice"))), 3).alias("mean_known"))
+    return o.where("y > 1996").join(known, "o_custkey", "left").groupBy("y").agg(n(), F.count("known").alias("known"), F.count_if(F.col("known").isNull()).alias("renumbered"), F.round(F.avg(F.when(F.col("known") == 1, F.col("o_totalprice"))), 3).alias("mean_known"))
 
 
 @query()
@@ -523,4 +524,4 @@ def q_scan_union(t):
     folder = f"{shared_folder(t.spark)}/landed-{uuid.uuid4().hex}"
     landed = land(t.orders.withColumn("year", F.year("o_orderdate")), folder, F.col("o_orderkey").isNotNull(), "year")
     lineage = landed.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"year=(\d+)", 1))
-    return lineage.groupBy("year").agg(n, F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("o_orderkey").alias("keys"), F.count_distinct("file").alias("sources"))
+    return lineage.groupBy("year").agg(n(), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("o_orderkey").alias("keys"), F.count_distinct("file").alias("sources"))

@@ -10,7 +10,8 @@ from ..operators import joins, topology, windows
 from .calendar_and_joins import DAYS, calendar, dated_orders
 from .registry import query
 
-n = F.count(F.lit(1)).alias("n")
+def n():
+    return F.count("*").alias("n")
 
 
 @query("""
@@ -22,7 +23,7 @@ def q_legs(t):
 
     e = t.events.withColumn("day", F.to_date("ts"))
     out = windows.legs(e, ["user_id", "day"], "ts", ["event_type"])
-    return out.groupBy(F.col("event_type").alias("leg_from"), F.col("next_event_type").alias("leg_to"), direction(F.col("event_id")).alias("direction")).agg(n)
+    return out.groupBy(F.col("event_type").alias("leg_from"), F.col("next_event_type").alias("leg_to"), direction(F.col("event_id")).alias("direction")).agg(n())
 
 
 @query("""
@@ -116,7 +117,7 @@ select user_id, day, island::bigint as island, event_type, min(ts) as first_ts,
 def q_blocks(t):
     e = t.events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_type")
     marked = windows.islands(e, ["user_id", "day"], ["ts"], ["event_type"])
-    return marked.groupBy("user_id", "day", "island", "event_type").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), n)
+    return marked.groupBy("user_id", "day", "island", "event_type").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), n())
 
 
 @query("""
@@ -191,8 +192,8 @@ def q_path_explode(t):
     lines = grid.groupBy("y").agg(F.array_sort(F.collect_list("s")).alias("stations"))  # at most 20 stations each
     p = t.orders.select("o_orderkey", F.year("o_orderdate").alias("y"), (F.col("o_custkey") % 22).cast("int").alias("a"), (F.col("o_orderkey") % 20).cast("int").alias("b"))
     legs, orphans = topology.path_legs(p, lines, "y", "a", "b")
-    good = legs.groupBy(F.lit("leg").alias("kind"), "y", F.col("leg_from").cast("string").alias("la"), F.col("leg_to").cast("string").alias("lb")).agg(n).withColumnsRenamed({"la": "a", "lb": "b"})
-    bad = orphans.groupBy(F.col("reason").alias("kind"), "y").agg(n).withColumns({"a": F.lit(None).cast("string"), "b": F.lit(None).cast("string")})
+    good = legs.groupBy(F.lit("leg").alias("kind"), "y", F.col("leg_from").cast("string").alias("la"), F.col("leg_to").cast("string").alias("lb")).agg(n()).withColumnsRenamed({"la": "a", "lb": "b"})
+    bad = orphans.groupBy(F.col("reason").alias("kind"), "y").agg(n()).withColumns({"a": F.lit(None).cast("string"), "b": F.lit(None).cast("string")})
     return good.unionByName(bad)
 
 
@@ -230,7 +231,7 @@ from (select *, case when text like '%@%' then 'mail' when regexp_matches(text,
 def q_text_flags(t):
     fam = text.last_rule(F.col("text"), [("(?i)licen[sc]e", "licence"), ("(?i)token", "secret"), ("@", "mail")], "other")
     d = t.documents.select("lang", "text", fam.alias("fam"))
-    return d.groupBy("lang").agg(n, F.count_if(text.has_any(["license", "token", "mail"], F.col("text"))).alias("flagged"), *(F.count_if(F.col("fam") == f).alias(f) for f in ("secret", "licence", "mail", "other")))
+    return d.groupBy("lang").agg(n(), F.count_if(text.has_any(["license", "token", "mail"], F.col("text"))).alias("flagged"), *(F.count_if(F.col("fam") == f).alias(f) for f in ("secret", "licence", "mail", "other")))
 
 
 @query("""
@@ -251,7 +252,7 @@ def q_event_lines(t):
     end = F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 5).cast("int"))
     line = F.concat(F.when(F.col("o_orderkey") % 17 == 0, "annulé ").otherwise(""), F.date_format("o_orderdate", "d.M.yyyy"), F.lit(" - "), F.date_format(end, "d.M.yyyy"), F.lit(" Fair "), (F.col("o_custkey") % 7).cast("string"), F.lit(", Town "), (F.col("o_custkey") % 3).cast("string"))
     out = text.event_lines(t.orders.select(line.alias("line")))
-    return out.groupBy("name", "place").agg(n, F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.sum(F.datediff("end", "start")).alias("extra_days"))
+    return out.groupBy("name", "place").agg(n(), F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.sum(F.datediff("end", "start")).alias("extra_days"))
 
 
 @query("""
@@ -269,7 +270,7 @@ def q_note_dates(t):
     span = (F.col("o_orderkey") % 3 == 0) & (F.dayofmonth(nxt) != 1) & ~((F.month(d) == 12) & (F.dayofmonth(d) == 14)) & ~((F.month(d) == 2) & (F.dayofmonth(d) == 28))
     note = F.concat(F.lit("runs "), F.date_format(d, "d.M"), F.when(span, F.concat(F.lit(" - "), F.date_format(nxt, "d.M"))).otherwise(""), F.lit(" only"))
     k = t.orders.where(~((F.month(d) == 2) & (F.dayofmonth(d) == 29))).select("o_orderkey", start.alias("start"), end.alias("end"), note.alias("text"))
-    return text.note_days(k, "o_orderkey").groupBy("day").agg(n)
+    return text.note_days(k, "o_orderkey").groupBy("day").agg(n())
 
 
 @query("""
