@@ -1,0 +1,502 @@
+"""The ten operators against brute force, on the smallest tables and on odd input."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from legwork.llm import decontaminate, extract, fingerprint, langid, neardup, packing, pii, repeats, sharding, toxicity
+from legwork.llm.queries import tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, shard string, cell long, node long"
+
+
+def odd(spark, rows):
+    """Documents with columns whose names the operators use too."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t) if t else 0, 1.0, "x", 5, 7) for i, t in rows], DOC)
+
+
+ODD = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "a text without id"), (5, "x " * 3000), (6, " \t\n "), (7, "Äpfel und Birnen \x1c kaum")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    t = pq.read_table(f"{SF}/documents.parquet")
+    return dict(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
+
+
+def test_extraction_of_the_pages(spark, rows):
+    got = extract.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    texts = {" ".join(t.split()) for t in rows.values()}
+    assert len(got) == 50
+    for r in got:
+        assert r["n_chars"] == len(r["text"])
+        lines = r["text"].split("\n")
+        assert " ".join("\n".join(lines[1:]).split()) in texts or " ".join(r["text"].split()) in texts
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<nav>a b</nav>", ""),
+        ("<article><h1>T</h1><p>One,  two &amp; three.<p>Four.</article><footer>f</footer>", "T\nOne, two & three.\nFour."),
+        ("<main><p>A <b>bold</b>\n word.</p><script>x</script><!-- no --><div class='ad'>buy</div><p>End.</p></main>", "A bold word.\nEnd."),
+        ("<body><div class=sidebar><p>Side, text, here.</p></div><div><p>Long text, with marks, and more of it.</p><p>Second long text, also with marks.</p></div>", "Long text, with marks, and more of it.\nSecond long text, also with marks."),
+        ("<article><p>Cut off in the mid", "Cut off in the mid"),
+        ("<article><p>Said.</p><section class='comments'><p>Reader says, hello.</p></section><form>Name</form></article>", "Said."),
+    ],
+)
+def test_extraction_of_small_pages(page, text):
+    assert extract.main_text(page) == text
+
+
+def test_extraction_of_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<p>Hi, there.</p>")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"]) for r in extract.extract(pages).collect()) == [(1, ""), (1, ""), (2, "Hi, there.")]
+    assert extract.extract(pages.limit(0)).count() == 0
+
+
+def encoded(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    return [[*e.ids, 0] for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def check_packing(got, ids, capacity):
+    pieces = collections.defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append(r)
+    for i, ids_ in ids.items():
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r["piece"]):
+            own = np.array(ids_[at : at + capacity], "<u4")
+            assert (r["start"], r["length"], r["ids_crc32"]) == (at, len(own), zlib.crc32(own.tobytes()))
+            at += len(own)
+        assert at == len(ids_)
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins)
+
+
+def test_packing(spark, docs, rows):
+    got = packing.pack(docs, tokenizer_path(), 2048).collect()
+    ids = dict(zip(rows, encoded(list(rows.values())), strict=True))
+    bins = check_packing(got, ids, 2048)
+    assert bins <= -(-sum(map(len, ids.values())) // 2048) + 1
+
+
+def test_packing_of_odd_tables(spark):
+    frame = odd(spark, [r for r in ODD if r[0] not in (None, 3)])
+    got = packing.pack(frame, tokenizer_path(), 256).collect()
+    check_packing(got, {i: e for (i, _), e in zip(((r["doc_id"], 0) for r in frame.collect()), encoded([r["text"] or "" for r in frame.collect()]), strict=True)}, 256)
+    assert packing.pack(odd(spark, ODD), tokenizer_path(), 256).where("doc_id = 3 or doc_id is null").count() == 3
+    assert packing.pack(frame.limit(0), tokenizer_path(), 256).count() == 0
+
+
+def test_minimum_slack_fills_bins():
+    plan = packing.minimum_slack({7: 3, 5: 3, 3: 3, 2: 3}, 10)
+    assert all(sum(b) <= 10 for _, b in plan)
+    used = collections.Counter()
+    for times, b in plan:
+        for x in b:
+            used[x] += times
+    assert used == {7: 3, 5: 3, 3: 3, 2: 3}
+    assert sum(t for t, _ in plan) == 6  # 51 tokens
+    assert packing.fullest([9, 6, 5, 4], {9: 1, 6: 1, 5: 2, 4: 1}, 11) in ([6, 5], [5, 6])
+
+
+def shingle_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = t.encode().translate(neardup.LOWER).split()
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def true_classes(texts):
+    sets, parent = shingle_sets(texts), {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = list(texts)
+    for a, i in enumerate(ids):
+        for j in ids[:a]:
+            both = len(sets[i] & sets[j])
+            if texts[i] == texts[j] or both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    out = collections.defaultdict(set)
+    for i in ids:
+        out[find(i)].add(i)
+    return {frozenset(x) for x in out.values()}
+
+
+def got_classes(got):
+    out = collections.defaultdict(set)
+    for r in got:
+        out[r["class_id"]].add(r["doc_id"])
+    return {frozenset(x) for x in out.values()}
+
+
+def edited(texts):
+    """The texts and near copies of some of them: words dropped or changed."""
+    out = dict(texts)
+    for n, (i, t) in enumerate(list(texts.items())[:40]):
+        w = t.split()
+        if len(w) > 60:
+            w[len(w) // 2] = "changed"
+            out[10_000 + n] = " ".join(w)
+            out[20_000 + n] = " ".join(w[:-2])
+    return out
+
+
+def test_near_duplicates(spark, rows):
+    texts = edited(rows)
+    frame = odd(spark, texts.items())
+    assert got_classes(neardup.classes(frame).collect()) == true_classes(texts)
+    kept = neardup.distinct(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(c) for c in true_classes(texts))
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    frame = odd(spark, ODD)
+    got = neardup.classes(frame).collect()
+    assert len(got) == len(ODD)
+    assert len({r["class_id"] for r in got}) == 6  # null and "" are one text, the two equal rows another
+    assert neardup.distinct(frame).count() == 6
+    assert neardup.classes(frame.limit(0)).count() == 0
+    assert neardup.distinct(frame.limit(0)).count() == 0
+
+
+def test_dart_signatures_estimate_weighted_similarity():
+    rng = np.random.RandomState(1)
+    darts = neardup.Darts(512)
+    a, b = rng.randint(1, 4, 300), rng.randint(1, 4, 300)
+    truth = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    name = np.array([int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8).digest(), "little") for i in range(300)], np.uint64)
+    got = []
+    for w in (a, b):
+        shingles = np.repeat(name, w)
+        cells = neardup.counted(np.zeros(len(shingles), np.int64), shingles)
+        got.append(darts.throw(np.zeros(len(cells), np.int64), cells, np.ones(len(cells)), 1)[0])
+    assert abs((got[0] == got[1]).mean() - truth) < 0.09
+    half = darts.throw(np.zeros(300, np.int64), name, np.full(300, 0.5), 1)[0]
+    full = darts.throw(np.zeros(300, np.int64), name, np.ones(300), 1)[0]
+    assert abs((half == full).mean() - 0.5) < 0.09
+
+
+def test_toxicity(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(got) == 200
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for i, r in got.items())
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["score"] < 0.7}
+
+
+def test_toxicity_held_out(spark):
+    """Held-out ranking on a larger table."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+    bad, good = [r["score"] for r in got if r["toxic"]], [r["score"] for r in got if not r["toxic"]]
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert auc > 0.8
+
+
+def test_nearest_examples_are_exact():
+    rng = np.random.RandomState(3)
+    vectors = [{int(t): int(rng.randint(1, 4)) for t in rng.choice(40, rng.randint(0, 8), replace=False)} for _ in range(200)]
+    labels = [int(x) for x in rng.randint(0, 2, 200)]
+    idf = rng.rand(40) + 1
+    index = toxicity.Index(vectors, labels, list(range(200)), idf, np.ones(2), 7, 16)
+
+    def cosine(a, b):
+        va = {t: (1 + np.log(n)) * idf[t] for t, n in a.items()}
+        vb = {t: (1 + np.log(n)) * idf[t] for t, n in b.items()}
+        dot = sum(va[t] * vb[t] for t in va if t in vb)
+        return dot / np.sqrt(sum(x * x for x in va.values()) * sum(x * x for x in vb.values())) if dot else 0.0
+
+    for q in vectors[:50]:
+        if q:
+            got = index.nearest(q)[1]
+            want = sorted((s for s in (cosine(q, v) for v in vectors) if s > 0), reverse=True)[:7]
+            assert np.allclose(sorted(got, reverse=True), want, atol=1e-5)
+
+
+def test_toxicity_of_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.toxicity(odd(spark, ODD), none).collect()
+    assert len(got) == len(ODD)
+    assert {r["score"] for r in got} == {0.0}
+    some = spark.createDataFrame([(3, 1), (5, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    assert len(toxicity.toxicity(odd(spark, ODD), some).collect()) == len(ODD)
+    assert toxicity.toxicity(odd(spark, ODD).limit(0), some).count() == 0
+
+
+def test_language(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.98
+
+
+def test_phrases_by_brute_force():
+    normal = langid.Normaliser()
+    train = {x: normal([t])[0][:-1] for x, t in (("a", "abra cadabra abra"), ("b", "banana bandana ban"))}
+    model = langid.Model(train, 50)
+    text = "Abracad bananas, zabra!"
+    points, end = normal([text])
+    body = "".join(map(chr, points[: end[0]]))
+    codes = model.to_class()[points]
+    got = model.phrases(codes, np.array([0]), np.array([end[0]]))[:, 0]
+    for k, x in enumerate(model.langs):
+        known, at, n = "".join(map(chr, train[x])), 0, 0
+        while at < len(body):
+            size = max((m for m in range(1, len(body) - at + 1) if body[at : at + m] in known), default=1)
+            at, n = at + size, n + 1
+        assert got[k] == n
+
+
+def test_language_of_odd_tables(spark):
+    got = langid.identify(odd(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] in (1, 2, 6))
+    assert langid.identify(odd(spark, ODD).limit(0)).count() == 0
+
+
+def test_normaliser_keeps_single_blanks():
+    points, end = langid.Normaliser()([" A--b  C1d ", None, "12", "é"])
+    texts, at = [], 0
+    for e in end:
+        texts.append("".join(map(chr, points[at:e])))
+        at = e + 1
+    assert texts == ["a b c d", "", "", "é"]
+
+
+def brute_repeats(texts, size):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in texts]
+    count = collections.Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    out = []
+    for (i, _), w in zip(texts, words, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            if count[tuple(w[k : k + size])] > 1:
+                gone[k : k + size] = [True] * size
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("size", [35, 8, 3])
+def test_repeats(spark, rows, size):
+    texts = [*rows.items(), *ODD, (900, "a b c d e f g h i j " * 5), (901, "z a b c d e f g h i j k")]
+    got = repeats.repeats(odd(spark, texts), size).drop("kept").collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(texts, size)
+
+
+def test_repeats_of_an_empty_table(spark):
+    assert repeats.repeats(odd(spark, ODD).limit(0)).count() == 0
+
+
+def test_rolling_hashes_tell_runs_apart():
+    x = np.arange(1, 200, dtype=np.uint64)
+    for size in (1, 2, 5, 18, 35):
+        h = repeats.rolling(x, size)
+        assert len(h) == len(x) - size + 1 == len(set(h.tolist()))
+        assert (repeats.rolling(x[3:], size) == h[3:]).all()
+
+
+def valid_card(s):
+    d = [int(c) for c in reversed(re.sub(r"\D", "", s))]
+    return sum(v if i % 2 == 0 else (v * 2 - 9 if v > 4 else v * 2) for i, v in enumerate(d)) % 10 == 0
+
+
+def pseudonyms(spark, texts, key="k"):
+    return [r["text"] for r in pii.report(odd(spark, list(enumerate(texts))), key).orderBy("doc_id").collect()]
+
+
+def test_pseudonyms_keep_formats(spark):
+    cards = ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004"]
+    days = ["2024-02-29", "1999/12/31", "31.12.1999", "3.7.1984"]
+    rest = ["+1 (017) 555-7713", "10.0.0.255", "123-45-6789", "jane.doe7@mail.example.com", "DE89 3704 0044 0532 0130 00"]
+    out = pseudonyms(spark, [f"x {v}, y" for v in [*cards, *days, *rest]])
+    values = [o[2:-3] for o in out]
+    for old, new in zip([*cards, *days, *rest], values, strict=True):
+        assert old != new
+        assert re.sub(r"[a-z]", "a", re.sub(r"\d", "9", old)) == re.sub(r"[a-z]", "a", re.sub(r"\d", "9", new)) or old in ("3.7.1984", "10.0.0.255")
+    assert all(valid_card(v) for v in values[:3])
+    assert re.sub(r"\D", "", values[0]) == values[1]
+    assert "-".join(reversed(values[5].split("."))) != days[1] and values[4].replace("/", "-") == "-".join(reversed(values[5].split(".")))
+    assert all(0 <= int(o) <= 255 for o in values[8].split("."))
+    iban = values[11].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_pseudonyms_leave_the_rest(spark):
+    texts = ["no number", "card 4111111111111112 fails", "999.1.1.1", "31.02.2020 is no day", "000-12-3456", "version 1.2.3", "", "12345"]
+    assert pseudonyms(spark, texts) == texts
+
+
+def test_pseudonyms_are_linked_keyed_and_one_to_one(spark):
+    cards = []
+    for i in range(300):
+        body = f"40000000{i:07d}"
+        cards.append(next(body + str(c) for c in range(10) if valid_card(body + str(c))))
+    a = pseudonyms(spark, cards)
+    assert len(set(a)) == 300
+    assert a == pseudonyms(spark, cards)
+    assert a != pseudonyms(spark, cards, "another")
+    days = [f"2001-01-{d:02d}" for d in range(1, 32)] + [f"1601-03-{d:02d}" for d in range(1, 32)]
+    assert len(set(pseudonyms(spark, days))) == len(days)
+
+
+def test_pseudonyms_of_odd_tables(spark):
+    got = pii.report(odd(spark, ODD), "k").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(ODD, key=str)
+    frame = odd(spark, [*ODD, (9, "call +1 (017) 555-7713 now")])
+    kept = pii.pseudonymise_documents(frame, "k")
+    assert kept.columns == frame.columns and kept.count() == len(ODD) + 1
+    assert pii.report(odd(spark, ODD).limit(0), "k").count() == 0
+
+
+def test_no_python_in_the_native_plans(spark, docs):
+    for frame in (pii.report(docs, "k"), sharding.shard_documents(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def brute_contamination(texts, items, window):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = collections.defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - window + 1)) if w else ():
+            grams[tuple(w[k : k + window])].add(str(i))
+    sizes, out = {len(g) for g in grams}, []
+    for i, t in texts:
+        w = split(t)
+        hit, names = [False] * len(w), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if found := grams.get(tuple(w[k : k + n])):
+                    hit[k : k + n] = [True] * n
+                    names |= found
+        out.append((i, len(w), sum(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), sum(hit) > 0))
+    return sorted(out, key=str)
+
+
+def test_contamination(spark, rows):
+    t = pq.read_table(f"{SF}/benchmark.parquet")
+    items = [*zip(t["item_id"].to_pylist(), t["text"].to_pylist(), strict=True), (900, "the of"), (901, None), (902, ""), (903, "Äpfel und"), (904, "x " * 12)]
+    texts = [*rows.items(), *ODD]
+    got = decontaminate.contamination(odd(spark, texts), spark.createDataFrame(items, "item_id long, text string")).drop("items").collect()
+    assert sorted(map(tuple, got), key=str) == brute_contamination(texts, items, 10)
+    blocks = decontaminate.blocks(spark.createDataFrame(items, "item_id long, text string"), 10, 2000)
+    assert len(blocks) > 3
+    assert decontaminate.contamination(odd(spark, ODD).limit(0), spark.createDataFrame(items[:0], "item_id long, text string")).count() == 0
+
+
+def test_decontaminated_documents(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    frame = odd(spark, [(1, f"Before it, {item.upper()}! After it all, words that stay."), (2, item), (3, "clean text"), (4, None)])
+    out = {r["doc_id"]: r for r in decontaminate.decontaminate(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert sorted(out) == [1, 3, 4]
+    assert out[1]["text"] == "Before it,! After it all, words that stay." and out[1]["n_chars"] == len(out[1]["text"])
+    assert out[3]["text"] == "clean text" and out[4]["text"] is None
+
+
+@pytest.mark.parametrize("shards", [8, 3])
+def test_shards(spark, docs, shards):
+    got = sharding.shard_documents(docs.unionByName(docs.where("doc_id < 60")), shards).collect()
+    counts = collections.Counter(r["shard"] for r in got)
+    assert len(got) == 260 and max(counts.values()) - min(counts.values()) <= 1
+    for s in counts:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got)
+
+
+def test_shards_move_few_rows(spark):
+    frame = spark.range(20_000).selectExpr("id as doc_id", "cast(id as string) as text")
+    got = sharding.shard_documents(frame)
+    assert got.where("moved").count() < 0.25 * 20_000
+
+
+def test_shards_of_odd_tables(spark):
+    hot = odd(spark, [*ODD, *[(77, "same")] * 40])
+    got = sharding.shard_documents(hot).collect()
+    counts = collections.Counter(r["shard"] for r in got)
+    assert len(got) == len(ODD) + 40 and max(counts.values()) - min(counts.values()) <= 1
+    assert {r["size"] for r in got if r["doc_id"] in (1, 2)} == {1}
+    assert sharding.shard_documents(hot.limit(0)).count() == 0
+
+
+def test_overflow_goes_clockwise():
+    plan = sharding.flow([10, 0, 2, 0], [0, 1, 2, 0], 3)
+    assert plan == [(0, 0, 4, 0, 0), (2, 0, 2, 2, 0), (0, 4, 8, 1, 0), (0, 8, 10, 2, 2)]
+
+
+def test_fingerprints(spark, docs, rows):
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs, cell_rows=30).collect()}
+    ids = sorted(rows)
+    for k, i in enumerate(ids):
+        text, after = rows[i], rows[ids[(k + 1) % len(ids)]]
+        n = len(text) // 4
+        assert got[i]["n_chars"] == len(text)
+        assert got[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
+        own, nxt = (fingerprint.parsed(got[x]["fingerprint"]) for x in (i, ids[(k + 1) % len(ids)]))
+        assert got[i]["near_next"] == fingerprint.likeness(own, nxt)
+        assert got[i]["near_edited"] == fingerprint.likeness(own, fingerprint.parsed(got[i]["edited_fingerprint"]))
+    by_text = collections.defaultdict(set)
+    for i in ids:
+        by_text[rows[i]].add(got[i]["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+    near, far = [r["near_edited"] for r in got.values()], [r["near_next"] for r in got.values()]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in near for b in far]) > 0.97
+
+
+def test_entropy_classes_by_brute_force():
+    rng = np.random.RandomState(5)
+    body = rng.randint(97, 103, 400).astype(np.uint8)
+    windows = fingerprint.Windows(16)
+    cost = np.concatenate(([0], np.cumsum(windows.gain[1:])))
+    want = [int(cost[np.bincount(body[i : i + 16], minlength=256)].sum()) * (fingerprint.CLASSES - 1) // windows.top for i in range(385)]
+    assert windows.classes(body).tolist() == want
+
+
+def test_fingerprints_of_odd_tables(spark):
+    got = fingerprint.fingerprints(odd(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[1]["fingerprint"] == by_id[2]["fingerprint"] == by_id[1]["edited_fingerprint"]
+    assert by_id[1]["near_next"] == 1.0
+    alone = fingerprint.fingerprints(odd(spark, [(4, "only one text here, of some length, to take")])).collect()[0]
+    assert alone["near_next"] == 1.0
+    assert fingerprint.fingerprints(odd(spark, ODD).limit(0)).count() == 0
