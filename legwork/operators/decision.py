@@ -71,3 +71,15 @@ def false_positive_cost(rows: DataFrame, reco: Column, label: Column, distance:
     """false_positives, cost: tare times distance times tariff for each."""
     wrong = reco & ~label
     return rows.agg(F.count_if(wrong).alias("false_positives"), F.sum(F.when(wrong, F.col(distance) * tare * tariff).otherwise(0.0)).alias("cost"))
+
+
+def day_table(legs: DataFrame, day: str, trip: str, vehicle: str, pred: str, load: str, booked: str, threshold: float, floor: float, capacity: float) -> DataFrame:
+    """Trips of a day as a planner sees them the day before: score, legs over the threshold, flags, and the trips that share a vehicle."""
+    trips_ = legs.groupBy(day, trip).agg(
+        F.max(pred).alias("score"), F.count_if(F.col(pred) > threshold).alias("legs_over"), F.coalesce(F.max(pred) > threshold, F.lit(False)).alias("by_score"), F.coalesce(F.max(booked) > floor, F.lit(False)).alias("by_floor"),
+        F.coalesce(F.max(load) > capacity, F.lit(False)).alias("beyond_capacity"),
+    )
+    tours = legs.groupBy(day, vehicle).agg(F.collect_set(trip).alias("_trips"))  # a vehicle's trips of one day
+    chained = legs.select(day, vehicle, trip).distinct().join(tours, [day, vehicle]).groupBy(day, trip).agg(F.array_distinct(F.flatten(F.collect_list("_trips"))).alias("_all"))
+    others = F.array_sort(F.filter("_all", lambda x: x != F.col(trip)))
+    return trips_.join(chained, [day, trip]).withColumn("chained", F.array_join(F.transform(others, lambda x: x.cast("string")), ",")).drop("_all")

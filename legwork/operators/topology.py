@@ -33,8 +33,9 @@ def ordered_legs(rows: DataFrame, order_from: str, order_to: str) -> DataFrame:
     return rows.where(F.col(order_from) != F.col(order_to)).withColumn("leg", F.explode(F.sequence(low, high - 1)))
 
 
-def within_radius(points: DataFrame, stations: DataFrame, radius: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Pairs of a point and a station (id, s_lon, s_lat) at most ``radius`` metres apart, with metres.
+def within_radius(points: DataFrame, stations: DataFrame, radius: float, lon: str = "lon", lat: str = "lat", on: list[str] | None = None) -> DataFrame:
+    """Pairs of a point and a station (id, s_lon, s_lat) at most ``radius`` metres apart, with metres; ``on`` columns are equal
+    (a year: stations then are those active in it).
 
     Both are cut into grid cells, stations go to the nine cells around: an equi join however large both sides grow.
     """
@@ -42,11 +43,11 @@ def within_radius(points: DataFrame, stations: DataFrame, radius: float, lon: st
     sx, sy = cell(F.col("s_lon"), F.col("s_lat"), radius)
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     near = stations.withColumns({"_sx": sx, "_sy": sy, "_s": F.explode(steps)}).withColumns({"_x": F.col("_sx") + F.col("_s.i"), "_y": F.col("_sy") + F.col("_s.j")}).drop("_sx", "_sy", "_s")
-    pairs = points.withColumns({"_x": x, "_y": y}).join(small(near), ["_x", "_y"]).drop("_x", "_y")
+    pairs = points.withColumns({"_x": x, "_y": y}).join(small(near), [*(on or []), "_x", "_y"]).drop("_x", "_y")
     return pairs.withColumn("metres", haversine(F.col(lon), F.col(lat), F.col("s_lon"), F.col("s_lat"))).where(F.col("metres") <= radius)
 
 
-def nearest_station(points: DataFrame, stations: DataFrame, key: list[str], radius: float) -> DataFrame:
+def nearest_station(points: DataFrame, stations: DataFrame, key: list[str], radius: float, on: list[str] | None = None) -> DataFrame:
     """Each point's nearest station within ``radius`` (ties: least id); points without one are left out."""
-    pairs = within_radius(points, stations, radius)
+    pairs = within_radius(points, stations, radius, on=on)
     return pairs.groupBy(*key).agg(F.min_by(F.struct("id", "metres"), F.struct("metres", "id")).alias("_n")).select(*key, "_n.id", "_n.metres")
