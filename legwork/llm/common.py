@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from legwork.functions.storage import stored as durable  # noqa: F401  used by the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where it is unset (one machine, tests) a new temporary one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by ``checkpoint()`` in the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def raw(column: pa.ChunkedArray | pa.Array) -> tuple[bytes, np.ndarray]:
     """UTF-8 bytes of a string column end to end and the n + 1 places where its values begin; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,7 +11,7 @@
 3. A piece's rank among all pieces of its length (task offset plus its number in
    the task) picks its bin and place from the plan.
 
-The pieces are stored by ``checkpoint()`` between 1 and 2, so numbers given by a
+The pieces are written to the shared folder between 1 and 2, so numbers given by a
 task stay valid when executors are lost. A frequent length is no hot key: ranks
 need one row for each task and length, and pieces join them by both.
 
