@@ -10,8 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from legwork.functions.storage import shared_folder
 from legwork.llm import decontaminate, neardup, packing, pii, toxicity
-from legwork.llm.common import checkpoint_folder, table
+from legwork.llm.common import table
 from legwork.llm.queries import PII_KEY, tokenizer_path
 
 
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
