@@ -189,7 +189,7 @@ def pseudonym(found: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with _new (the text with pseudonyms, null where nothing was replaced) and _n (values replaced)."""
     pattern = F.lit(anyof())
-    some = F.col("text").rlike(anyof())
+    some = F.col("text").rlike("[0-9@]") & F.col("text").rlike(anyof())  # no format does without a digit or an @
     parts = docs.withColumn("_found", F.when(some, F.regexp_extract_all("text", pattern, F.lit(0)))).withColumn("_gaps", F.when(some, F.split("text", anyof(), -1)))
     parts = parts.withColumn("_as", F.transform("_found", lambda m: pseudonym(m, key)))
     parts = parts.withColumn("_n", F.coalesce(F.size(F.filter("_as", lambda x: x.isNotNull())), F.lit(0)))
