@@ -12,17 +12,23 @@ probability equal to their weighted Jaccard similarity.
 
 1. Equal texts are one node (a 64-bit hash of the text), so copies cost no pairs.
 2. Bands of ``rows`` coordinates meet by hash. In each bucket every node is paired
-   with the bucket's leaders alone, if they are not in one class yet; a leader is
-   found by a minimum, which combines before the shuffle, and the pairing is a
-   plain join that Spark may split when a bucket is hot. Of a node's leaders the
-   BEST with most bands in common are compared. The first round meets by three
-   bands in a row, the second by two, so that the likeliest pairs come first.
+   with the bucket's leaders alone, if they are not in one class yet; the pairing
+   is a plain join that Spark may split when a bucket is hot. Two rounds come
+   first to link the likeliest pairs: they meet by three and by two bands in a
+   row and compare the BEST leaders of a node. They settle nothing; whatever they
+   leave out is met again in the rounds by single bands.
 3. Pairs whose signatures agree in less than ``similarity`` less SLACK go; the
    others are compared exactly on their texts.
-4. Links give classes by minimum labels with pointer jumping. Buckets that still
-   hold nodes of different classes get LEADERS new leaders each, by other hash
-   orders, until a round adds hardly any link (RARE). Later links join classes, so only the
-   classes' own small graph is worked on.
+4. Links give classes by minimum labels with pointer jumping. In the rounds by
+   single bands a bucket that holds nodes of different classes draws leaders
+   outside its largest class, is compared with them whole, and goes on without
+   them; their number doubles with the round. A bucket is closed when the nodes
+   left are of one class, and the rounds end when all are: then every two nodes
+   with a band in common were compared or are of one class. Later links join
+   classes, so only the classes' own small graph is worked on.
+
+The number of pairs compared is thus that of the pairs of different classes in a
+bucket, at worst the square of a bucket whose texts agree in a band but are unlike.
 
 Nothing is collected; stages that are read again are written to the shared folder.
 
@@ -46,11 +52,9 @@ from .repeats import MULTIPLIER, Slice, mixed, rolling
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Over four standard deviations of the estimate from 130 coordinates at a similarity of 0.8.
 SLACK = 0.16
-#: Rounds end with the first, from the fourth on, that adds no more than this share of the links found so far.
-RARE = 0.005
-#: Leaders of a bucket in the rounds after the first.
+#: Leaders of a bucket in the second round; twice as many in each round after it.
 LEADERS = 2
-#: Leaders that a node is compared with in a round, those with most bands in common.
+#: Leaders that a node is compared with in the first two rounds, those with most bands in common.
 BEST = 4
 
 
@@ -211,6 +215,22 @@ def candidates(found: DataFrame, labels: DataFrame | None, turn: int, bands: int
     return best.select("node", F.explode("best.lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
+def led(rows: DataFrame, labels: DataFrame, turn: int, leaders: int) -> DataFrame:
+    """(band, node, label, lead): the rows (band, node) of buckets that hold more than one class; about ``leaders`` nodes outside a bucket's largest class lead, all if there are no more."""
+    rows = rows.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    sizes = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy(F.col("band").alias("at")).agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    drawn = F.pmod(F.xxhash64(F.lit(turn), "band", "node"), F.col("n") - F.col("top.n")) < leaders
+    return rows.join(several, F.col("band") == F.col("at")).select("band", "node", "label", ((F.col("label") != F.col("top.label")) & drawn).alias("lead"))
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """(a, b): each leader of a bucket with every node of the bucket that isn't of its class."""
+    heads = rows.where("lead").select(F.col("band").alias("at"), F.col("node").alias("head"), F.col("label").alias("own"))
+    met = rows.join(heads, (F.col("band") == F.col("at")) & (F.col("label") != F.col("own")))
+    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, weights: str = "one") -> DataFrame | None:
     """(node, label): classes of ``nodes`` (node, text; equal nodes are equal texts) with more than one node; None without any."""
     found = durable(signatures(nodes, words, bands, rows, weights).groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")))
@@ -224,30 +244,32 @@ def links(nodes: DataFrame, words: int = 5, similarity: float = 0.8, bands: int
     marks, found = found.select("node", "signature"), found.select("node", "bands")
 
     side = lambda df, key, value, name: df.select(F.col("node").alias(key), F.col(value).alias(name))
-    labels, turn, total = None, 0, 0
-    while True:
-        pairs = candidates(found, labels, turn, max(1, 3 - turn), 1 if turn == 0 else LEADERS)
+
+    def linked(pairs: DataFrame) -> DataFrame:
         near = agreeing(pairs.join(side(marks, "a", "signature", "left"), "a").join(side(marks, "b", "signature", "right"), "b"), similarity - SLACK)
-        new = durable(alike(near.join(side(texts, "a", "text", "left"), "a").join(side(texts, "b", "text", "right"), "b"), words, similarity, weights))
-        turn += 1
-        fresh = new.count()
-        total += fresh
-        last = turn > 3 and fresh <= RARE * total
-        if labels is None:
-            labels = components(new)
-            continue
-        if not fresh:
-            if last:
-                return labels
-            continue
-        # links between classes: only the classes' own graph is worked on
-        own = lambda key: side(labels, key, "label", f"l{key}")  # noqa: E731, B023
-        named = new.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        merged = durable(components(named).select(F.col("node").alias("label"), F.col("label").alias("to")))
-        known = labels.unionByName(merged.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
-        labels = durable(known.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        if last:
+        return durable(alike(near.join(side(texts, "a", "text", "left"), "a").join(side(texts, "b", "text", "right"), "b"), words, similarity, weights))
+
+    labels = components(linked(candidates(found, None, 0, min(3, bands), 1)))
+    labels = joined(labels, linked(candidates(found, labels, 1, min(2, bands), LEADERS)))
+    turn, open_ = 2, found.select("node", F.explode("bands").alias("band")).join(shared, "band", "left_semi")
+    while True:
+        open_ = durable(led(open_, labels, turn, LEADERS << turn - 1))
+        if open_.limit(1).count() == 0:
             return labels
+        labels = joined(labels, linked(across(open_)))
+        open_ = open_.where("not lead").select("band", "node")
+        turn += 1
+
+
+def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """The classes (node, label) after new links (a, b) between them: only the classes' own graph is worked on."""
+    if new.limit(1).count() == 0:
+        return labels
+    own = lambda key: labels.select(F.col("node").alias(key), F.col("label").alias(f"l{key}"))
+    named = new.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = durable(components(named).select(F.col("node").alias("label"), F.col("label").alias("to")))
+    known = labels.unionByName(merged.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
+    return durable(known.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, weights: str = "one") -> DataFrame:

@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from legwork.llm import decontaminate, extract, fingerprint, langid, neardup, packing, pii, repeats, sharding, toxicity
 from legwork.llm.queries import tokenizer_path
@@ -191,6 +193,49 @@ def test_near_duplicates_of_odd_tables(spark):
     assert neardup.distinct(frame.limit(0)).count() == 0
 
 
+def meeting_classes(spark, frame, texts, **options):
+    """Classes by all links of texts that have a band in common."""
+    nodes = frame.select(F.col("doc_id").alias("node"), "text")
+    bands = {r["node"]: set(r["bands"]) for r in neardup.signatures(nodes, 5, options["bands"], options["rows"], "one").collect()}
+    sets, parent = shingle_sets(texts), {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(texts, 2):
+        both = len(sets[a] & sets[b])
+        if bands[a] & bands[b] and both >= options["similarity"] * (len(sets[a]) + len(sets[b]) - both):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    out = collections.defaultdict(set)
+    for i in texts:
+        out[find(i)].add(i)
+    return {frozenset(x) for x in out.values()}
+
+
+def twins(rng, n, common, own):
+    """n pairs of near copies that all hold one common passage."""
+    passage = [f"c{i}" for i in range(common)]
+    out = []
+    for _ in range(n):
+        words = [*passage, *(f"w{rng.randint(10**9)}" for _ in range(own))]
+        out += [" ".join(words), " ".join([*words[:-1], "end"])]
+    return out
+
+
+#: Few coordinates, so that unlike texts meet in every bucket.
+CROWDED = {"bands": 3, "rows": 1, "similarity": 0.49}
+
+
+def test_near_duplicate_rounds_go_on_until_no_bucket_is_open(spark):
+    texts = dict(enumerate(twins(np.random.RandomState(3), 150, 28, 30)))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = meeting_classes(spark, frame, texts, **CROWDED)
+    assert sum(len(c) > 1 for c in want) > 100
+    assert got_classes(neardup.classes(frame, **CROWDED).collect()) == want
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.RandomState(1)
     darts = neardup.Darts(512)
