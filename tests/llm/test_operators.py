@@ -236,6 +236,18 @@ def test_near_duplicate_rounds_go_on_until_no_bucket_is_open(spark):
     assert got_classes(neardup.classes(frame, **CROWDED).collect()) == want
 
 
+def test_near_duplicates_of_small_classes_beside_a_large_one(spark):
+    rng = np.random.RandomState(4)
+    small = twins(rng, 100, 28, 30)
+    base = small[0].split()[:28] + [f"h{i}" for i in range(30)]
+    large = [" ".join([*base[:-1], f"v{i}"]) for i in range(300)]
+    texts = dict(enumerate([*large, *small]))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = meeting_classes(spark, frame, texts, **CROWDED)
+    assert max(map(len, want)) > 290 and sum(len(c) == 2 for c in want) > 50
+    assert got_classes(neardup.classes(frame, **CROWDED).collect()) == want
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.RandomState(1)
     darts = neardup.Darts(512)
