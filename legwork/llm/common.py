@@ -54,3 +54,11 @@ def hashed_sample(rows: DataFrame, total: int, n: int) -> DataFrame:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     bound = (1 << 30) if total <= 8 * n else -(-(8 * n << 30) // total)
     return rows.where(place < bound).orderBy(place, "doc_id").limit(n)
+
+
+def free(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so (names differ by more than their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,40 +1,39 @@
 """Near-duplicate classes by DartMinHash signatures and banded joining.
 
 Elements are the shingles of ``words`` words of a text (lower case A-Z, parted by
-white space; a shorter text is one shingle), weighted by one or by their count.
-Hashed darts fall on the region [0, weight) x [0, infinity) of every element as a
-Poisson process that depends on the element alone: a hash gives each dart its
-height in the weight, its rank and one of ``bands * rows`` coordinates. A text is
-hit by about k ln k + 2k darts of the lowest ranks, whatever its weights; the
-earliest dart of each coordinate is its signature (the rank bound doubles for
+white space; a shorter text is one shingle), weighted by one, by their count or by
+1 + ln(count). Hashed darts fall on the region [0, weight) x [0, infinity) of every
+element as a Poisson process that depends on the element alone: a hash gives each
+dart its height in the weight, its rank and one of ``bands * rows`` coordinates. A
+text is hit by about k ln k + 2k darts of the lowest ranks, whatever its weights;
+the earliest dart of each coordinate is its signature (the rank bound doubles for
 texts that leave a coordinate empty). Two texts agree in a coordinate with a
 probability equal to their weighted Jaccard similarity.
 
-1. Equal texts are one node (a 64-bit hash of the text), so copies cost no pairs.
-2. Bands of ``rows`` coordinates meet by hash. In each bucket every node is paired
-   with the bucket's leaders alone, if they are not in one class yet; the pairing
-   is a plain join that Spark may split when a bucket is hot. Two rounds come
-   first to link the likeliest pairs: they meet by three and by two bands in a
-   row and compare the BEST leaders of a node. They settle nothing; whatever they
-   leave out is met again in the rounds by single bands.
-3. Pairs whose signatures agree in less than ``similarity`` less SLACK go; the
-   others are compared exactly on their texts.
-4. Links give classes by minimum labels with pointer jumping. In the rounds by
-   single bands a bucket that holds nodes of different classes draws leaders
-   outside its largest class, is compared with them whole, and goes on without
-   them; their number doubles with the round. A bucket is closed when the nodes
-   left are of one class, and the rounds end when all are: then every two nodes
-   with a band in common were compared or are of one class. Later links join
+1. Equal texts (by MD5) are one node, so copies cost no pairs.
+2. Bands of ``rows`` coordinates meet by hash. First every node is set against the
+   least node of each of its buckets alone, which makes one class of most of a
+   large group of near copies.
+3. Then all pairs of nodes of different classes that share a bucket are compared by
+   their signatures: a bucket's nodes are dealt into chunks of about CHUNK, every
+   two chunks of a bucket meet in a task, and only pairs that agree in a share of
+   ``similarity`` less SLACK of the coordinates leave it, for every two classes
+   the best few. Those are compared exactly on their texts; links join classes, and
+   buckets where pairs were held back come again with more of them, until none was.
+   So every pair that shares a band and passes the signature's bar is compared on
+   its texts, or is of one class by other links. No pair is dropped.
+4. Links give classes by minimum labels with pointer jumping; later links join
    classes, so only the classes' own small graph is worked on.
 
-The number of pairs compared is thus that of the pairs of different classes in a
-bucket, at worst the square of a bucket whose texts agree in a band but are unlike.
+A bucket of n nodes that agree in a band but are unlike costs n * n / CHUNK rows
+and n * n / 2 signature comparisons inside tasks, no pairs.
 
 Nothing is collected; stages that are read again are written to the shared folder.
 
 Cases: null text counts as empty; texts without words are alike only if equal;
 repeated rows are copies; null ids are rows like others; an empty table gives an
-empty result; extra columns are ignored by ``classes`` and kept by ``distinct``.
+empty result; extra columns are ignored by ``classes`` and kept by ``distinct``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -46,16 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, raw, slices
-from .repeats import MULTIPLIER, Slice, mixed, rolling
+from .common import durable, free, slices
+from .words import MULTIPLIER, Slice, mixed, rolling
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Over four standard deviations of the estimate from 130 coordinates at a similarity of 0.8.
+#: Over four standard deviations of the estimate from 144 coordinates at a similarity of 0.8.
 SLACK = 0.16
-#: Leaders of a bucket in the second round; twice as many in each round after it.
-LEADERS = 2
-#: Leaders that a node is compared with in the first two rounds, those with most bands in common.
-BEST = 4
+#: Nodes of a bucket that are worked on in one task against others.
+CHUNK = 1024
+#: Pairs of two classes in two chunks that are compared in the first turn.
+BEST = 2
 
 
 class Darts:
@@ -113,34 +112,43 @@ def shingles(column, words: int) -> tuple[np.ndarray, np.ndarray, int]:
     return text, hashes, n
 
 
-def counted(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the units of count-weighted elements: the n-th equal shingle of a text is its n-th unit."""
+def weighted(text: np.ndarray, hashes: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, cell, height) of the units of weight: the n-th unit of an element is a cell of its own, the last may be filled in part."""
     order = np.lexsort((hashes, text))
-    same = np.zeros(len(order), bool)
-    same[1:] = (text[order][1:] == text[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
-    first = np.flatnonzero(~same)
-    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate((first, [len(order)]))))
-    out = hashes.copy()
-    out[order] = mixed(hashes[order] + nth.astype(np.uint64) * MULTIPLIER)
-    return out
+    text, hashes = text[order], hashes[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.concatenate((first, [len(text)])))
+    text, hashes = text[first], hashes[first]
+    if weights == "one":
+        return text, hashes, np.ones(len(text))
+    weight = count.astype(float) if weights == "count" else 1 + np.log(count)
+    units = np.ceil(weight).astype(np.int64)
+    nth = np.arange(int(units.sum())) - np.repeat(np.cumsum(units) - units, units)
+    height = np.minimum(1.0, np.repeat(weight, units) - nth)
+    return np.repeat(text, units), mixed(np.repeat(hashes, units) + nth.astype(np.uint64) * MULTIPLIER), height
 
 
 def signatures(texts: DataFrame, words: int, bands: int, rows: int, weights: str) -> DataFrame:
-    """node, band hashes and 16-bit coordinates for every row of ``texts`` (node, text) that has a word."""
+    """node, band hashes and 8-bit coordinates for the rows of ``texts`` (node, text) that have a word; equal nodes of a slice give one row."""
+    kind = dict(texts.dtypes)["node"]
 
     def run(batches):
         darts = Darts(bands * rows)
         for batch in slices(batches, rows=256, size=1 << 20):
-            text, cell, n = shingles(batch.column("text"), words)
-            if weights == "count":
-                cell = counted(text, cell)
-            got = darts.throw(text, cell, np.ones(len(text)), n)
+            if kind == "binary":
+                first = dict((n, i) for i, n in reversed(list(enumerate(batch.column("node").to_pylist()))))
+                batch = batch.take(pa.array(sorted(first.values())))
+            text, hashes, n = shingles(batch.column("text"), words)
+            text, cell, height = weighted(text, hashes, weights)
+            got = darts.throw(text, cell, height, n)
             some = np.flatnonzero(np.bincount(text, minlength=n) > 0)
             got = got[some].reshape(len(some), bands, rows)
             band = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=np.uint64)), (len(some), bands))
             for r in range(rows):
                 band = mixed(band * MULTIPLIER + got[:, :, r])
-            coordinates = mixed(got.reshape(len(some), bands * rows)).astype(np.uint16)
+            coordinates = mixed(got.reshape(len(some), bands * rows)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("node").take(pa.array(some)),
@@ -150,7 +158,7 @@ def signatures(texts: DataFrame, words: int, bands: int, rows: int, weights: str
                 ["node", "bands", "signature"],
             )
 
-    return texts.select("node", "text").mapInArrow(run, "node long, bands array<long>, signature binary")
+    return texts.select("node", "text").mapInArrow(run, f"node {kind}, bands array<long>, signature binary")
 
 
 def agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -159,28 +167,28 @@ def agreeing(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("left", "right"))
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("left", "right"))
                 yield batch.select(["a", "b"]).filter(pa.array((left == right).mean(1) >= least))
 
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def alike(pairs: DataFrame, words: int, similarity: float, weights: str) -> DataFrame:
-    """a, b of the pairs (a, b, left, right texts) with an exact Jaccard similarity of at least ``similarity``."""
+    """a, b of the pairs (a, b, left, right texts) with an exact (weighted) Jaccard similarity of at least ``similarity``."""
 
     def run(batches):
         for batch in slices(batches, rows=256, size=1 << 20):
             sides = []
             for c in ("left", "right"):
-                text, cell, n = shingles(batch.column(c), words)
-                if weights == "count":
-                    cell = counted(text, cell)
+                text, hashes, n = shingles(batch.column(c), words)
+                text, cell, height = weighted(text, hashes, weights)
                 at = np.searchsorted(text, np.arange(n + 1))
-                sides.append([np.unique(cell[at[i] : at[i + 1]]) for i in range(n)])
+                sides.append([(cell[at[i] : at[i + 1]], height[at[i] : at[i + 1]]) for i in range(n)])
             keep = []
-            for x, y in zip(*sides, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            for (x, p), (y, q) in zip(*sides, strict=True):
+                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                both = float(np.minimum(p[i], q[j]).sum())
+                keep.append(both > 0 and both >= similarity * (p.sum() + q.sum() - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
@@ -202,63 +210,124 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def candidates(found: DataFrame, labels: DataFrame | None, turn: int, bands: int, leaders: int) -> DataFrame:
-    """(a, b): each node with at most BEST leaders of buckets that it shares and that aren't of its class, most shared first; ``bands`` in a row make a bucket."""
-    rows = found.select("node", F.transform(F.sequence(F.lit(1), F.size("bands") - (bands - 1)), lambda i: F.xxhash64(*(F.element_at("bands", i + k) for k in range(bands)))).alias("bands"))
-    rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = rows.select("node", "label", F.explode("bands").alias("band"))
-    order = lambda i: F.struct((F.xxhash64(F.lit(turn), F.lit(i), "node") if turn else F.col("node")).alias("order"), "node", "label")
-    heads = rows.groupBy("band").agg(*(F.min(order(i)).alias(f"h{i}") for i in range(leaders)), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    heads = heads.select(F.col("band").alias("at"), F.inline(F.array_distinct(F.array(*(F.struct(F.col(f"h{i}.node").alias("lead"), F.col(f"h{i}.label").alias("own")) for i in range(leaders))))))
-    met = rows.join(heads, (F.col("band") == F.col("at")) & (F.col("label") != F.col("own"))).groupBy("node", "lead").agg(F.count(F.lit(1)).alias("shared"))
-    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "lead")), asc=False), 1, BEST).alias("best"))  # at most bands * leaders each
-    return best.select("node", F.explode("best.lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+def to_leaders(rows: DataFrame) -> DataFrame:
+    """(a, b): each node of a bucket (band, node) with the bucket's least node."""
+    heads = rows.groupBy("band").agg(F.min("node").alias("lead"))
+    return rows.join(heads, "band").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def led(rows: DataFrame, labels: DataFrame, turn: int, leaders: int) -> DataFrame:
-    """(band, node, label, lead): the rows (band, node) of buckets that hold more than one class; about ``leaders`` nodes outside a bucket's largest class lead, all if there are no more."""
-    rows = rows.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    sizes = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy(F.col("band").alias("at")).agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    drawn = F.pmod(F.xxhash64(F.lit(turn), "band", "node"), F.col("n") - F.col("top.n")) < leaders
-    return rows.join(several, F.col("band") == F.col("at")).select("band", "node", "label", ((F.col("label") != F.col("top.label")) & drawn).alias("lead"))
-
-
-def across(rows: DataFrame) -> DataFrame:
-    """(a, b): each leader of a bucket with every node of the bucket that isn't of its class."""
-    heads = rows.where("lead").select(F.col("band").alias("at"), F.col("node").alias("head"), F.col("label").alias("own"))
-    met = rows.join(heads, (F.col("band") == F.col("at")) & (F.col("label") != F.col("own")))
-    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-
+def opened(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(band, node, label, n) of the buckets that hold more than one class, with their size."""
+    if labels is None:
+        rows = rows.withColumn("label", F.col("node"))
+    else:
+        rows = rows.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    several = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("band", "n")
+    return rows.join(several, "band")
+
+
+def across(rows: DataFrame, marks: DataFrame, least: float, best: int) -> DataFrame:
+    """(band, a, b, more): pairs of different classes in a bucket whose signatures agree in a share of at least ``least``.
+
+    ``rows`` are (band, node, label, n), ``marks`` (node, signature). A bucket's nodes are dealt into chunks by a hash,
+    every two chunks meet once; of more than ``best`` pairs of the same two classes there the most alike leave, with ``more``.
+    """
+    chunks = F.ceil(F.col("n") / CHUNK)
+    dealt = rows.join(marks, "node").withColumn("at", F.pmod(F.xxhash64("node"), chunks))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    met = met.select("band", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", "label", "signature")
+    met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def compared(band, i, j, at, node, label, signature, out):
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        x, y, z = [], [], []
+        for k in left.tolist() if len(left) <= len(right) else right.tolist():
+            other = right if len(left) <= len(right) else left
+            other = other[label[other] != label[k]]
+            if i == j:
+                other = other[node[other] > node[k]]
+            if len(other):
+                share = (signature[other] == signature[k]).mean(1)
+                good = np.flatnonzero(share >= least)
+                x.append(np.full(len(good), k))
+                y.append(other[good])
+                z.append(share[good])
+        if not x or not (x := np.concatenate(x)).size:
+            return
+        y, z = np.concatenate(y), np.concatenate(z)
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        order = np.lexsort((-z, high, low))
+        low, high = low[order], high[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.concatenate((first, [len(order)])))
+        nth = np.arange(len(order)) - np.repeat(first, count)
+        keep = nth < best
+        x, y, more = x[order][keep], y[order][keep], np.repeat(count, count)[keep] > best
+        out.append((np.full(len(x), band), np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), more))
+
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(4)], ["band", "a", "b", "more"])
 
-def links(nodes: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, weights: str = "one") -> DataFrame | None:
-    """(node, label): classes of ``nodes`` (node, text; equal nodes are equal texts) with more than one node; None without any."""
+    def run(batches):
+        held = None  # rows of the meeting that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "i", "j", "at", "node", "label")]
+            columns.append(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            band, i, j = columns[:3]
+            new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            out: list = []
+            for a, b in zip([0, *new.tolist()], new.tolist(), strict=False):
+                compared(band[a], i[a], j[a], *(c[a:b] for c in columns[3:]), out)
+            held = [c[new[-1] if len(new) else 0 :] for c in columns]
+            if out:
+                yield table(out)
+        if held is not None:
+            out = []
+            compared(held[0][0], held[1][0], held[2][0], *held[3:], out)
+            if out:
+                yield table(out)
+
+    return met.mapInArrow(run, "band long, a long, b long, more boolean")
+
+
+def links(nodes: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 6, weights: str = "one") -> tuple[DataFrame, DataFrame] | None:
+    """(node, id) of the nodes that share a bucket and (node as id, label) of those in classes of more than one; None without any.
+
+    ``nodes`` are (node binary, text); equal nodes are equal texts.
+    """
     found = durable(signatures(nodes, words, bands, rows, weights).groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")))
     every = found.select("node", F.explode("bands").alias("band"))
-    shared = every.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    members = durable(every.join(shared, "band", "left_semi").select("node").distinct())
-    if members.limit(1).count() == 0:
+    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    shared = durable(every.join(shared, "band"))
+    # numbers for nodes, fixed by being written
+    ids = durable(shared.select("node").distinct().select("node", F.monotonically_increasing_id().alias("id")))
+    if ids.limit(1).count() == 0:
         return None
-    texts = durable(nodes.join(members, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
-    found = found.join(members, "node", "left_semi")
-    marks, found = found.select("node", "signature"), found.select("node", "bands")
+    buckets = durable(shared.join(ids, "node").select("band", F.col("id").alias("node")))
+    marks = durable(found.join(ids, "node").select(F.col("id").alias("node"), "signature"))
+    texts = durable(nodes.join(ids, "node").groupBy(F.col("id").alias("node")).agg(F.any_value("text").alias("text")))
 
     side = lambda df, key, value, name: df.select(F.col("node").alias(key), F.col(value).alias(name))
+    with_both = lambda pairs, df, value: pairs.join(side(df, "a", value, "left"), "a").join(side(df, "b", value, "right"), "b")
+    least = similarity - SLACK
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = agreeing(pairs.join(side(marks, "a", "signature", "left"), "a").join(side(marks, "b", "signature", "right"), "b"), similarity - SLACK)
-        return durable(alike(near.join(side(texts, "a", "text", "left"), "a").join(side(texts, "b", "text", "right"), "b"), words, similarity, weights))
-
-    labels = components(linked(candidates(found, None, 0, min(3, bands), 1)))
-    labels = joined(labels, linked(candidates(found, labels, 1, min(2, bands), LEADERS)))
-    turn, open_ = 2, found.select("node", F.explode("bands").alias("band")).join(shared, "band", "left_semi")
+    near = agreeing(with_both(to_leaders(buckets), marks, "signature"), least)
+    labels = durable(components(durable(alike(with_both(near, texts, "text"), words, similarity, weights))))
+    best, open_ = BEST, buckets
     while True:
-        open_ = durable(led(open_, labels, turn, LEADERS << turn - 1))
-        if open_.limit(1).count() == 0:
-            return labels
-        labels = joined(labels, linked(across(open_)))
-        open_ = open_.where("not lead").select("band", "node")
-        turn += 1
+        open_ = opened(open_, labels)
+        met = durable(across(open_, marks, least, best))
+        labels = joined(labels, durable(alike(with_both(met.select("a", "b").distinct(), texts, "text"), words, similarity, weights)))
+        back = met.where("more").select("band").distinct()
+        if back.limit(1).count() == 0:
+            return ids, labels
+        open_, best = buckets.join(back, "band", "left_semi"), best * 16
 
 
 def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
@@ -267,23 +336,29 @@ def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
         return labels
     own = lambda key: labels.select(F.col("node").alias(key), F.col("label").alias(f"l{key}"))
     named = new.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    merged = durable(components(named).select(F.col("node").alias("label"), F.col("label").alias("to")))
+    merged = durable(components(named.where("a <> b")).select(F.col("node").alias("label"), F.col("label").alias("to")))
     known = labels.unionByName(merged.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
     return durable(known.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 5, weights: str = "one") -> DataFrame:
-    """One row for each document: doc_id, class_id (least node of the class), representative (least doc_id of the class)."""
-    nodes = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    labels = links(nodes.select("node", "text"), words, similarity, bands, rows, weights)
+def text_node():
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 6, weights: str = "one") -> DataFrame:
+    """One row for each document: doc_id, class_id (a text), representative (least doc_id of the class), node (MD5 of the text)."""
+    nodes = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_node().alias("node"))
+    found = links(nodes.select("node", "text"), words, similarity, bands, rows, weights)
     ids = nodes.select("doc_id", "node")
     least = ids.groupBy("node").agg(F.min("doc_id").alias("first"))
-    if labels is None:
-        placed = least.select("node", F.col("node").alias("class_id"), F.col("first").alias("representative"))
+    if found is None:
+        placed = least.select("node", F.lower(F.hex("node")).alias("class_id"), F.col("first").alias("representative"))
     else:
-        own = durable(least.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("class_id")))
-        heads = own.groupBy("class_id").agg(F.min("first").alias("representative"))
-        placed = own.join(heads, "class_id").select("node", "class_id", "representative")
+        numbers, labels = found
+        own = least.join(numbers.join(labels.withColumnRenamed("node", "id"), "id").select("node", "label"), "node", "left")
+        own = durable(own.select("node", "first", F.lower(F.hex("node")).alias("name"), "label"))
+        heads = own.where("label is not null").groupBy("label").agg(F.min("name").alias("class_id"), F.min("first").alias("representative"))
+        placed = own.join(heads, "label", "left").select("node", F.coalesce("class_id", "name").alias("class_id"), F.when(F.col("class_id").isNull(), F.col("first")).otherwise(F.col("representative")).alias("representative"))
     return ids.join(placed, "node").select("doc_id", "class_id", "representative", "node")
 
 
@@ -293,8 +368,10 @@ def distinct(docs: DataFrame, **options) -> DataFrame:
     kept = placed.where("doc_id <=> representative").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("class_id"))
     # one node for each class: rows of equal id but different texts of a class
     one = kept.groupBy("class_id").agg(F.min(F.struct("doc_id", "node", "n")).alias("x")).select("x.*")
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = docs.withColumn("_node", node)
-    once = marked.join(one.where("n = 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_at")), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_node") == F.col("_at")), "left_semi")
-    more = marked.join(one.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_at")), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_node") == F.col("_at")), "left_semi")
-    return once.unionByName(more.dropDuplicates(["doc_id", "_node"])).drop("_node")
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # the input's own names may clash with those of the join
+    marked = docs.withColumn(free(docs.columns, "node"), text_node()).toDF(*inner, "node").withColumn("doc_id", F.col(inner[docs.columns.index("doc_id")]))
+    right = one.select(F.col("doc_id").alias("id"), F.col("node").alias("at"), "n")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("at"))
+    once = marked.join(right.where("n = 1"), same, "left_semi")
+    more = marked.join(right.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "node"])
+    return once.unionByName(more).select(*(F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)))

@@ -38,7 +38,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeats(table(spark, sf_dir, "documents"), window=35).drop("kept")
+    return repeats.repeats(table(spark, sf_dir, "documents"), window=35).drop("kept", "spans")
 
 
 #: Key of the pseudonyms in the query and the pipeline; a deployment passes its own.

@@ -3,27 +3,30 @@
 A repeated run of ``window`` words holds, in either text, a whole block of
 ``block = (window + 1) // 2`` words that begins at a multiple of ``block``.
 
-1. Anchors: the hashes of all non-overlapping reference blocks. They are turned
-   into a bit table (three bits for a hash; built piece by piece by tasks, sent to
-   the executors once) of 24 bits or more a block, up to MAX_BITS in all.
-2. Probes: every rolling window of ``block`` words is looked up in the table. If a
-   run of ``window`` words also stands elsewhere, a whole reference block of that
-   other place lies in it: here a rolling window that hits, or a reference block
-   too, so two bits are kept: seen, and seen more than once. Hits are extended to
-   the runs of ``window`` words around them, whose 64-bit hashes travel, once for each group of documents, packed and sorted, to
-   their bucket. A table that fills up as the data outgrow it
-   lets more windows through; the result is the same.
-3. A bucket finds the hashes that more than one group sent, or one group twice,
-   and answers each group with those of its own.
-4. Each group marks the words covered by its repeated windows.
-
-Texts are dealt into groups by a hash of id and text, so copies and hot sources
-spread; a passage shared by a third of all rows costs each group one hash per
-window. Groups and buckets have a bounded size and their numbers follow the data.
+1. Texts are dealt into groups. A group sends the hash of every rolling window of
+   ``block`` words to the hash's bucket (each hash once, packed and sorted), and
+   says which of them stand at an anchor, a non-overlapping reference block.
+2. A bucket indexes the anchors of all groups and answers each group's probes:
+   those that an anchor of another group has.
+3. A place hits if an anchor elsewhere has its hash: in another group (the
+   answers) or in its own. Hits are extended to both sides: every run of
+   ``window`` words around a hit goes, as a 128-bit hash, to its bucket, which
+   answers the runs that stand in two groups, or twice in one. Runs that are
+   repeated and touch or overlap make up one maximal repeat.
+4. Each group removes the words that repeats cover.
+
+All tables are parted by hash and their parts follow the data: nothing is collected
+but the size of all texts, nothing broadcast. Copies and hot sources spread over
+the groups; a passage shared by a third of all rows costs each group one hash a
+window. A group is about GROUP_BYTES of text (or one longer text), a bucket about
+BUCKET_WINDOWS hashes.
 
 Cases: null text has no words; a document with fewer words than a window keeps
 all; repeated rows count as separate documents, so their windows are repeated;
-an empty table gives an empty result; extra columns are ignored.
+null ids are rows like others; an empty table gives an empty result; extra columns
+are ignored. Rows are dealt by their place in the input too (repeated rows
+spread), so the input must come in the same order if a task is run again, as a
+table's files do.
 """
 
 from __future__ import annotations
@@ -36,244 +39,180 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import raw, slices
+from .words import Slice
 
-#: White space that parts words: a fixed value of the query's contract.
-SPACE = np.zeros(256, bool)
-SPACE[[32, *range(9, 14)]] = True
-#: The anchors' two tables take 2^MAX_BITS bits each at most (64 MB), whatever the data.
-MAX_BITS = 29
-PIECES = 64
 #: Bytes of text in a group, and windows in a bucket, about.
 GROUP_BYTES, BUCKET_WINDOWS = 8 << 20, 1 << 21
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-ODD = np.uint64(0xD6E8FEB86659FD93)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * ODD
-    return x ^ (x >> np.uint64(29))
-
-
-def rolling(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` words: sums of doubled steps, each keyed by its place in the run."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    # parts of 1, 2, 4, ... words; a run is the parts of its size's binary digits in order
-    out = np.zeros(n, np.uint64)
-    part, span, at, left = words, 1, 0, size
-    while left:
-        if left & 1:
-            out = mixed(out * MULTIPLIER + part[at : at + n])
-            at += span
-        left >>= 1
-        if left:
-            part = mixed(part[: len(part) - span] * MULTIPLIER + part[span:])
-            span *= 2
-    return mixed(out + np.uint64(size))
-
-
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, as many as asked for so far."""
-
-    BASE = 0xC2B2AE3D27D4EB4F
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 20)
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-_powers = Powers()
-
-
-class Slice:
-    """The words of a slice's texts end to end as 64-bit numbers, and where each text's begin."""
-
-    def __init__(self, column, fold: bytes | None = None):
-        body, begins = raw(column)
-        body = body.translate(fold) if fold else body
-        letters = np.frombuffer(body, np.uint8)
-        n = len(letters)
-        inside = ~SPACE[letters]
-        edge = np.zeros(n + 1, bool)  # between texts
-        edge[begins] = True
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1] | edge[1:-1]
-        last[:-1] &= ~inside[1:] | edge[1:-1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _powers.upto(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        self.numbers = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * MULTIPLIER)
-        self.begins = np.searchsorted(start, begins).astype(np.int64)
-
-    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of ``size`` words, and whether each lies within one text."""
-        hashes = rolling(self.numbers, size)
-        ok = np.ones(len(hashes), bool)
-        ends = self.begins[1:-1]
-        for b in ends.tolist():
-            ok[max(0, b - size + 1) : b] = False
-        return hashes, ok
-
-    def anchored(self, n: int, size: int) -> np.ndarray:
-        """Whether a run at each of the first n places begins at a multiple of ``size`` in its text."""
-        sizes = np.diff(self.begins)
-        place = np.arange(int(self.begins[-1])) - np.repeat(self.begins[:-1], sizes)
-        return place[:n] % size == 0
-
-
-class Table:
-    """Bits set for hashes in pieces by their leading bits."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.size = 1 << bits - 6  # of a piece
-
-    def places(self, hashes: np.ndarray, k: int) -> np.ndarray:
-        """The k-th of three places of each hash within its piece."""
-        return (mixed(hashes + np.uint64(k) * MULTIPLIER) & np.uint64(self.size - 1)).astype(np.int64)
-
-    def held(self, table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Whether all three bits of each hash are set."""
-        piece = (hashes >> np.uint64(58)).astype(np.int64) * self.size
-        left = np.arange(len(hashes))
-        for k in range(3):
-            left = left[bit(table, piece[left] + self.places(hashes[left], k))]
-        out = np.zeros(len(hashes), bool)
-        out[left] = True
-        return out
-
-
-def bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
-
-def anchors(docs: DataFrame, block: int, size: int) -> tuple[Table, np.ndarray, np.ndarray]:
-    """Bit tables over all reference blocks of texts of about ``size`` bytes: seen, and seen more than once."""
-    table = Table(min(MAX_BITS, max(20, int(size / (6 * block) * 24).bit_length())))
-
-    def blocks(batches):
-        for batch in slices(batches):
-            part = Slice(batch.column("text"))
-            hashes, ok = part.runs(block)
-            found = np.sort(hashes[ok & part.anchored(len(hashes), block)])
-            cuts = np.searchsorted(found >> np.uint64(58), np.arange(PIECES + 1, dtype=np.uint64))
-            some = [k for k in range(PIECES) if cuts[k + 1] > cuts[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([found[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], ["piece", "hashes"])
-
-    def fill(batches):
-        pieces: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, h in zip(batch.column("piece").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                bits = pieces.setdefault(k, np.zeros((2, table.size), bool))
-                h = np.frombuffer(h, np.uint64)
-                at = [table.places(h, i) for i in range(3)]
-                again = bits[0, at[0]] & bits[0, at[1]] & bits[0, at[2]]
-                again[1:] |= h[1:] == h[:-1]
-                for a in at:
-                    bits[1, a[again]] = True
-                for a in at:
-                    bits[0, a] = True
-        keys = sorted(pieces)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([np.packbits(pieces[k][i]).tobytes() for k in keys], pa.binary()) for i in (0, 1))], ["piece", "seen", "twice"])
-
-    packed = docs.select("text").mapInArrow(blocks, "piece int, hashes binary").repartition(PIECES, "piece").mapInArrow(fill, "piece int, seen binary, twice binary")
-    seen, twice = (np.zeros((PIECES, table.size // 8), np.uint8) for _ in range(2))
-    for row in packed.toLocalIterator():  # 2^MAX_BITS times 2 bits at most in all
-        seen[row["piece"]] |= np.frombuffer(row["seen"], np.uint8)
-        twice[row["piece"]] |= np.frombuffer(row["twice"], np.uint8)
-    return table, seen.ravel(), twice.ravel()
-
-
-def candidates(part: Slice, window: int, block: int, table: Table, seen: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in the slice) and hashes of the windows of ``window`` words that hold an anchor hit."""
-    short, fits = part.runs(block)
-    own = part.anchored(len(short), block)
-    hit = np.zeros(len(short), bool)
-    for bits, some in ((twice, fits & own), (seen, fits & ~own)):
-        at = np.flatnonzero(some)
-        hit[at] = table.held(bits, short[at])
-    hashes, fits = part.runs(window)
-    sums = np.concatenate(([0], np.cumsum(hit)))
-    n = len(hashes)
-    some = sums[window - block + 1 :][:n] > sums[:n]
-    place = np.flatnonzero(fits & some)
-    return place, hashes[place]
+NONE = np.zeros(0, np.uint64)
+#: Documents of a group that are worked on at once.
+AT_ONCE = {"rows": 4096, "size": 4 << 20}
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each hash; it grows with the hash, so sorted hashes are sorted by bucket."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def sorted_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each occurs."""
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    at = np.flatnonzero(new)
+    return first[at], second[at], np.diff(np.concatenate((at, [len(first)])))
+
+
+def held(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of each pair (a, b) among the sorted distinct pairs (first, second), or -1."""
+    if not len(first):
+        return np.full(len(a), -1)
+    at = np.searchsorted(first, a)
+    out = np.full(len(a), -1)
+    left = np.arange(len(a))
+    while len(left):  # one step each, but for pairs that agree in the first half alone
+        left = left[at[left] < len(first)]
+        left = left[first[at[left]] == a[left]]
+        same = second[at[left]] == b[left]
+        out[left[same]] = at[left[same]]
+        left = left[~same]
+        at[left] += 1
+    return out
+
+
+def messages(grp: int, hashes: np.ndarray, buckets: int, **columns) -> dict:
+    """One row for each bucket that some of the sorted hashes belong to; ``columns`` are arrays beside them."""
+    which = bucket_of(hashes, buckets)
+    some, at = np.unique(which, return_index=True)
+    cuts = [*at.tolist(), len(hashes)]
+    cut = lambda x: [x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = {"bucket": pa.array(some, pa.int64()), "grp": pa.array([grp] * len(some), pa.int64()), "hashes": pa.array([h.tobytes() for h in cut(hashes)], pa.binary())}
+    for name, x in columns.items():
+        out[name] = pa.array([np.packbits(p).tobytes() if x.dtype == bool else p.tobytes() for p in cut(x)], pa.binary())
+    return pa.table(out)
+
+
+def unpacked(table: pa.Table, name: str) -> list[np.ndarray]:
+    return [np.frombuffer(h, np.uint64) for h in table.column(name).to_pylist()]
+
+
+def flags(table: pa.Table, name: str, runs: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.unpackbits(np.frombuffer(a, np.uint8), count=len(r)).astype(bool) for a, r in zip(table.column(name).to_pylist(), runs, strict=True)]
+
+
+def blocks_of(table: pa.Table, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all rolling windows of a group, and which of them are anchors."""
+    found, own = [NONE], [np.zeros(0, bool)]
+    for part in slices(table.to_batches(), **AT_ONCE):
+        cut = Slice(part.column("text"))
+        hashes, ok = cut.runs(block)
+        found.append(hashes[ok])
+        own.append(cut.anchored(len(hashes), block)[ok])
+    return np.concatenate(found), np.concatenate(own)
+
+
+def probe(key, table: pa.Table, block: int, buckets: int) -> pa.Table:
+    """A group's probes, each hash once, and whether it has an anchor with that hash."""
+    hashes, own = blocks_of(table, block)
+    order = np.argsort(hashes)
+    hashes, own = hashes[order], own[order]
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+    anchor = np.logical_or.reduceat(own, first) if len(first) else own
+    return messages(key[0].as_py(), hashes[first], buckets, anchors=anchor)
+
+
+def lookup(table: pa.Table) -> pa.Table:
+    """A bucket's answer: for each group its probes that an anchor of another group has."""
+    runs = unpacked(table, "hashes")
+    own = flags(table, "anchors", runs)
+    index, groups = np.unique(np.concatenate([NONE, *(r[f] for r, f in zip(runs, own, strict=True))]), return_counts=True)
+    out = []
+    for run, flag in zip(runs, own, strict=True):
+        at = np.searchsorted(index, run)
+        at[at == len(index)] = 0
+        there = groups[at] * (index[at] == run) if len(index) else np.zeros(len(run), np.int64)
+        out.append(run[there > flag].tobytes())
+    return pa.table({"grp": table.column("grp"), "hashes": pa.array(out, pa.binary())})
+
+
+def extend(texts: pa.Table, answers: pa.Table, grp: int, window: int, block: int, buckets: int) -> pa.Table:
+    """The runs of ``window`` words around a group's hits, each once, and whether the group has it twice."""
+    elsewhere = np.sort(np.concatenate([NONE, *unpacked(answers, "hashes")]))
+    hashes, own = blocks_of(texts, block)
+    anchors, many = np.unique(hashes[own], return_counts=True)
+    one, two = [NONE], [NONE]
+    for part in slices(texts.to_batches(), **AT_ONCE):
+        cut = Slice(part.column("text"))
+        short, ok = cut.runs(block)
+        hit = np.isin(short, elsewhere) if len(elsewhere) else np.zeros(len(short), bool)
+        if len(anchors):
+            at = np.searchsorted(anchors, short)
+            at[at == len(anchors)] = 0
+            hit |= many[at] * (anchors[at] == short) > cut.anchored(len(short), block)
+        hit &= ok
+        if not hit.any():
+            continue
+        a, b, fits = cut.wide_runs(window)
+        sums = np.concatenate(([0], np.cumsum(hit)))
+        place = np.flatnonzero(fits & (sums[window - block + 1 :][: len(a)] > sums[: len(a)]))
+        one.append(a[place])
+        two.append(b[place])
+    first, second, count = sorted_pairs(np.concatenate(one), np.concatenate(two))
+    return messages(grp, first, buckets, seconds=second, again=count > 1)
+
+
+def meet(table: pa.Table) -> pa.Table:
+    """A bucket's answer: for each group its runs that stand in another group too, or in its own again."""
+    one, two = unpacked(table, "hashes"), unpacked(table, "seconds")
+    again = flags(table, "again", one)
+    first, second, groups = sorted_pairs(np.concatenate([NONE, *one]), np.concatenate([NONE, *two]))
+    keep = [(groups[held(first, second, a, b)] > 1) | twice for a, b, twice in zip(one, two, again, strict=True)]
+    packed = lambda runs: pa.array([r[k].tobytes() for r, k in zip(runs, keep, strict=True)], pa.binary())
+    return pa.table({"grp": table.column("grp"), "hashes": packed(one), "seconds": packed(two)})
+
+
+def mark(texts: pa.Table, answers: pa.Table, window: int) -> pa.Table:
+    """Each document of a group without the words that its repeats cover."""
+    first, second, _ = sorted_pairs(np.concatenate([NONE, *unpacked(answers, "hashes")]), np.concatenate([NONE, *unpacked(answers, "seconds")]))
+    total, removed, digest, kept, spans = [], [], [], [], []
+    for part in slices(texts.to_batches(), **AT_ONCE):
+        body, begins = raw(part.column("text"))
+        covered = None
+        if len(first):
+            cut = Slice(part.column("text"))
+            a, b, fits = cut.wide_runs(window)
+            place = np.flatnonzero(fits & (held(first, second, a, b) >= 0))
+            change = np.zeros(int(cut.begins[-1]) + 1, np.int64)
+            change[place] += 1
+            change[place + window] -= 1
+            covered = np.cumsum(change)[:-1] > 0
+        for i in range(part.num_rows):
+            words = body[begins[i] : begins[i + 1]].split()
+            gone = covered[cut.begins[i] : cut.begins[i + 1]] if covered is not None else np.zeros(0, bool)
+            n = int(gone.sum())
+            rest = b" ".join(words if not n else [words[k] for k in np.flatnonzero(~gone).tolist()])
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).reshape(-1, 2) if n else []
+            total.append(len(words))
+            removed.append(n)
+            digest.append(hashlib.sha256(rest).hexdigest())
+            kept.append(rest.decode() if n else None)
+            spans.append([{"first": int(x), "words": int(y - x)} for x, y in edge])
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
+    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, kind)})
 
 
 def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, null if all do)."""
-    spark = docs.sparkSession
+    """One row for each document: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, null if all do), spans (maximal repeats as first word and number)."""
     block = (window + 1) // 2
     docs = docs.select("doc_id", "text")
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    tables = spark.sparkContext.broadcast(anchors(docs, block, size))
     groups, buckets = max(4, -(-size // GROUP_BYTES)), max(4, -(-size // (6 * BUCKET_WINDOWS)))
-    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text")), F.lit(groups)))
-
-    def probe(key, batches) -> pa.Table:
-        found = [np.zeros(0, np.uint64)]
-        for part in slices(batches, rows=1 << 20):
-            found.append(candidates(Slice(part.column("text")), window, block, *tables.value)[1])
-        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        hashes, again = hashes[order], counts[order] > 1
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-        parts = [(hashes[cuts[k] : cuts[k + 1]].tobytes(), np.packbits(again[cuts[k] : cuts[k + 1]]).tobytes()) for k in some]
-        return pa.table({"bucket": pa.array(some, pa.int64()), "grp": pa.array([key[0].as_py()] * len(some), pa.int64()), "hashes": pa.array([p[0] for p in parts], pa.binary()), "again": pa.array([p[1] for p in parts], pa.binary())})
-
-    def meet(table: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
-        again = [np.unpackbits(np.frombuffer(a, np.uint8), count=len(r)).astype(bool) for a, r in zip(table.column("again").to_pylist(), runs, strict=True)]
-        every = np.concatenate(runs)
-        every.sort()
-        many = np.unique(every[1:][every[1:] == every[:-1]])
-        out = []
-        for run, twice in zip(runs, again, strict=True):
-            at = np.searchsorted(many, run)
-            at[at == len(many)] = 0
-            out.append(run[twice | (many[at] == run if len(many) else False)].tobytes())
-        return pa.table({"grp": table.column("grp"), "hashes": pa.array(out, pa.binary())})
-
-    def mark(left: pa.Table, right: pa.Table) -> pa.Table:
-        repeated = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in right.column("hashes").to_pylist())]))
-        total, removed, digest, kept = [], [], [], []
-        for part in slices(left.to_batches(), rows=1 << 20):
-            cut = Slice(part.column("text"))
-            place, hashes = candidates(cut, window, block, *tables.value)
-            if len(repeated):
-                at = np.searchsorted(repeated, hashes)
-                at[at == len(repeated)] = 0
-                place = place[repeated[at] == hashes]
-            else:
-                place = place[:0]
-            change = np.zeros(int(cut.begins[-1]) + 1, np.int64)
-            change[place] += 1
-            change[place + window] -= 1
-            covered = np.cumsum(change)[:-1] > 0
-            body, begins = raw(part.column("text"))
-            for i in range(part.num_rows):
-                words = body[begins[i] : begins[i + 1]].split()
-                gone = covered[cut.begins[i] : cut.begins[i + 1]]
-                n = int(gone.sum())
-                rest = b" ".join(words if not n else [words[k] for k in np.flatnonzero(~gone).tolist()])
-                total.append(len(words))
-                removed.append(n)
-                digest.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest.decode() if n else None)
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.string())})
-
-    sent = dealt.groupBy("grp").applyInArrow(lambda key, table: probe(key, table.to_batches()), "bucket long, grp long, hashes binary, again binary")
-    answers = sent.groupBy("bucket").applyInArrow(meet, "grp long, hashes binary")
-    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(mark, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, kept string")
+    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text"), F.monotonically_increasing_id()), F.lit(groups)))
+
+    sent = dealt.groupBy("grp").applyInArrow(lambda key, table: probe(key, table, block, buckets), "bucket long, grp long, hashes binary, anchors binary")
+    hits = sent.groupBy("bucket").applyInArrow(lookup, "grp long, hashes binary")
+    around = dealt.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda key, left, right: extend(left, right, key[0].as_py(), window, block, buckets), "bucket long, grp long, hashes binary, seconds binary, again binary")
+    again = around.groupBy("bucket").applyInArrow(meet, "grp long, hashes binary, seconds binary")
+    return dealt.groupBy("grp").cogroup(again.groupBy("grp")).applyInArrow(
+        lambda left, right: mark(left, right, window), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first: long, words: long>>"
+    )

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from legwork.llm import decontaminate, extract, fingerprint, langid, neardup, packing, pii, repeats, sharding, toxicity
+from legwork.llm import decontaminate, extract, fingerprint, langid, neardup, packing, pii, repeats, sharding, toxicity, words
 from legwork.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -248,6 +248,23 @@ def test_near_duplicates_of_small_classes_beside_a_large_one(spark):
     assert got_classes(neardup.classes(frame, **CROWDED).collect()) == want
 
 
+def test_near_duplicates_on_a_common_template(spark, monkeypatch):
+    """Pairs at 0.8 or more among texts that share a template (others at about 0.7), buckets cut into small chunks."""
+    monkeypatch.setattr(neardup, "CHUNK", 16)
+    rng = np.random.RandomState(8)
+    template = [f"c{i}" for i in range(190)]
+    texts = {}
+    for k in range(250):
+        words = [*template, *(f"w{rng.randint(10**9)}" for _ in range(36))]
+        other = [*words]
+        other[195 + rng.randint(28)] = "changed"
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(other)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = true_classes(texts)
+    assert sum(len(c) == 2 for c in want) == 250
+    assert got_classes(neardup.classes(frame).collect()) == want
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.RandomState(1)
     darts = neardup.Darts(512)
@@ -257,9 +274,13 @@ def test_dart_signatures_estimate_weighted_similarity():
     got = []
     for w in (a, b):
         shingles = np.repeat(name, w)
-        cells = neardup.counted(np.zeros(len(shingles), np.int64), shingles)
-        got.append(darts.throw(np.zeros(len(cells), np.int64), cells, np.ones(len(cells)), 1)[0])
+        got.append(darts.throw(*neardup.weighted(np.zeros(len(shingles), np.int64), shingles, "count"), 1)[0])
     assert abs((got[0] == got[1]).mean() - truth) < 0.09
+    logs, got = [1 + np.log(w) for w in (a, b)], []
+    for w in (a, b):
+        shingles = np.repeat(name, w)
+        got.append(darts.throw(*neardup.weighted(np.zeros(len(shingles), np.int64), shingles, "log"), 1)[0])
+    assert abs((got[0] == got[1]).mean() - np.minimum(*logs).sum() / np.maximum(*logs).sum()) < 0.09
     half = darts.throw(np.zeros(300, np.int64), name, np.full(300, 0.5), 1)[0]
     full = darts.throw(np.zeros(300, np.int64), name, np.ones(300), 1)[0]
     assert abs((half == full).mean() - 0.5) < 0.09
@@ -374,7 +395,7 @@ def brute_repeats(texts, size):
 @pytest.mark.parametrize("size", [35, 8, 3])
 def test_repeats(spark, rows, size):
     texts = [*rows.items(), *ODD, (900, "a b c d e f g h i j " * 5), (901, "z a b c d e f g h i j k")]
-    got = repeats.repeats(odd(spark, texts), size).drop("kept").collect()
+    got = repeats.repeats(odd(spark, texts), size).drop("kept", "spans").collect()
     assert sorted(map(tuple, got), key=str) == brute_repeats(texts, size)
 
 
@@ -385,9 +406,9 @@ def test_repeats_of_an_empty_table(spark):
 def test_rolling_hashes_tell_runs_apart():
     x = np.arange(1, 200, dtype=np.uint64)
     for size in (1, 2, 5, 18, 35):
-        h = repeats.rolling(x, size)
+        h = words.rolling(x, size)
         assert len(h) == len(x) - size + 1 == len(set(h.tolist()))
-        assert (repeats.rolling(x[3:], size) == h[3:]).all()
+        assert (words.rolling(x[3:], size) == h[3:]).all()
 
 
 def valid_card(s):
@@ -557,3 +578,44 @@ def test_fingerprints_of_odd_tables(spark):
     alone = fingerprint.fingerprints(odd(spark, [(4, "only one text here, of some length, to take")])).collect()[0]
     assert alone["near_next"] == 1.0
     assert fingerprint.fingerprints(odd(spark, ODD).limit(0)).count() == 0
+
+
+def thue_morse(n):
+    """A word of a and b whose letter sums cancel out against its complement's in every polynomial hash modulo 2^64."""
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomial_sums_confuse_differ(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    same = [f"w{i}" for i in range(34)]
+    frame = spark.createDataFrame([(1, " ".join([one, *same])), (2, " ".join([other, *same]))], "doc_id long, text string")
+    assert [r["n_removed"] for r in repeats.repeats(frame).collect()] == [0, 0]
+    texts = [one, other, one[:512], other[:512], "x" * 600, "x" * 601]
+    got = words.numbers(" ".join(texts).encode(), *(np.array(x) for x in zip(*[(sum(map(len, texts[:i])) + i, sum(map(len, texts[: i + 1])) + i) for i in range(len(texts))], strict=True)), 1)
+    assert len(set(got.tolist())) == len(texts)
+
+
+def test_repeats_across_and_within_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(repeats, "BUCKET_WINDOWS", 300)
+    rng = np.random.RandomState(5)
+    passages = [[f"p{k}_{i}" for i in range(60)] for k in range(6)]
+    texts = {}
+    for d in range(120):
+        t = [f"r{rng.randint(10**6)}" for _ in range(rng.randint(0, 80))]
+        if d % 3 == 0:  # one passage in a third of all rows, cut at odd places
+            t += passages[0][rng.randint(0, 20) : rng.randint(40, 60)]
+        if d % 5 == 0:
+            t += passages[1 + d % 4] * (1 + d % 2)
+        texts[d] = " ".join(t)
+    got = {r["doc_id"]: r for r in repeats.repeats(odd(spark, texts.items()), 35).collect()}
+    seen = collections.Counter(tuple(w[i : i + 35]) for w in (t.split() for t in texts.values()) for i in range(len(w) - 34))
+    for d, t in texts.items():
+        w = t.split()
+        gone = set()
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        assert got[d]["n_removed"] == len(gone)
+        assert {k for s in got[d]["spans"] for k in range(s["first"], s["first"] + s["words"])} == gone
