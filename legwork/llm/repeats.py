@@ -4,15 +4,17 @@ A repeated run of ``window`` words holds, in either text, a whole block of
 ``block = (window + 1) // 2`` words that begins at a multiple of ``block``.
 
 1. Texts are dealt into groups. A group sends the hash of every rolling window of
-   ``block`` words to the hash's bucket (each hash once, packed and sorted), and
-   says which of them stand at an anchor, a non-overlapping reference block.
-2. A bucket indexes the anchors of all groups and answers each group's probes:
-   those that an anchor of another group has.
+   ``block`` words to the hash's bucket (each hash once, sorted and packed to 32 bits
+   beside the bucket's number), and says which of them stand at an anchor, a
+   non-overlapping reference block.
+2. A bucket indexes the anchors of all groups and answers each group's probes with a
+   bit: whether an anchor of another group has it.
 3. A place hits if an anchor elsewhere has its hash: in another group (the
    answers) or in its own. Hits are extended to both sides: every run of
-   ``window`` words around a hit goes, as a 128-bit hash, to its bucket, which
-   answers the runs that stand in two groups, or twice in one. Runs that are
-   repeated and touch or overlap make up one maximal repeat.
+   ``window`` words around a hit goes to its bucket as a hash of 96 bits beside the
+   bucket's number, and the bucket answers with a bit whether the run stands in two
+   groups, or twice in one. Runs that are repeated and touch or overlap make up one
+   maximal repeat. (A probe that meets by chance costs a few runs more, no result.)
 4. Each group removes the words that repeats cover.
 
 All tables are parted by hash and their parts follow the data: nothing is collected
@@ -35,6 +37,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +47,49 @@ from .words import Slice
 #: Bytes of text in a group, and windows in a bucket, about.
 GROUP_BYTES, BUCKET_WINDOWS = 8 << 20, 1 << 21
 NONE = np.zeros(0, np.uint64)
+LOW = np.uint64(0xFFFFFFFF)
 #: Documents of a group that are worked on at once.
 AT_ONCE = {"rows": 4096, "size": 4 << 20}
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each hash; it grows with the hash, so sorted hashes are sorted by bucket."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def keyed(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket (from the upper half) and lower half of each hash, in one number."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) & ~LOW) | hashes & LOW
+
+
+def cuts(keys: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """The buckets of sorted keys, and where the keys of each stand."""
+    some, at = np.unique(keys >> np.uint64(32), return_index=True)
+    edge = [*at.tolist(), len(keys)]
+    return some.astype(np.int64), [slice(a, b) for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def messages(grp: int, keys: np.ndarray, **columns) -> pa.Table:
+    """One row for each bucket that some of the sorted keys belong to; ``columns`` are arrays beside the keys."""
+    some, parts = cuts(keys)
+    lower = keys.astype(np.uint32)
+    out = {"bucket": pa.array(some), "grp": pa.array([grp] * len(some), pa.int64()), "lower": pa.array([lower[p].tobytes() for p in parts], pa.binary())}
+    for name, x in columns.items():
+        out[name] = pa.array([np.packbits(x[p]).tobytes() if x.dtype == bool else x[p].tobytes() for p in parts], pa.binary())
+    return pa.table(out)
+
+
+def runs_of(table: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(h, kind) for h in table.column(name).to_pylist()]
+
+
+def flags(table: pa.Table, name: str, sizes) -> list[np.ndarray]:
+    return [np.unpackbits(np.frombuffer(a, np.uint8), count=n).astype(bool) for a, n in zip(table.column(name).to_pylist(), sizes, strict=True)]
+
+
+def answered(keys: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """The answers (bucket, bits) to a group's sorted keys."""
+    some, parts = cuts(keys)
+    bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
+    out = np.zeros(len(keys), bool)
+    for k, p in zip(some.tolist(), parts, strict=True):
+        out[p] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=p.stop - p.start)
+    return out
 
 
 def sorted_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,10 +104,10 @@ def sorted_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.
 
 def held(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Place of each pair (a, b) among the sorted distinct pairs (first, second), or -1."""
+    out = np.full(len(a), -1)
     if not len(first):
-        return np.full(len(a), -1)
+        return out
     at = np.searchsorted(first, a)
-    out = np.full(len(a), -1)
     left = np.arange(len(a))
     while len(left):  # one step each, but for pairs that agree in the first half alone
         left = left[at[left] < len(first)]
@@ -80,122 +119,101 @@ def held(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return out
 
 
-def messages(grp: int, hashes: np.ndarray, buckets: int, **columns) -> dict:
-    """One row for each bucket that some of the sorted hashes belong to; ``columns`` are arrays beside them."""
-    which = bucket_of(hashes, buckets)
-    some, at = np.unique(which, return_index=True)
-    cuts = [*at.tolist(), len(hashes)]
-    cut = lambda x: [x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    out = {"bucket": pa.array(some, pa.int64()), "grp": pa.array([grp] * len(some), pa.int64()), "hashes": pa.array([h.tobytes() for h in cut(hashes)], pa.binary())}
-    for name, x in columns.items():
-        out[name] = pa.array([np.packbits(p).tobytes() if x.dtype == bool else p.tobytes() for p in cut(x)], pa.binary())
-    return pa.table(out)
-
-
-def unpacked(table: pa.Table, name: str) -> list[np.ndarray]:
-    return [np.frombuffer(h, np.uint64) for h in table.column(name).to_pylist()]
-
-
-def flags(table: pa.Table, name: str, runs: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.unpackbits(np.frombuffer(a, np.uint8), count=len(r)).astype(bool) for a, r in zip(table.column(name).to_pylist(), runs, strict=True)]
-
-
-def blocks_of(table: pa.Table, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all rolling windows of a group, and which of them are anchors."""
-    found, own = [NONE], [np.zeros(0, bool)]
-    for part in slices(table.to_batches(), **AT_ONCE):
-        cut = Slice(part.column("text"))
-        hashes, ok = cut.runs(block)
-        found.append(hashes[ok])
-        own.append(cut.anchored(len(hashes), block)[ok])
-    return np.concatenate(found), np.concatenate(own)
+class Group:
+    """The rolling windows of a group's texts and the runs around its hits."""
+
+    def __init__(self, texts: pa.Table, window: int, block: int, buckets: int):
+        self.texts, self.window, self.block, self.buckets = texts, window, block, buckets
+        found, own = [NONE], [np.zeros(0, bool)]
+        for cut in self.parts():
+            hashes, ok = cut.runs(block)
+            found.append(keyed(hashes[ok], buckets))
+            own.append(cut.anchored(len(hashes), block)[ok])
+        keys, own = np.concatenate(found), np.concatenate(own)
+        order = np.argsort(keys)
+        keys, own = keys[order], own[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        self.keys = keys[first]
+        self.anchors = np.add.reduceat(own, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+
+    def parts(self):
+        for part in slices(self.texts.to_batches(), **AT_ONCE):
+            yield Slice(part.column("text"))
+
+    def runs(self, answers: pa.Table):
+        """(number of the part, first, second, place): the runs around hits in each part, as keys and further 64 bits."""
+        elsewhere = answered(self.keys, answers) if len(self.keys) else np.zeros(0, bool)
+        if not elsewhere.any() and not (self.anchors > 0).any():
+            return
+        window, block = self.window, self.block
+        for n, cut in enumerate(self.parts()):
+            short, ok = cut.runs(block)
+            at = np.searchsorted(self.keys, keyed(short, self.buckets))
+            at[~ok] = 0
+            hit = ok & (elsewhere[at] | (self.anchors[at] > cut.anchored(len(short), block)))
+            if not hit.any():
+                continue
+            a, b, fits = cut.wide_runs(window)
+            sums = np.concatenate(([0], np.cumsum(hit)))
+            place = np.flatnonzero(fits & (sums[window - block + 1 :][: len(a)] > sums[: len(a)]))
+            yield n, keyed(a[place], self.buckets), b[place], place
 
 
-def probe(key, table: pa.Table, block: int, buckets: int) -> pa.Table:
-    """A group's probes, each hash once, and whether it has an anchor with that hash."""
-    hashes, own = blocks_of(table, block)
-    order = np.argsort(hashes)
-    hashes, own = hashes[order], own[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
-    anchor = np.logical_or.reduceat(own, first) if len(first) else own
-    return messages(key[0].as_py(), hashes[first], buckets, anchors=anchor)
+def distinct_runs(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return sorted_pairs(np.concatenate([NONE, *(f[1] for f in found)]), np.concatenate([NONE, *(f[2] for f in found)]))
 
 
-def lookup(table: pa.Table) -> pa.Table:
-    """A bucket's answer: for each group its probes that an anchor of another group has."""
-    runs = unpacked(table, "hashes")
-    own = flags(table, "anchors", runs)
-    index, groups = np.unique(np.concatenate([NONE, *(r[f] for r, f in zip(runs, own, strict=True))]), return_counts=True)
+def lookup(table):
+    """A bucket's answer: for each group's probes whether an anchor of another group has them."""
+    runs = runs_of(table, "lower", np.uint32)
+    own = flags(table, "anchors", map(len, runs))
+    index, groups = np.unique(np.concatenate([np.zeros(0, np.uint32), *(r[f] for r, f in zip(runs, own, strict=True))]), return_counts=True)
     out = []
     for run, flag in zip(runs, own, strict=True):
         at = np.searchsorted(index, run)
         at[at == len(index)] = 0
         there = groups[at] * (index[at] == run) if len(index) else np.zeros(len(run), np.int64)
-        out.append(run[there > flag].tobytes())
-    return pa.table({"grp": table.column("grp"), "hashes": pa.array(out, pa.binary())})
-
-
-def extend(texts: pa.Table, answers: pa.Table, grp: int, window: int, block: int, buckets: int) -> pa.Table:
-    """The runs of ``window`` words around a group's hits, each once, and whether the group has it twice."""
-    elsewhere = np.sort(np.concatenate([NONE, *unpacked(answers, "hashes")]))
-    hashes, own = blocks_of(texts, block)
-    anchors, many = np.unique(hashes[own], return_counts=True)
-    one, two = [NONE], [NONE]
-    for part in slices(texts.to_batches(), **AT_ONCE):
-        cut = Slice(part.column("text"))
-        short, ok = cut.runs(block)
-        hit = np.isin(short, elsewhere) if len(elsewhere) else np.zeros(len(short), bool)
-        if len(anchors):
-            at = np.searchsorted(anchors, short)
-            at[at == len(anchors)] = 0
-            hit |= many[at] * (anchors[at] == short) > cut.anchored(len(short), block)
-        hit &= ok
-        if not hit.any():
-            continue
-        a, b, fits = cut.wide_runs(window)
-        sums = np.concatenate(([0], np.cumsum(hit)))
-        place = np.flatnonzero(fits & (sums[window - block + 1 :][: len(a)] > sums[: len(a)]))
-        one.append(a[place])
-        two.append(b[place])
-    first, second, count = sorted_pairs(np.concatenate(one), np.concatenate(two))
-    return messages(grp, first, buckets, seconds=second, again=count > 1)
-
-
-def meet(table: pa.Table) -> pa.Table:
-    """A bucket's answer: for each group its runs that stand in another group too, or in its own again."""
-    one, two = unpacked(table, "hashes"), unpacked(table, "seconds")
-    again = flags(table, "again", one)
-    first, second, groups = sorted_pairs(np.concatenate([NONE, *one]), np.concatenate([NONE, *two]))
-    keep = [(groups[held(first, second, a, b)] > 1) | twice for a, b, twice in zip(one, two, again, strict=True)]
-    packed = lambda runs: pa.array([r[k].tobytes() for r, k in zip(runs, keep, strict=True)], pa.binary())
-    return pa.table({"grp": table.column("grp"), "hashes": packed(one), "seconds": packed(two)})
-
-
-def mark(texts: pa.Table, answers: pa.Table, window: int) -> pa.Table:
+        out.append(np.packbits(there > flag).tobytes())
+    return pa.table({"grp": table.column("grp"), "step": pa.array([1] * len(out), pa.int32()), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())})
+
+
+def meet(table):
+    """A bucket's answer: for each group's runs whether they stand in another group too, or in its own again."""
+    one, two = runs_of(table, "lower", np.uint32), runs_of(table, "seconds", np.uint64)
+    again = flags(table, "again", map(len, one))
+    first, second, groups = sorted_pairs(np.concatenate([np.zeros(0, np.uint32), *one]), np.concatenate([NONE, *two]))
+    out = [np.packbits((groups[held(first, second, a, b)] > 1) | twice).tobytes() for a, b, twice in zip(one, two, again, strict=True)]
+    return pa.table({"grp": table.column("grp"), "step": pa.array([2] * len(out), pa.int32()), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())})
+
+
+def mark(group: Group, answers: pa.Table) -> pa.Table:
     """Each document of a group without the words that its repeats cover."""
-    first, second, _ = sorted_pairs(np.concatenate([NONE, *unpacked(answers, "hashes")]), np.concatenate([NONE, *unpacked(answers, "seconds")]))
+    texts, step = group.texts, answers.column("step")
+    found = list(group.runs(answers.filter(pc.equal(step, 1))))
+    first, second, _ = distinct_runs(found)
+    again = answered(first, answers.filter(pc.equal(step, 2))) if len(first) else np.zeros(0, bool)
+    first, second = first[again], second[again]
+    places = {n: place[held(first, second, a, b) >= 0] for n, a, b, place in found}
     total, removed, digest, kept, spans = [], [], [], [], []
-    for part in slices(texts.to_batches(), **AT_ONCE):
+    for n, part in enumerate(slices(texts.to_batches(), **AT_ONCE)):
         body, begins = raw(part.column("text"))
         covered = None
-        if len(first):
+        if n in places and len(places[n]):
             cut = Slice(part.column("text"))
-            a, b, fits = cut.wide_runs(window)
-            place = np.flatnonzero(fits & (held(first, second, a, b) >= 0))
             change = np.zeros(int(cut.begins[-1]) + 1, np.int64)
-            change[place] += 1
-            change[place + window] -= 1
+            change[places[n]] += 1
+            change[places[n] + group.window] -= 1
             covered = np.cumsum(change)[:-1] > 0
         for i in range(part.num_rows):
             words = body[begins[i] : begins[i + 1]].split()
             gone = covered[cut.begins[i] : cut.begins[i + 1]] if covered is not None else np.zeros(0, bool)
-            n = int(gone.sum())
-            rest = b" ".join(words if not n else [words[k] for k in np.flatnonzero(~gone).tolist()])
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).reshape(-1, 2) if n else []
+            k = int(gone.sum())
+            rest = b" ".join(words if not k else [words[j] for j in np.flatnonzero(~gone).tolist()])
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).reshape(-1, 2) if k else []
             total.append(len(words))
-            removed.append(n)
+            removed.append(k)
             digest.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest.decode() if n else None)
+            kept.append(rest.decode() if k else None)
             spans.append([{"first": int(x), "words": int(y - x)} for x, y in edge])
     kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
     return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, kind)})
@@ -209,10 +227,20 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     groups, buckets = max(4, -(-size // GROUP_BYTES)), max(4, -(-size // (6 * BUCKET_WINDOWS)))
     dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.crc32("text"), F.monotonically_increasing_id()), F.lit(groups)))
 
-    sent = dealt.groupBy("grp").applyInArrow(lambda key, table: probe(key, table, block, buckets), "bucket long, grp long, hashes binary, anchors binary")
-    hits = sent.groupBy("bucket").applyInArrow(lookup, "grp long, hashes binary")
-    around = dealt.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda key, left, right: extend(left, right, key[0].as_py(), window, block, buckets), "bucket long, grp long, hashes binary, seconds binary, again binary")
-    again = around.groupBy("bucket").applyInArrow(meet, "grp long, hashes binary, seconds binary")
-    return dealt.groupBy("grp").cogroup(again.groupBy("grp")).applyInArrow(
-        lambda left, right: mark(left, right, window), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first: long, words: long>>"
-    )
+    def probe(key, texts):
+        group = Group(texts, window, block, buckets)
+        return messages(key[0].as_py(), group.keys, anchors=group.anchors > 0)
+
+    def extend(key, texts, answers):
+        first, second, count = distinct_runs(list(Group(texts, window, block, buckets).runs(answers)))
+        return messages(key[0].as_py(), first, seconds=second, again=count > 1)
+
+    def finish(texts, answers):
+        return mark(Group(texts, window, block, buckets), answers)
+
+    answer = "grp long, step int, bucket long, bits binary"
+    hits = dealt.groupBy("grp").applyInArrow(probe, "bucket long, grp long, lower binary, anchors binary").groupBy("bucket").applyInArrow(lookup, answer)
+    around = dealt.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(extend, "bucket long, grp long, lower binary, seconds binary, again binary")
+    again = around.groupBy("bucket").applyInArrow(meet, answer)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first: long, words: long>>"
+    return dealt.groupBy("grp").cogroup(hits.unionByName(again).groupBy("grp")).applyInArrow(finish, schema)
