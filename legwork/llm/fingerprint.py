@@ -13,15 +13,19 @@ longer one; the common bits beyond those expected by chance, over the most there
 could be, are its score; the best scores are averaged by the filters' numbers of
 features. Equal fingerprints have likeness 1, an empty text and another 0.
 
-Finding each document's successor by id needs no global order: ids are cut into
-cells of equal width, at most MAX_CELLS of them; the first document of each cell
-goes to the cell before as well. One shuffle moves each text once; what a task
-holds is one cell.
-
-Cases: null text counts as empty; an empty table gives an empty result; rows with
-the same id follow each other in the order of a hash of their texts; rows without
-an id precede the others, but the last document is followed by that of least id;
-extra columns are ignored.
+Finding each document's successor: rows are ordered by doc_id and, for equal ids, a
+hash of the text. A pass over ids and hashes alone cuts this order into cells of
+about CELL_BYTES of text (Spark's range partitioning, so skewed ids do not matter);
+each row's cell is found by binary search in the bounds, two numbers for each cell.
+Rows that equal several bounds, such as copies of a row, are spread over their
+cells. Then one shuffle moves each text once, the first document of each cell goes
+to the cell before as well, and a task streams over its sorted rows, holding one
+slice of them.
+
+Cases: null text counts as empty; an empty table gives an empty result; ids may be
+of any type that orders; rows with the same id follow each other in the order of a
+hash of their texts; rows without an id precede the others; the last document is
+followed by the first, a single one by itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,17 +35,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import durable, raw, slices
 
 BITS = 2048
 BYTES = BITS // 8
 CLASSES = 200
-#: Cells are small enough to be broadcast: so many rows of three numbers.
-MAX_CELLS = 1_000_000
+#: Text in a cell, about: its bounds are two numbers.
+CELL_BYTES = 16 << 20
 
 
 class Windows:
@@ -220,53 +223,121 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(np.clip(np.average(best, weights=a[1]), 0, 1))
 
 
-def fingerprints(docs: DataFrame, width: int = 16, run: int = 32, points: int = 12, fill: int = 128, cell_rows: int = 1500) -> DataFrame:
+class Cells:
+    """Bounds of cells in the order of (id, tie), ids without a value first."""
+
+    def __init__(self, bounds: list[tuple]):
+        self.empty = np.sort(np.array([t for i, t in bounds if i is None], np.int64))
+        some = [(i, t) for i, t in bounds if i is not None]
+        self.ids, self.ties = [i for i, _ in some], np.array([t for _, t in some], np.int64)
+        self.ids = np.array(self.ids) if all(isinstance(i, int) for i in self.ids) else np.array(self.ids, object)
+
+    def __call__(self, ids: pa.Array, tie: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """Number of the cell of each row: one that ends at or holds its key; rows equal to bounds may go to any cell between."""
+        low, high = np.zeros(len(tie), np.int64), np.zeros(len(tie), np.int64)
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        low[null], high[null] = (np.searchsorted(self.empty, tie[null], side) for side in ("left", "right"))
+        rest = np.flatnonzero(~null)
+        if len(self.ids) and len(rest):
+            values = ids.take(pa.array(rest))
+            values = values.to_numpy(zero_copy_only=False) if self.ids.dtype != object else np.array(values.to_pylist(), object)
+            first, last = np.searchsorted(self.ids, values, "left"), np.searchsorted(self.ids, values, "right")
+            low[rest], high[rest] = first, last
+            shared = np.flatnonzero(first < last)  # ids that are bounds themselves: their ties decide
+            for a, b in {(int(first[k]), int(last[k])) for k in shared}:
+                some = rest[shared[(first[shared] == a) & (last[shared] == b)]]
+                low[some], high[some] = (a + np.searchsorted(self.ties[a:b], tie[some], side) for side in ("left", "right"))
+        low[rest] += len(self.empty)
+        high[rest] += len(self.empty)
+        return low + (spread.astype(np.uint64) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+
+
+def in_cells(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` (doc_id, text, tie) with cell and tail: rows of a cell follow each other in order, and a tail is the first row of the cell after it."""
+    spark = docs.sparkSession
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    n = max(1, -(-size // CELL_BYTES))
+    ranged = docs.select("doc_id", "tie", spread.alias("spread")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie", "spread")
+    # the order of Spark's structs: null first, as in the cells
+    starts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "tie")).alias("x")).orderBy("part").select("x.*").collect()  # a row for each cell
+    cells = spark.sparkContext.broadcast(Cells([(r["doc_id"], r["tie"]) for r in starts[1:]]))
+
+    def place(batches):
+        for batch in batches:
+            out = cells.value(batch.column("doc_id"), batch.column("tie").to_numpy(), batch.column("spread").to_numpy())
+            yield batch.append_column("cell", pa.array(out, pa.int64()))
+
+    kinds = ", ".join(f"{c} {k}" for c, k in docs.dtypes)
+    # firsts come from keys alone; texts are placed by the same function
+    keyed = docs.select("doc_id", "tie", spread.alias("spread")).mapInArrow(place, f"doc_id {dict(docs.dtypes)['doc_id']}, tie long, spread long, cell long")
+    firsts = durable(keyed.groupBy("cell").agg(F.min(F.struct("doc_id", "tie")).alias("x")).select("cell", "x.*"))
+    order = [r["cell"] for r in firsts.select("cell").orderBy("cell").collect()]  # a number for each cell
+    before = {c: order[i - 1] for i, c in enumerate(order)}  # the last cell gets the first document
+    after = spark.sparkContext.broadcast(before)
+
+    def hand_on(batches):
+        for batch in batches:
+            yield batch.set_column(0, "cell", pa.array([after.value[c] for c in batch.column("cell").to_pylist()], pa.int64()))
+
+    links = firsts.mapInArrow(hand_on, ", ".join(f"{c} {k}" for c, k in firsts.dtypes)).select("cell", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    placed = docs.withColumn("spread", spread).mapInArrow(place, f"{kinds}, spread long, cell long").select("doc_id", "text", "tie", "cell", F.lit(False).alias("tail"))
+    # one text for each key that begins a cell, however many rows have it
+    same = docs["doc_id"].eqNullSafe(links["_id"]) & (docs["tie"] == links["_tie"])
+    texts = docs.join(F.broadcast(links.select("_id", "_tie").distinct()), same, "left_semi").groupBy("doc_id", "tie").agg(F.any_value("text").alias("text"))
+    tails = texts.join(F.broadcast(links), texts["doc_id"].eqNullSafe(links["_id"]) & (texts["tie"] == links["_tie"])).select("doc_id", "text", "tie", "cell", F.lit(True).alias("tail"))
+    return placed.unionByName(tails).repartition(n, "cell").sortWithinPartitions("cell", "tail", F.col("doc_id").asc_nulls_first(), "tie")
+
+
+def fingerprints(docs: DataFrame, width: int = 16, run: int = 32, points: int = 12, fill: int = 128) -> DataFrame:
     """One row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    doc_id is an integer. The edited text is the text with its last quarter of
-    code points replaced by the first as many of the next document.
+    The edited text is the text with its last quarter of code points replaced by
+    the first as many of the next document.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     digest = spark.sparkContext.broadcast(Digest(ranks(census(docs, width)), width, run, points, fill))
-    n, low, high = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    wanted = max(1, min(MAX_CELLS, -(-n // cell_rows)))
-    cell_width = max(1, -(-((high or 0) - (low or 0) + 1) // wanted))
-    docs = docs.withColumn("cell", F.floor((F.coalesce("doc_id", F.lit(low or 0)) - F.lit(low or 0)) / F.lit(cell_width)))
-    firsts = docs.groupBy("cell").agg(F.min("doc_id").alias("first"))
-    ordered = sorted(tuple(r) for r in firsts.collect())  # at most MAX_CELLS rows
-    links = [(first, ordered[i - 1][0]) for i, (_, first) in enumerate(ordered) if first is not None]  # the last cell gets the first document
-    starts = spark.createDataFrame(links, "doc_id long, cell long")
-    after = docs.drop("cell").join(F.broadcast(starts), "doc_id").select("doc_id", "text", "cell", F.lit(True).alias("tail"))
-    both = docs.select("doc_id", "text", "cell", F.lit(False).alias("tail")).unionByName(after)
-
-    def work(table: pa.Table) -> pa.Table:
-        table = table.append_column("tie", pa.array([hashlib.blake2b(t.encode(), digest_size=8).hexdigest() for t in table.column("text").to_pylist()]))
-        table = table.take(pc.sort_indices(table, [("tail", "ascending"), ("doc_id", "ascending"), ("tie", "ascending")], null_placement="at_start"))
-        own = table.num_rows - int(np.count_nonzero(table.column("tail").to_numpy()))
-        texts = table.column("text").to_pylist()[: own + 1]
-        edited = []
-        for i in range(own):
-            text, k = texts[i], len(texts[i]) // 4
-            edited.append(text[: len(text) - k] + texts[i + 1][:k] if i + 1 < len(texts) else text)
-        make = digest.value
-
-        def prints(bodies: list[str]) -> list:
-            out = []
-            for part in slices(pa.table({"text": pa.array(bodies, pa.large_string())}).to_batches(), rows=1024):
-                out += make(*raw(part.column("text")))
-            return out
-
-        mine, changed = prints(texts), prints(edited)
-        columns = {
-            "doc_id": table.column("doc_id").slice(0, own),
-            "n_chars": pa.array([len(t) for t in texts[:own]], pa.int64()),
-            "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            "fingerprint": pa.array([text_form(p) for p in mine[:own]], pa.string()),
-            "edited_fingerprint": pa.array([text_form(p) for p in changed], pa.string()),
-            "near_edited": pa.array([likeness(a, b) for a, b in zip(mine, changed, strict=False)], pa.float64()),
-            "near_next": pa.array([likeness(mine[i], mine[i + 1]) if i + 1 < len(mine) else None for i in range(own)], pa.float64()),
-        }
-        return pa.table(columns)
-
-    return both.groupBy("cell").applyInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    size = int(docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
+    id_type = dict(docs.dtypes)["doc_id"]
+
+    def prints(make, bodies: list[str]) -> list:
+        out = []
+        for part in slices(pa.table({"text": pa.array(bodies, pa.large_string())}).to_batches(), rows=1024):
+            out += make(*raw(part.column("text")))
+        return out
+
+    def finished(rows: list[tuple], kind) -> pa.RecordBatch:
+        """Rows (id, text, print, next text, its print)."""
+        edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for _, t, _, n, _ in rows]
+        changed = prints(digest.value, edited)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], kind),
+                pa.array([len(r[1]) for r in rows], pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+                pa.array([text_form(r[2]) for r in rows], pa.string()),
+                pa.array([text_form(p) for p in changed], pa.string()),
+                pa.array([likeness(r[2], p) for r, p in zip(rows, changed, strict=True)], pa.float64()),
+                pa.array([likeness(r[2], r[4]) for r in rows], pa.float64()),
+            ],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        )
+
+    def work(batches):
+        last = None  # id, text, print, cell, tail of the row before
+        for batch in slices(batches):
+            kind, texts = batch.column("doc_id").type, batch.column("text").to_pylist()
+            fresh = zip(batch.column("doc_id").to_pylist(), texts, prints(digest.value, texts), batch.column("cell").to_pylist(), batch.column("tail").to_pylist(), strict=True)
+            rows = []
+            for row in fresh:
+                if last is not None and not last[4]:  # its follower, of the same cell
+                    if last[3] != row[3]:
+                        raise RuntimeError("a cell has no tail: the rows came in another order than before")
+                    rows.append((*last[:3], row[1], row[2]))
+                last = row
+            if rows:
+                yield finished(rows, kind)
+        if last is not None and not last[4]:
+            raise RuntimeError("a cell has no tail: the rows came in another order than before")
+
+    return in_cells(docs, size).mapInArrow(work, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

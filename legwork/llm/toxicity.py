@@ -2,26 +2,31 @@
 
 Examples: for each label the ``examples`` labelled rows that come first by a hash
 of their ids; a documented bound on the classifier's sample, taken alike at every
-size. Terms are word beginnings of 4 to 8 letters and whole words; the vocabulary
-is the (at most ``terms``) ones most bound to label 1 in the examples, by chi-square,
-which must be beyond chance (20) and at least PHI of the number of examples. Document frequencies of these terms are counted over all documents.
+size. Terms are all words of the examples and all beginnings of STEM letters of
+longer words; document frequencies are counted over all documents. A term's weight
+is its TF-IDF times BASE plus how far it is bound to label 1 in the distinct example
+texts (signed root of the log-likelihood ratio, beyond CHANCE): no term is left out,
+those that speak for a label decide which texts are near.
 
 Index: the examples in blocks of ``block`` neighbours (ordered by label and main
-term), term by term with the weights in a block and their largest, the block
-maximum. A query's terms give every block an upper bound; blocks are scored
-exactly in descending bound until no bound reaches the k-th best score, so the k
-nearest are exact. Index and vocabulary have a size set by the parameters and go
-to the executors once; texts are scored where they are read.
+term); for each term the blocks that hold it with their largest weight, the block
+maximum, and the postings within. A query's terms give every block an upper bound;
+blocks are scored exactly in descending bound until no bound reaches the k-th best
+score, so the k nearest are exact. The index has a size set by the examples and goes
+to the executors once; texts are scored where they are read, whole.
 
 Votes weigh an example by its closeness and by how much rarer its label is in the
 sample than among all labelled rows. A monotone fit of label against vote, made
-on the examples with themselves left out, turns a vote into the score; examples
+on the examples with themselves left out, turns a vote into the score; texts
 without a term in common give the rate of such examples. ``evidence`` names the
 examples that speak for a score above the general rate.
 
 Cases: null and empty texts have no terms and get the rate of such examples; an
-unlabelled table gives score 0; ties between examples go to the smaller number
-in the index; repeated rows are scored each; extra columns are ignored.
+unlabelled table gives score 0; labels other than 0 and 1 and null ids are left out
+of the examples, an id with both labels counts as 1; ids may be of any type; ties
+between examples go to the smaller number in the index; repeated rows are scored
+each; an empty table gives an empty result; extra columns are ignored, and kept by
+``drop_toxic`` whatever their names.
 """
 
 from __future__ import annotations
@@ -35,79 +40,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, slices, text_crc
+from .common import durable, hashed_sample, slices, text_crc
 
 WORD = re.compile(r"[^\W\d_]+")
-SHORTEST, LONGEST = 4, 8
-#: Least chi-square over the number of examples: weaker terms come from single texts and their copies.
-PHI, CHANCE = 0.012, 20.0
-
-
-def terms_of(text: str | None) -> set[str]:
-    """All terms of a text: word beginnings as they are, whole words with a blank after them."""
-    out: set[str] = set()
-    for word in set(WORD.findall((text or "").lower())):
-        out.update(word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1))
-        out.add(word + " ")
+STEM = 5
+#: Weight of a term that speaks for no label, and root of the log-likelihood ratio that chance explains.
+BASE, CHANCE = 0.2, 2.0
+
+
+def terms_of(text: str | None) -> dict[str, int]:
+    """All terms of a text and how often they occur: words with a blank after them, and beginnings as they are."""
+    out: dict[str, int] = {}
+    for word, n in Counter(WORD.findall((text or "").lower())).items():
+        out[word + " "] = n
+        if len(word) > STEM:
+            out[word[:STEM]] = out.get(word[:STEM], 0) + n
     return out
 
 
 class Vocabulary:
-    """Chosen terms; counts them in texts with one automaton walk."""
+    """The examples' terms by number; counts them in texts."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        self._walk = None
-
-    def __getstate__(self):
-        return {"terms": self.terms, "_walk": None}
-
-    @property
-    def walk(self):
-        if self._walk is None:
-            import ahocorasick
-
-            self._walk = ahocorasick.Automaton()
-            by_stem: dict[str, list[tuple[int, bool]]] = {}
-            for i, t in enumerate(self.terms):
-                by_stem.setdefault(t.rstrip(" "), []).append((i, t.endswith(" ")))
-            for stem, uses in by_stem.items():
-                self._walk.add_word(stem, (len(stem), uses))
-            if self.terms:
-                self._walk.make_automaton()
-        return self._walk
+        self.words = {t[:-1]: i for i, t in enumerate(terms) if t.endswith(" ")}
+        self.stems = {t: i for i, t in enumerate(terms) if not t.endswith(" ")}
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        if not self.terms or not text:
+        if not text:
             return out
-        text = text.lower()
-        last = len(text) - 1
-        for end, (size, uses) in self.walk.iter(text):
-            if end < size or not text[end - size].isalpha():
-                for i, whole in uses:
-                    if not whole or end == last or not text[end + 1].isalpha():
-                        out[i] = out.get(i, 0) + 1
+        words, stems = self.words.get, self.stems.get
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            if (i := words(word)) is not None:
+                out[i] = n
+            if len(word) > STEM and (i := stems(word[:STEM])) is not None:
+                out[i] = out.get(i, 0) + n
         return out
 
 
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after another."""
+    size = end - begin
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def association(in1: np.ndarray, in0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Signed root of the log-likelihood ratio between occurrence and label."""
+    n, both = max(1, n1 + n0), in1 + in0
+    total = np.zeros(len(in1))
+    for seen, expected in ((in1, both * n1 / n), (in0, both * n0 / n), (n1 - in1, (n - both) * n1 / n), (n0 - in0, (n - both) * n0 / n)):
+        some = seen > 0
+        total[some] += seen[some] * np.log(seen[some] / expected[some])
+    return np.sqrt(np.maximum(2 * total, 0)) * np.sign(in1 * n0 - in0 * n1)
+
+
 class Index:
     """Block-max inverted index of the examples, and the fit from votes to scores."""
 
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray, factor: np.ndarray, k: int, block: int):
-        self.idf, self.k, self.block = idf, k, block
-        main = [max(v, key=lambda t: (v[t] * idf[t], -t), default=-1) for v in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (labels[i], main[i], ids[i] if ids[i] is not None else -1))
-        self.ids = np.array([-1 if ids[i] is None else ids[i] for i in order], np.int64)
+    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list, term_weight: np.ndarray, factor: np.ndarray, k: int, block: int):
+        self.term_weight, self.k, self.block = term_weight, k, block
+        main = [max(v, key=lambda t: (v[t] * term_weight[t], -t), default=-1) for v in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (labels[i], main[i], i))
+        self.ids = [ids[i] for i in order]
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.weight = factor[self.labels.astype(int)]
-        n = -(-len(order) // block)
-        dense = np.zeros((len(idf), n * block), np.float32)
+        terms, places, weights = [], [], []
         for place, i in enumerate(order):
             at, w = self.vector(vectors[i])
-            dense[at, place] = w
-        self.postings = dense.reshape(len(idf), n, block)
-        self.most = self.postings.max(2) if n else np.zeros((len(idf), 0), np.float32)
+            terms.append(at)
+            weights.append(w)
+            places.append(np.full(len(at), place))
+        term, place, weight = (np.concatenate(x) if x else np.zeros(0) for x in (terms, places, weights))
+        by_term = np.lexsort((place, term))
+        term, self.place, self.posting = term[by_term].astype(np.int64), place[by_term].astype(np.int32), weight[by_term].astype(np.float32)
+        held = self.place // block
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (held[1:] != held[:-1])
+        begin = np.flatnonzero(new)
+        self.begin = np.concatenate((begin, [len(term)])).astype(np.int32)  # of an entry's postings
+        self.held = held[begin]  # an entry's block
+        self.most = np.maximum.reduceat(self.posting, begin) if len(begin) else np.zeros(0, np.float32)
+        self.entries = np.searchsorted(term[begin], np.arange(len(term_weight) + 1)).astype(np.int32)  # of a term
+        self.blocks = -(-len(order) // block)
         votes, truth, weight, self.bare = [], [], [], [0.0, 0.0]
         for place, i in enumerate(order):
             vote, _ = self.vote(vectors[i], without=place)
@@ -124,17 +139,20 @@ class Index:
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
+        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.term_weight[at]
         norm = math.sqrt(float(w @ w))
         return at, (w / norm if norm else w).astype(np.float32)
 
     def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a term in common, and their cosines: exact."""
         at, w = self.vector(counts)
-        bound = w @ self.most[at]
+        begin, end = self.entries[at], self.entries[at + 1]
+        entry, w = ranges(begin, end), np.repeat(w, end - begin)
+        held = self.held[entry]
+        bound = np.bincount(held, weights=w * self.most[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, 4
         while done < len(order):
             kth = np.partition(scores, -self.k)[-self.k] if len(scores) >= self.k else 0.0
@@ -142,11 +160,15 @@ class Index:
             go = go[bound[go] >= kth - 1e-6]  # the bounds descend: nothing after a block that falls short counts
             if not len(go):
                 break
-            got = np.einsum("t,tbi->bi", w, self.postings[at][:, go])
-            place = (go[:, None] * self.block + np.arange(self.block)).ravel()
-            got = got.ravel()
-            keep = (got > 0) & (place != without)
-            rows, scores = np.concatenate([rows, place[keep]]), np.concatenate([scores, got[keep]])
+            wanted = np.zeros(self.blocks, bool)
+            wanted[go] = True
+            some = np.flatnonzero(wanted[held])
+            low, high = self.begin[entry[some]], self.begin[entry[some] + 1]
+            posting = ranges(low, high)
+            got = np.bincount(self.place[posting], weights=np.repeat(w[some], high - low) * self.posting[posting], minlength=len(self.labels))
+            place = np.flatnonzero(got > 0)
+            place = place[place != without]
+            rows, scores = np.concatenate([rows, place]), np.concatenate([scores, got[place]])
             done += len(go)
             step *= 2
         best = np.lexsort((rows, -scores))[: self.k]
@@ -162,12 +184,12 @@ class Index:
         w = self.weight[rows] / (1.02 - np.minimum(scores, 1))
         return float((w * self.labels[rows]).sum() / w.sum()), rows
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+    def score(self, counts: dict[int, int]) -> tuple[float, list]:
         vote, rows = self.vote(counts)
         if vote is None:
             return self.bare[0] / self.bare[1] if self.bare[1] else self.rate, []
         score = float(np.interp(vote, self.at, self.fit)) if len(self.at) else self.rate
-        return score, self.ids[[r for r in rows if self.labels[r] == 1]].tolist() if score > self.rate else []
+        return score, [self.ids[r] for r in rows if self.labels[r] == 1] if score > self.rate else []
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,31 +203,6 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
-def choose(labelled: DataFrame, n1: int, n0: int, terms: int) -> list[str]:
-    """The terms with the highest chi-square between the labels; of beginnings that always go together, the shortest."""
-
-    def run(batches):
-        found: dict[str, list[int]] = {}
-        for batch in slices(batches):
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                for t in terms_of(text):
-                    found.setdefault(t, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1))], ["term", "in0", "in1"])
-
-    a, b = F.col("in1"), F.col("in0")
-    n = n1 + n0
-    chi = n * (a * (n0 - b) - b * (n1 - a)) * (a * (n0 - b) - b * (n1 - a)) / ((a + b) * (n - a - b) * F.lit(float(max(1, n1 * n0))))
-    counts = labelled.select("text", "label").mapInArrow(run, "term string, in0 long, in1 long").groupBy("term").agg(F.sum("in0").alias("in0"), F.sum("in1").alias("in1"))
-    top = counts.where((a + b >= 3) & (a + b < n) & (a * n0 > b * n1)).withColumn("chi", chi).where(F.col("chi") >= max(CHANCE, PHI * n)).orderBy(F.desc("chi"), "term").limit(3 * terms).collect()
-    kept, seen = [], set()
-    for r in sorted(top, key=lambda r: (-r["chi"], len(r["term"]), r["term"])):
-        key = (r["term"][:SHORTEST], r["in0"], r["in1"])
-        if key not in seen:
-            seen.add(key)
-            kept.append(r["term"])
-    return kept[:terms]
-
-
 def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """How many documents there are, and how many hold each term."""
     size = len(vocabulary.terms)
@@ -217,47 +214,51 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
             total[size] += batch.num_rows
             for text in batch.column("text").to_pylist():
                 if found := own.counts(text):
-                    total[list(found)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(total)], ["term", "n"])
+                    total[np.fromiter(found, np.int64, len(found))] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["term", "n"])
 
     out = np.zeros(size + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out[counted["term"].to_numpy()] = counted["n"].to_numpy()
     return int(out[size]), out[:size]
 
 
-def train(docs: DataFrame, labelled: DataFrame, examples: int = 2000, terms: int = 512, k: int = 32, block: int = 32) -> tuple[Vocabulary, Index] | None:
+def train(docs: DataFrame, labelled: DataFrame, examples: int = 1500, k: int = 32, block: int = 32) -> tuple[Vocabulary, Index] | None:
     """The index over ``labelled`` (doc_id, label 0/1), rows of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    labelled = labelled.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    kind = dict(docs.dtypes)["doc_id"]
+    labelled = labelled.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast(kind).alias("doc_id")).agg(F.max("label").alias("label"))
     totals = dict(labelled.groupBy("label").count().collect())
-    picked = []
-    for label in (0, 1):
-        picked += hashed_sample(labelled.where(F.col("label") == label), totals.get(label, 0), examples).collect()
-    if not picked:
+    if not totals:
         return None
-    one = {r["doc_id"]: int(r["label"]) for r in picked}  # at most 2 * examples
-    chosen = spark.createDataFrame(list(one.items()), "doc_id long, label int")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    n = [sum(v == x for v in one.values()) for x in (0, 1)]
-    vocabulary = Vocabulary(choose(sample, n[1], n[0], terms))
-    total, df = frequencies(docs, vocabulary)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    sent = spark.sparkContext.broadcast(vocabulary)
+    picked = [hashed_sample(labelled.where(F.col("label") == x), n, examples) for x, n in sorted(totals.items())]
+    chosen = durable(picked[0].unionByName(picked[-1]) if len(picked) > 1 else picked[0])  # at most 2 * examples rows
 
     def run(batches):
-        own = sent.value
         for batch in slices(batches):
-            found = [own.counts(t) for t in batch.column("text").to_pylist()]
-            lists = [pa.array([list(f.keys()) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
+            found = [terms_of(t) for t in batch.column("text").to_pylist()]
+            lists = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "term", "n"])
 
-    rows = sample.mapInArrow(run, "doc_id long, label int, term array<int>, n array<int>").collect()
-    by_id = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["term"], r["n"]))}
-    rows = [by_id[i] for i in sorted(by_id)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, label int, term array<string>, n array<int>").collect()
+    # one row for each example, the same whatever the order of the rows
+    by_id = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["term"], r["n"]))}
+    rows = sorted(by_id.values(), key=lambda r: r["doc_id"])
+    if not rows:
+        return None
+    number: dict[str, int] = {}
+    vectors = [{number.setdefault(t, len(number)): n for t, n in zip(r["term"], r["n"], strict=True)} for r in rows]
+    seen, counts = np.zeros((2, len(number))), [0, 0]
+    for label, texts in ((x, {frozenset(v.items()) for v, r in zip(vectors, rows, strict=True) if r["label"] == x}) for x in (0, 1)):
+        counts[label] = len(texts)
+        for v in texts:
+            seen[label, [t for t, _ in v]] += 1
+    vocabulary = Vocabulary(list(number))
+    total, df = frequencies(docs, vocabulary)
+    weight = (np.log((1 + total) / (1 + df)) + 1) * (BASE + np.maximum(association(seen[1], seen[0], counts[1], counts[0]) - CHANCE, 0))
+    n = [sum(r["label"] == x for r in rows) for x in (0, 1)]
     factor = np.array([totals.get(x, 0) / max(1, n[x]) for x in (0, 1)])
-    vectors = [dict(zip(r["term"], r["n"], strict=True)) for r in rows]
-    return vocabulary, Index(vectors, [r["label"] for r in rows], [r["doc_id"] for r in rows], idf, factor, k, block)
+    return vocabulary, Index(vectors, [r["label"] for r in rows], [r["doc_id"] for r in rows], weight, factor, k, block)
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, Index] | None, columns: list[str], rejects: float | None = None, threshold: float = 0.7) -> DataFrame:
@@ -273,12 +274,12 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Index] | None, columns: list
             if rejects is not None:
                 yield batch.filter(pa.array(scores < rejects))
                 continue
-            more = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
+            more = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array([g[1] for g in got], pa.list_(batch.column("doc_id").type))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *more], [*columns, "score", "predicted", "evidence"])
 
     if rejects is not None:
         return docs.mapInArrow(run, docs.schema)
-    return docs.select("text", *columns).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), "score double, predicted int, evidence array<long>"]))
+    return docs.select("text", *columns).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), f"score double, predicted int, evidence array<{kinds['doc_id']}>"]))
 
 
 def learnt(docs: DataFrame, labels: DataFrame) -> tuple[Vocabulary, Index] | None:
@@ -290,6 +291,7 @@ def learnt(docs: DataFrame, labels: DataFrame) -> tuple[Vocabulary, Index] | Non
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every document."""
     held_out = F.coalesce(F.pmod(text_crc(), F.lit(3)) == 1, F.lit(False))
+    docs = docs.select("doc_id", "text")
     return score(docs.withColumn("held_out", held_out), learnt(docs, labels), ["doc_id", "held_out"])
 
 
