@@ -7,10 +7,12 @@ words or more is a window occurrence; an item shorter than that counts when the
 whole of it occurs. Words outside the items' vocabulary reset the automaton, so
 only stretches of known words are walked; the rest is array work.
 
-The items go to the tasks in blocks of at most ``block_chars`` characters, each
-with its own automaton; more items mean more passes, each narrow, over the
-documents. Nothing is shuffled: each document is decided in the task that reads
-it, and what a task holds is one Arrow slice and one block.
+The items go to the tasks in blocks of about ``block_chars`` characters, each with
+its own automaton. One block is decided in the task that reads the documents and
+nothing is shuffled. More items mean one pass a block over the documents: each
+stores the hits of the texts that have some (one row for equal texts), and the last
+joins them by the text's MD5. At any time the driver and each task hold one block
+and one Arrow slice.
 
 Cases: null or wordless texts have no words and no hits; null or wordless items
 occur nowhere; repeated documents are decided each on its own; items with equal
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import durable, free, raw, slices
 
 #: Bytes that end a word become a blank, A-Z become a-z; bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -109,43 +111,85 @@ class Automaton:
         return hit, names
 
 
-def blocks(items: DataFrame, window: int, block_chars: int) -> list[Automaton]:
-    """The items' automata, one for each block of bounded size, dealt by a hash of the text."""
+def block(items: DataFrame, window: int, k: int, n: int) -> Automaton:
+    """The automaton of the k-th of n blocks of the items, dealt by a hash of the text."""
+    rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
+    pairs = ((i, t.encode().translate(FOLD).split()) for i, t in rows)
+    return Automaton([(i, w) for i, w in pairs if i is not None and w], window)
+
+
+def words_of(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray, bytes]:
+    body, begins = raw(batch.column("text"))
+    return body, begins, body.translate(FOLD)
+
+
+def stored_hits(docs: DataFrame, automaton: Automaton) -> DataFrame:
+    """node, ranges of hit words and items of the distinct texts of ``docs`` (node, text) that have any."""
+    sent = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches):
+        for batch in slices(batches):
+            _, begins, folded = words_of(batch)
+            rows = []
+            for i, node in enumerate(batch.column("node").to_pylist()):
+                hit, names = sent.value.hits(folded[begins[i] : begins[i + 1]].split())
+                if names:
+                    rows.append((node, np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])))).tolist(), sorted(names)))
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["node", "ranges", "names"])
+
+    found = docs.mapInArrow(run, "node binary, ranges array<long>, names array<string>")
+    return durable(found.groupBy("node").agg(F.any_value("ranges").alias("ranges"), F.any_value("names").alias("names")))
+
+
+def scan(docs: DataFrame, items: DataFrame, decide, schema: str, columns: list[str], window: int, block_chars: int) -> DataFrame:
+    """``decide(batch, body, begins, hits)`` for every slice; hits(i) gives words, hit flags and items of its row i."""
     items = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text")
     n = -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
-    out = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
-        pairs = ((i, t.encode().translate(FOLD).split()) for i, t in rows)
-        out.append(Automaton([(i, w) for i, w in pairs if i is not None and w], window))
-    return out
+    docs = docs.select(*columns)
+    if n <= 1:
+        sent = docs.sparkSession.sparkContext.broadcast(block(items, window, 0, 1))
 
+        def run(batches):
+            for batch in slices(batches):
+                body, begins, folded = words_of(batch)
 
-def scan(docs: DataFrame, items: DataFrame, decide, schema: str, columns: list[str], window: int = 10, block_chars: int = 4_000_000) -> DataFrame:
-    """``decide(batch, bytes, begins, hits)`` for every slice; hits(i) gives words, hit flags and items of its row i."""
-    sent = [docs.sparkSession.sparkContext.broadcast(a) for a in blocks(items, window, block_chars)]
+                def hits(i, begins=begins, folded=folded):
+                    words = folded[begins[i] : begins[i + 1]].split()
+                    return words, *sent.value.hits(words)
 
-    def run(batches):
-        automata = [b.value for b in sent]
+                yield decide(batch, body, begins, hits)
+
+        return docs.mapInArrow(run, schema)
+
+    node = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    texts = docs.select(node.alias("node"), "text")
+    found = stored_hits(texts, block(items, window, 0, n))
+    for k in range(1, n):
+        found = found.unionByName(stored_hits(texts, block(items, window, k, n)))
+    found = found.groupBy("node").agg(F.collect_list("ranges").alias("r"), F.flatten(F.collect_list("names")).alias("n"))  # a row for each block at most
+    key, ranges, names = (free(columns, x) for x in ("node", "ranges", "names"))
+    joined = docs.withColumn(key, node).join(found.toDF(key, ranges, names), key, "left").select(*columns, ranges, names)
+
+    def merge(batches):
         for batch in slices(batches):
-            body, begins = raw(batch.column("text"))
-            folded = body.translate(FOLD)
+            body, begins, folded = words_of(batch)
+            edges, items_ = batch.column(ranges).to_pylist(), batch.column(names).to_pylist()
 
-            def hits(i):
+            def hits(i, begins=begins, folded=folded, edges=edges, items_=items_):
                 words = folded[begins[i] : begins[i + 1]].split()
-                hit, names = np.zeros(len(words), bool), set()
-                for a in automata:
-                    more, also = a.hits(words)
-                    hit |= more
-                    names |= also
-                return words, hit, names
+                hit = np.zeros(len(words), bool)
+                for edge in edges[i] or ():
+                    for low, high in zip(edge[::2], edge[1::2], strict=True):
+                        hit[low:high] = True
+                return words, hit, set(items_[i] or ())
 
-            yield decide(batch, body, begins, hits)
+            yield decide(batch.select(columns), body, begins, hits)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return joined.mapInArrow(merge, schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_chars: int = 4_000_000) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
 
     def decide(batch, body, begins, hits):
@@ -160,7 +204,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", *names])
 
     id_type = dict(docs.dtypes)["doc_id"]
-    return scan(docs, items, decide, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>", ["doc_id", "text"], window)
+    return scan(docs, items, decide, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>", ["doc_id", "text"], window, block_chars)
 
 
 def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +225,7 @@ def cut(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, coverage: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, coverage: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
     """``docs`` without benchmark passages, all columns kept.
 
     Stretches of hit words are cut out; a document of which at least ``coverage``
@@ -207,4 +251,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, coverage:
             out = out.set_column(chars, batch.schema.field(chars), pa.array(counts, batch.schema.field(chars).type))
         return out.take(pa.array(keep, pa.int64()))
 
-    return scan(docs, items, decide, docs.schema, docs.columns, window)
+    return scan(docs, items, decide, docs.schema, docs.columns, window, block_chars)

@@ -447,21 +447,60 @@ def test_language(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.98
 
 
-def test_phrases_by_brute_force():
+def brute_phrases(body, known):
+    at, n = 0, 0
+    while at < len(body):
+        size = 1
+        while at + size < len(body) and body[at : at + size + 1] in known:
+            size += 1
+        at, n = at + size, n + (1 if body[at] in known else 2)
+    return n
+
+
+HAN = "".join(chr(0x4E00 + 37 * i % 400) for i in range(300))
+
+
+@pytest.mark.parametrize("dense", [3, 50, 500])
+def test_phrases_by_brute_force(dense):
     normal = langid.Normaliser()
-    train = {x: normal([t])[0][:-1] for x, t in (("a", "abra cadabra abra"), ("b", "banana bandana ban"))}
-    model = langid.Model(train, 50)
-    text = "Abracad bananas, zabra!"
-    points, end = normal([text])
-    body = "".join(map(chr, points[: end[0]]))
-    codes = model.to_class()[points]
-    got = model.phrases(codes, np.array([0]), np.array([end[0]]))[:, 0]
-    for k, x in enumerate(model.langs):
-        known, at, n = "".join(map(chr, train[x])), 0, 0
-        while at < len(body):
-            size = max((m for m in range(1, len(body) - at + 1) if body[at : at + m] in known), default=1)
-            at, n = at + size, n + 1
-        assert got[k] == n
+    train = {x: normal([t])[0][:-1] for x, t in (("a", "abra cadabra abra"), ("b", "banana bandana ban"), ("h", HAN))}
+    model = langid.Model(train, dense)
+    texts = ["Abracad bananas, zabra!", HAN[50:80] + HAN[10:30] + "abra", "x", *(f"ban {i} {HAN[i : i + 9]}" for i in range(40)), "abra cadabra " * 900 + HAN]
+    points, end = normal(texts)
+    begin = np.concatenate(([0], end[:-1] + 1))
+    order = np.argsort(begin - end, kind="stable")
+    got = model.phrases(model.to_class()[points], begin[order], (end - begin)[order])
+    for i, row in zip(order.tolist(), got.T.tolist(), strict=True):
+        body = "".join(map(chr, points[begin[i] : end[i]]))
+        assert row == [brute_phrases(body, "".join(map(chr, train[x]))) for x in model.langs]
+
+
+def test_language_by_brute_force(spark, rows):
+    """The query's predictions and scores, from the labelled sample on."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    normal, long = langid.Normaliser(), {}
+    keep = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)), F.lit(0)) != 2
+    for r in frame.where(keep).where("lang is not null and text is not null").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).select("lang", "text").collect():
+        long.setdefault(r["lang"], []).append(r["text"])
+    known = {}
+    for x, texts in long.items():
+        points = normal(list(dict.fromkeys(t[:24_000] for t in texts)))[0]
+        known[x] = "".join(map(chr, np.where(points == 0, 32, points)[:24_000]))
+    got = {r["doc_id"]: r for r in langid.identify(frame).collect()}
+    for i in list(rows)[:60]:
+        body = "".join(map(chr, normal([rows[i]])[0][:-1]))
+        rate = sorted((brute_phrases(body, known[x]) * np.log2(len(known[x]) + 2) / max(1, len(body)), x) for x in known)
+        assert got[i]["lang_pred"] == (rate[0][1] if body else "und")
+        assert abs(got[i]["score"] - (rate[1][0] / (rate[0][0] + rate[1][0]) if body else 0)) < 1e-9
+
+
+def test_language_of_many_letters(spark):
+    """Languages with more letters than the dense table has room for, and of short texts."""
+    letters = {"one": range(0x4E00, 0x4E00 + 900), "two": range(0x5E00, 0x5E00 + 900), "three": range(0xAC00, 0xAC00 + 900)}
+    rng = np.random.RandomState(6)
+    rows = [(i, "".join(chr(letters[x][rng.randint(900)]) for _ in range(12)), x) for i, x in enumerate(np.repeat(list(letters), 400).tolist())]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert np.mean([r["lang_pred"] == rows[r["doc_id"]][2] for r in got if r["held_out"]]) > 0.99
 
 
 def test_language_of_odd_tables(spark):
@@ -598,8 +637,8 @@ def test_contamination(spark, rows):
     texts = [*rows.items(), *ODD]
     got = decontaminate.contamination(odd(spark, texts), spark.createDataFrame(items, "item_id long, text string")).drop("items").collect()
     assert sorted(map(tuple, got), key=str) == brute_contamination(texts, items, 10)
-    blocks = decontaminate.blocks(spark.createDataFrame(items, "item_id long, text string"), 10, 2000)
-    assert len(blocks) > 3
+    parts = decontaminate.contamination(odd(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_chars=8000).drop("items").collect()
+    assert sorted(map(tuple, parts), key=str) == brute_contamination(texts, items, 10)
     assert decontaminate.contamination(odd(spark, ODD).limit(0), spark.createDataFrame(items[:0], "item_id long, text string")).count() == 0
 
 
@@ -610,6 +649,11 @@ def test_decontaminated_documents(spark):
     assert sorted(out) == [1, 3, 4]
     assert out[1]["text"] == "Before it,! After it all, words that stay." and out[1]["n_chars"] == len(out[1]["text"])
     assert out[3]["text"] == "clean text" and out[4]["text"] is None
+    items = spark.createDataFrame([(1, item), (2, "other " * 12)], "item_id long, text string")
+    named = frame.withColumns({"ranges": F.lit(1), "names": F.lit("x"), "_node": F.lit(2)})
+    parts = decontaminate.decontaminate(named, items, block_chars=40)
+    assert parts.columns == named.columns
+    assert {r["doc_id"]: r["text"] for r in parts.collect()} == {i: r["text"] for i, r in out.items()}
 
 
 @pytest.mark.parametrize("shards", [8, 3])
