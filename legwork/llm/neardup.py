@@ -12,21 +12,22 @@ probability equal to their weighted Jaccard similarity.
 
 1. Equal texts (by MD5) are one node, so copies cost no pairs.
 2. Bands of ``rows`` coordinates meet by hash. First every node is set against the
-   least node of each of its buckets alone, which makes one class of most of a
-   large group of near copies.
-3. Then all pairs of nodes of different classes that share a bucket are compared by
-   their signatures: a bucket's nodes are dealt into chunks of about CHUNK, every
-   two chunks of a bucket meet in a task, and only pairs that agree in a share of
-   ``similarity`` less SLACK of the coordinates leave it, for every two classes
-   the best few. Those are compared exactly on their texts; links join classes, and
-   buckets where pairs were held back come again with more of them, until none was.
-   So every pair that shares a band and passes the signature's bar is compared on
-   its texts, or is of one class by other links. No pair is dropped.
+   least node alone of each bucket of two neighbouring bands, where hardly any but
+   near copies meet; this makes one class of most of a large group of them, and
+   settles nothing else.
+3. Then all pairs of nodes of different classes that share a bucket are compared: a
+   bucket's nodes are dealt into chunks of about CHUNK, every two chunks of a bucket
+   meet in a task, each pair in the first of its common bands. Pairs whose signatures
+   agree in a share of ``similarity`` less SLACK of the coordinates are compared
+   exactly on their shingles there, unless links found in the task already join
+   their classes; only links leave it. So every pair that shares a band and passes
+   the signature's bar is compared exactly, or is of one class by other links. No
+   pair is dropped, and none is written out.
 4. Links give classes by minimum labels with pointer jumping; later links join
    classes, so only the classes' own small graph is worked on.
 
 A bucket of n nodes that agree in a band but are unlike costs n * n / CHUNK rows
-and n * n / 2 signature comparisons inside tasks, no pairs.
+and n * n / 2 signature comparisons inside tasks.
 
 Nothing is collected; stages that are read again are written to the shared folder.
 
@@ -52,9 +53,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Over four standard deviations of the estimate from 144 coordinates at a similarity of 0.8.
 SLACK = 0.16
 #: Nodes of a bucket that are worked on in one task against others.
-CHUNK = 1024
-#: Pairs of two classes in two chunks that are compared in the first turn.
-BEST = 2
+CHUNK = 256
 
 
 class Darts:
@@ -161,37 +160,59 @@ def signatures(texts: DataFrame, words: int, bands: int, rows: int, weights: str
     return texts.select("node", "text").mapInArrow(run, f"node {kind}, bands array<long>, signature binary")
 
 
-def agreeing(pairs: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs whose signatures agree in a share of at least ``least`` of the coordinates."""
+def profiles(texts: DataFrame, words: int, weights: str) -> DataFrame:
+    """node, cells (sorted hashes of the units of weight) and heights (empty where all are 1) of ``texts`` (node, text)."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("left", "right"))
-                yield batch.select(["a", "b"]).filter(pa.array((left == right).mean(1) >= least))
-
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
-def alike(pairs: DataFrame, words: int, similarity: float, weights: str) -> DataFrame:
-    """a, b of the pairs (a, b, left, right texts) with an exact (weighted) Jaccard similarity of at least ``similarity``."""
+        for batch in slices(batches):
+            text, hashes, n = shingles(batch.column("text"), words)
+            text, cell, height = weighted(text, hashes, weights)
+            order = np.lexsort((cell, text))
+            cell, height = cell[order], height[order].astype(np.float32)
+            at = np.searchsorted(text, np.arange(n + 1))
+            some = [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+            heights = [height[p].tobytes() if weights == "log" else b"" for p in some]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([cell[p].tobytes() for p in some], pa.binary()), pa.array(heights, pa.binary())], ["node", "cells", "heights"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, cells binary, heights binary")
+
+
+class Profile:
+    """The shingles of many nodes: cells and heights of each."""
+
+    def __init__(self, cells: list[bytes], heights: list[bytes]):
+        self.cells = [np.frombuffer(c, np.uint64) for c in cells]
+        self.heights = [np.frombuffer(h, np.float32) if h else np.ones(len(c), np.float32) for c, h in zip(self.cells, heights, strict=True)]
+        self.total = np.array([h.sum(dtype=np.float64) for h in self.heights])
+
+    def similar(self, k: int, others: np.ndarray, similarity: float, right: Profile | None = None) -> np.ndarray:
+        """Whether the k-th node's (weighted) Jaccard similarity with each of ``others`` (of ``right``) is at least ``similarity``."""
+        right, own = right or self, self.cells[k]
+        sizes = np.array([len(right.cells[o]) for o in others])
+        if not len(own) or not sizes.sum():
+            return np.zeros(len(others), bool)
+        every = np.concatenate([right.cells[o] for o in others])
+        at = np.searchsorted(own, every)
+        at[at == len(own)] = 0
+        both = np.where(own[at] == every, np.minimum(self.heights[k][at], np.concatenate([right.heights[o] for o in others])), 0.0)
+        sums = np.concatenate(([0.0], np.cumsum(both, dtype=np.float64)))
+        end = np.cumsum(sizes)
+        shared = sums[end] - sums[end - sizes]
+        return (shared > 0) & (shared >= similarity * (self.total[k] + right.total[others] - shared) - 1e-6)
+
+
+def alike(pairs: DataFrame, similarity: float, least: float) -> DataFrame:
+    """a, b of the pairs (a, b, with x_ and y_ signature, cells and heights) that are similar, by signature and exactly."""
 
     def run(batches):
-        for batch in slices(batches, rows=256, size=1 << 20):
-            sides = []
-            for c in ("left", "right"):
-                text, hashes, n = shingles(batch.column(c), words)
-                text, cell, height = weighted(text, hashes, weights)
-                at = np.searchsorted(text, np.arange(n + 1))
-                sides.append([(cell[at[i] : at[i + 1]], height[at[i] : at[i + 1]]) for i in range(n)])
-            keep = []
-            for (x, p), (y, q) in zip(*sides, strict=True):
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = float(np.minimum(p[i], q[j]).sum())
-                keep.append(both > 0 and both >= similarity * (p.sum() + q.sum() - both) - 1e-9)
+        for batch in slices(batches, rows=1024):
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x_signature", "y_signature"))
+            batch = batch.filter(pa.array((left == right).mean(1) >= least))
+            x, y = (Profile(batch.column(f"{p}_cells").to_pylist(), batch.column(f"{p}_heights").to_pylist()) for p in "xy")
+            keep = [bool(x.similar(i, np.array([i]), similarity, y)[0]) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,9 +231,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def to_leaders(rows: DataFrame) -> DataFrame:
-    """(a, b): each node of a bucket (band, node) with the bucket's least node."""
-    heads = rows.groupBy("band").agg(F.min("node").alias("lead"))
+def to_leaders(found: DataFrame) -> DataFrame:
+    """(a, b): each node (node, bands) with the least node of its buckets of two neighbouring bands."""
+    pair = F.transform(F.sequence(F.lit(1), F.size("bands") - 1), lambda i: F.xxhash64(F.element_at("bands", i), F.element_at("bands", i + 1)))
+    rows = found.select("node", F.explode(F.when(F.size("bands") > 1, pair).otherwise(F.col("bands"))).alias("band"))
+    heads = rows.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(heads, "band").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -226,74 +249,91 @@ def opened(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(several, "band")
 
 
-def across(rows: DataFrame, marks: DataFrame, least: float, best: int) -> DataFrame:
-    """(band, a, b, more): pairs of different classes in a bucket whose signatures agree in a share of at least ``least``.
-
-    ``rows`` are (band, node, label, n), ``marks`` (node, signature). A bucket's nodes are dealt into chunks by a hash,
-    every two chunks meet once; of more than ``best`` pairs of the same two classes there the most alike leave, with ``more``.
+class Forest:
+    """Classes joined so far in a task."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+
+def compared(group: dict, similarity: float, least: float, forest: Forest) -> list[tuple[int, int]]:
+    """New links between the two chunks of a bucket: ``group`` has its rows as arrays."""
+    node, label, at, signature, bands = (group[c] for c in ("node", "label", "at", "signature", "bands"))
+    i, j = group["i"][0], group["j"][0]
+    left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+    if not len(left) or not len(right) or (label == label[0]).all():
+        return []
+    own = int(np.argmax(bands[0] == np.uint32(int(group["band"][0]) & 0xFFFFFFFF)))
+    cells, out = None, []
+    for k in left.tolist():
+        others = right[label[right] != label[k]]
+        if i == j:
+            others = others[node[others] > node[k]]
+        if len(others):
+            others = others[(signature[others] == signature[k]).mean(1) >= least]
+        if len(others) and own:  # pairs that an earlier band compares
+            others = others[~(bands[others, :own] == bands[k, :own]).any(1)]
+        if not len(others):
+            continue
+        root = forest.root(int(label[k]))
+        others = others[[forest.root(x) != root for x in label[others].tolist()]]
+        if not len(others):
+            continue
+        cells = cells or Profile(group["cells"], group["heights"])
+        for o in others[cells.similar(k, others, similarity)].tolist():
+            a, b = forest.root(int(label[k])), forest.root(int(label[o]))
+            if a != b:
+                forest.parent[max(a, b)] = min(a, b)
+                out.append((int(node[k]), int(node[o])))
+    return out
+
+
+def across(rows: DataFrame, marks: DataFrame, similarity: float, least: float) -> DataFrame:
+    """(a, b): links between nodes of different classes that share a bucket, enough of them to join all classes that such links join.
+
+    ``rows`` are (band, node, label, n), ``marks`` (node, bands, signature, cells, heights). A bucket's nodes are dealt
+    into chunks by a hash, every two chunks meet once.
     """
     chunks = F.ceil(F.col("n") / CHUNK)
-    dealt = rows.join(marks, "node").withColumn("at", F.pmod(F.xxhash64("node"), chunks))
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    met = met.select("band", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", "label", "signature")
+    dealt = rows.withColumn("at", F.pmod(F.xxhash64("node"), chunks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    met = dealt.select("band", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", "label").join(marks, "node")
     met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    plain = ("band", "i", "j", "at", "node", "label")
+
+    def arrays(batch) -> dict:
+        out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in plain}
+        out["signature"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        bands = batch.column("bands")
+        out["bands"] = bands.flatten().to_numpy(zero_copy_only=False).astype(np.uint64).astype(np.uint32).reshape(batch.num_rows, -1)
+        return out | {c: batch.column(c).to_pylist() for c in ("cells", "heights")}
 
-    def compared(band, i, j, at, node, label, signature, out):
-        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        x, y, z = [], [], []
-        for k in left.tolist() if len(left) <= len(right) else right.tolist():
-            other = right if len(left) <= len(right) else left
-            other = other[label[other] != label[k]]
-            if i == j:
-                other = other[node[other] > node[k]]
-            if len(other):
-                share = (signature[other] == signature[k]).mean(1)
-                good = np.flatnonzero(share >= least)
-                x.append(np.full(len(good), k))
-                y.append(other[good])
-                z.append(share[good])
-        if not x or not (x := np.concatenate(x)).size:
-            return
-        y, z = np.concatenate(y), np.concatenate(z)
-        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-        order = np.lexsort((-z, high, low))
-        low, high = low[order], high[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(np.concatenate((first, [len(order)])))
-        nth = np.arange(len(order)) - np.repeat(first, count)
-        keep = nth < best
-        x, y, more = x[order][keep], y[order][keep], np.repeat(count, count)[keep] > best
-        out.append((np.full(len(x), band), np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), more))
-
-    def table(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(4)], ["band", "a", "b", "more"])
+    def joined_up(parts: list[dict]) -> dict:
+        return {c: sum((p[c] for p in parts), []) if isinstance(parts[0][c], list) else np.concatenate([p[c] for p in parts]) for c in parts[0]} if len(parts) > 1 else parts[0]
 
     def run(batches):
-        held = None  # rows of the meeting that the next batch may go on with
+        forest, held = Forest(), None  # rows of the group that the next batch may go on with
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "i", "j", "at", "node", "label")]
-            columns.append(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
-            if held is not None:
-                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
-            band, i, j = columns[:3]
-            new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            out: list = []
-            for a, b in zip([0, *new.tolist()], new.tolist(), strict=False):
-                compared(band[a], i[a], j[a], *(c[a:b] for c in columns[3:]), out)
-            held = [c[new[-1] if len(new) else 0 :] for c in columns]
-            if out:
-                yield table(out)
+            got = arrays(batch) if held is None else joined_up([held, arrays(batch)])
+            band, i, j = got["band"], got["i"], got["j"]
+            new = (np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
+            found = []
+            for a, b in zip([0, *new], new, strict=False):
+                found += compared({c: v[a:b] for c, v in got.items()}, similarity, least, forest)
+            held = {c: v[new[-1] if new else 0 :] for c, v in got.items()}
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         if held is not None:
-            out = []
-            compared(held[0][0], held[1][0], held[2][0], *held[3:], out)
-            if out:
-                yield table(out)
+            found = compared(held, similarity, least, forest)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return met.mapInArrow(run, "band long, a long, b long, more boolean")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 6, weights: str = "one") -> tuple[DataFrame, DataFrame] | None:
@@ -310,24 +350,18 @@ def links(nodes: DataFrame, words: int = 5, similarity: float = 0.8, bands: int
     if ids.limit(1).count() == 0:
         return None
     buckets = durable(shared.join(ids, "node").select("band", F.col("id").alias("node")))
-    marks = durable(found.join(ids, "node").select(F.col("id").alias("node"), "signature"))
-    texts = durable(nodes.join(ids, "node").groupBy(F.col("id").alias("node")).agg(F.any_value("text").alias("text")))
+    # the nodes grow with the documents: merged at every size
+    texts = nodes.join(ids.hint("merge"), "node").groupBy(F.col("id").alias("node")).agg(F.any_value("text").alias("text"))
+    marks = found.join(ids, "node").select(F.col("id").alias("node"), "bands", "signature")
+    marks = durable(marks.join(profiles(texts, words, weights), "node"))
 
-    side = lambda df, key, value, name: df.select(F.col("node").alias(key), F.col(value).alias(name))
-    with_both = lambda pairs, df, value: pairs.join(side(df, "a", value, "left"), "a").join(side(df, "b", value, "right"), "b")
-    least = similarity - SLACK
+    def with_both(pairs: DataFrame) -> DataFrame:
+        side = lambda key, p: marks.select(F.col("node").alias(key), *(F.col(c).alias(f"{p}_{c}") for c in ("signature", "cells", "heights")))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
-    near = agreeing(with_both(to_leaders(buckets), marks, "signature"), least)
-    labels = durable(components(durable(alike(with_both(near, texts, "text"), words, similarity, weights))))
-    best, open_ = BEST, buckets
-    while True:
-        open_ = opened(open_, labels)
-        met = durable(across(open_, marks, least, best))
-        labels = joined(labels, durable(alike(with_both(met.select("a", "b").distinct(), texts, "text"), words, similarity, weights)))
-        back = met.where("more").select("band").distinct()
-        if back.limit(1).count() == 0:
-            return ids, labels
-        open_, best = buckets.join(back, "band", "left_semi"), best * 16
+    least = similarity - SLACK
+    labels = components(durable(alike(with_both(to_leaders(marks)), similarity, least)))
+    return ids, joined(labels, durable(across(opened(buckets, labels), marks, similarity, least)))
 
 
 def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
