@@ -596,10 +596,81 @@ def test_pseudonyms_are_linked_keyed_and_one_to_one(spark):
     assert len(set(pseudonyms(spark, days))) == len(days)
 
 
+def test_values_beside_other_tokens(spark):
+    """Cards and IBANs that touch other numbers and capitals, dates with the month first."""
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [card, f"12 {card}", f"2023 {card}", f"{card} 12", f"{card} 5500 0000 0000 0004", f"AB12 {card}", iban, f"{iban} BIC", f"{iban} 2024", "12/25/2023", "25/12/2023", f"+1 {card}"]
+    out = pseudonyms(spark, texts)
+    new_card, new_iban = out[0], out[6]
+    assert new_card != card and valid_card(new_card) and new_iban != iban
+    assert out[1] == f"12 {new_card}" and out[2] == f"2023 {new_card}" and out[3] == f"{new_card} 12" and out[5] == f"AB12 {new_card}" and out[11] == f"+1 {new_card}"
+    assert out[4].startswith(new_card) and not out[4].endswith("5500 0000 0000 0004")
+    assert out[7] == f"{new_iban} BIC" and out[8] == f"{new_iban} 2024"
+    month, day, year = out[9].split("/")
+    assert out[9] != texts[9] and out[10] == f"{day}/{month}/{year}"
+
+
+def test_equal_values_are_linked_however_written(spark):
+    out = pseudonyms(spark, ["+1 212 555 0199", "+12125550199", "+1-212-555-0199", "+41 21 555 01 99", "+41215550199", "Jane.Doe@x.org", "jane.doe@x.org", "JANE.DOE@x.org"])
+    assert len({re.sub(r"\D", "", x) for x in out[:3]}) == 1 and out[1].startswith("+1") and out[1] != "+12125550199"
+    assert len({re.sub(r"\D", "", x) for x in out[3:5]}) == 1 and out[4].startswith("+41")
+    assert len({x.lower() for x in out[5:]}) == 1 and out[7] == out[7].upper().replace("@X.ORG", "@x.org") and out[6] != "jane.doe@x.org"
+
+
+def feistel(text, key, kind):
+    """The string permutation, round by round."""
+    secret = hashlib.sha256(f"{key}|{kind}".encode()).hexdigest()
+    cut = len(text) // 2
+    left, right = text[:cut], text[cut:]
+    for turn in range(1, pii.ROUNDS + 1):
+        mark = hashlib.sha256(f"{secret}|{turn}|{right}".encode()).hexdigest()
+        moved = ""
+        for i, c in enumerate(left):
+            by = int(mark[i % 32 * 2 : i % 32 * 2 + 2], 16)
+            letters = next((a for a in pii.ALPHABETS if c in a), None)
+            moved += letters[(letters.index(c) + by) % len(letters)] if letters else c
+        left, right = right, moved
+    return left + right
+
+
+def unfeistel(text, key, kind):
+    """What ``feistel`` made ``text`` of."""
+    secret = hashlib.sha256(f"{key}|{kind}".encode()).hexdigest()
+    cut = len(text) // 2
+    left, right = (text[:cut], text[cut:]) if pii.ROUNDS % 2 == 0 else (text[: len(text) - cut], text[len(text) - cut :])
+    for turn in range(pii.ROUNDS, 0, -1):
+        mark = hashlib.sha256(f"{secret}|{turn}|{left}".encode()).hexdigest()
+        moved = ""
+        for i, c in enumerate(right):
+            by = int(mark[i % 32 * 2 : i % 32 * 2 + 2], 16)
+            letters = next((a for a in pii.ALPHABETS if c in a), None)
+            moved += letters[(letters.index(c) - by) % len(letters)] if letters else c
+        left, right = moved, left
+    return left + right
+
+
+def test_pseudonyms_by_a_second_network_and_undone(spark):
+    cards = ["4111111111111111", "5500000000000004", "340000000000009"]
+    mails = ["jane.doe7", "x", "ab", "m_1-2+z", "zoë.müller"]
+    phones = ["+12125550199", "+41215550199", "+351911234567"]
+    out = pseudonyms(spark, [*cards, *(f"{m}@x.org" for m in mails), *phones])
+    for old, new in zip(cards, out, strict=False):
+        assert new[:-1] == feistel(old[:-1], "k", "card") and unfeistel(new[:-1], "k", "card") == old[:-1] and valid_card(new)
+    for old, new in zip(mails, out[3:], strict=False):
+        assert new == feistel(old, "k", "email") + "@x.org" and unfeistel(new[:-6], "k", "email") == old
+    for old, new, code in zip(phones, out[8:], (2, 3, 4), strict=True):
+        assert new == old[:code] + feistel(old[code:], "k", "phone") and unfeistel(new[code:], "k", "phone") == old[code:]
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    plan = pii.report(odd(spark, ODD), "a very secret key")._jdf.queryExecution().toString()
+    assert "very secret" not in plan
+
+
 def test_pseudonyms_of_odd_tables(spark):
     got = pii.report(odd(spark, ODD), "k").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(ODD, key=str)
-    frame = odd(spark, [*ODD, (9, "call +1 (017) 555-7713 now")])
+    frame = odd(spark, [*ODD, (9, "call +1 (017) 555-7713 now")]).withColumns({c: F.lit(1) for c in ("_n", "_new", "_found", "_gaps", "_as", "c0")})
     kept = pii.pseudonymise_documents(frame, "k")
     assert kept.columns == frame.columns and kept.count() == len(ODD) + 1
     assert pii.report(odd(spark, ODD).limit(0), "k").count() == 0
