@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def easter(year: Column) -> Column:
-    """Gregorian Easter Sunday, in integer arithmetic."""
+def with_easter(years: DataFrame, year: str = "year") -> DataFrame:
+    """``years`` with easter: Gregorian Easter Sunday in integer arithmetic, step by step, so that no step's code is copied into the next."""
     i = lambda c: F.floor(c).cast("int")
-    golden, century = year % 19, i(year / 100)
-    moon = (century - i(century / 4) - i((century * 8 + 13) / 25) + golden * 19 + 15) % 30
-    moon = moon - i(moon / 28) * (F.lit(1) - i(F.lit(29) / (moon + 1)) * i((F.lit(21) - golden) / 11))
-    weekday = (year + i(year / 4) + moon + 2 - century + i(century / 4)) % 7
-    offset = moon - weekday
-    month = i((offset + 40) / 44) + 3
-    return F.make_date(year, month, offset + 28 - i(month / 4) * 31)
+    y, kept = F.col(year), years.columns
+    out = years.withColumns({"_golden": y % 19, "_century": i(y / 100)})
+    out = out.withColumn("_moon", (F.col("_century") - i(F.col("_century") / 4) - i((F.col("_century") * 8 + 13) / 25) + F.col("_golden") * 19 + 15) % 30)
+    late = i(F.col("_moon") / 28) * (F.lit(1) - i(F.lit(29) / (F.col("_moon") + 1)) * i((F.lit(21) - F.col("_golden")) / 11))
+    out = out.withColumn("_full", F.col("_moon") - late)
+    out = out.withColumn("_offset", F.col("_full") - (y + i(y / 4) + F.col("_full") + 2 - F.col("_century") + i(F.col("_century") / 4)) % 7)
+    out = out.withColumn("_month", i((F.col("_offset") + 40) / 44) + 3)
+    return out.select(*kept, F.make_date(y, F.col("_month"), F.col("_offset") + 28 - i(F.col("_month") / 4) * 31).alias("easter"))
 
 
 def first_weekday_from(day: Column, name: str) -> Column:
@@ -35,12 +36,11 @@ def fast_monday(year: Column) -> Column:
 
 def holidays(years: DataFrame) -> DataFrame:
     """day, holiday for each year of ``years`` (year int)."""
-    y = F.col("year")
-    e = easter(y)
+    y, e = F.col("year"), F.col("easter")
     named = [("new_year", F.make_date(y, F.lit(1), F.lit(1))), ("second_january", F.make_date(y, F.lit(1), F.lit(2)))]
     named += [("good_friday", F.date_sub(e, 2)), ("easter_monday", F.date_add(e, 1)), ("ascension", F.date_add(e, 39)), ("whit_monday", F.date_add(e, 50))]
     named += [("national_day", F.make_date(y, F.lit(8), F.lit(1))), ("fast_monday", fast_monday(y)), ("christmas", F.make_date(y, F.lit(12), F.lit(25)))]
-    return years.select(F.inline(F.array(*(F.struct(d.alias("day"), F.lit(n).alias("holiday")) for n, d in named))))
+    return with_easter(years).select(F.inline(F.array(*(F.struct(d.alias("day"), F.lit(n).alias("holiday")) for n, d in named))))
 
 
 def days(spark: SparkSession, first: str, last: str) -> DataFrame:
@@ -58,6 +58,48 @@ def span_counts(spans: DataFrame, by: str) -> DataFrame:
     return expanded(spans).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(by).alias("classes"), F.array_join(F.array_sort(F.collect_set("name")), "|").alias("names"))
 
 
+def school_leave(years: DataFrame) -> DataFrame:
+    """kind, start, end of the school leave of each timetable year, from its parameters (one row a year).
+
+    Given are the first days of the summer, autumn, winter and spring leave and their lengths in weeks; a leave runs from
+    the Saturday on or before its first day to the Sunday that ends it. The short leave in February is the week after its
+    first Monday.
+    """
+    def leave(kind: str, first: Column, weeks: Column) -> Column:
+        start = last_weekday_until(first, "Sat")
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), F.date_add(start, (weeks * 7 + 1).cast("int")).alias("end"))
+
+    kinds = [leave(k, F.col(f"{k}_first"), F.col(f"{k}_weeks")) for k in ("summer", "autumn", "winter", "spring")]
+    february = first_weekday_from(F.make_date(F.year("spring_first"), F.lit(2), F.lit(1)), "Mon")
+    kinds.append(leave("february", february, F.lit(1)))
+    return years.select("year", F.inline(F.array(*kinds)))
+
+
+def school_year(day: Column, start_month: int = 8) -> Column:
+    """School year of a day as ``2023/24``; it opens in ``start_month``."""
+    first = F.year(day) - F.when(F.month(day) < start_month, 1).otherwise(0)
+    return F.concat(first.cast("string"), F.lit("/"), F.lpad(((first + 1) % 100).cast("string"), 2, "0"))
+
+
+def marked(dim: DataFrame, marks: DataFrame, day: str = "day") -> DataFrame:
+    """``dim`` with one flag for each marker name of ``marks`` (marker, day): a literal handful of markers."""
+    names = sorted(r[0] for r in marks.select("marker").distinct().collect())
+    flags = marks.groupBy(day).pivot("marker", names).agg(F.lit(True))
+    return dim.join(F.broadcast(flags), day, "left").fillna(False, names)
+
+
+def regional_flags(days_: DataFrame, regions: DataFrame, day: str = "day") -> DataFrame:
+    """For each day the number of regions on leave and on holiday, and whether each kind holds anywhere.
+
+    ``regions`` has region, kind (``leave`` or ``holiday``), start, end; a region counts once a day however many spans it has.
+    """
+    active = expanded(regions).select(day, "region", "kind").distinct()
+    count = lambda k: F.count_if(F.col("kind") == k)
+    sums = active.groupBy(day).agg(count("leave").alias("n_leave"), count("holiday").alias("n_holiday"))
+    out = days_.join(sums, day, "left").fillna(0, ["n_leave", "n_holiday"])
+    return out.withColumns({"any_leave": F.col("n_leave") > 0, "any_holiday": F.col("n_holiday") > 0})
+
+
 def dimension(spark: SparkSession, first_year: int, last_year: int, spans: DataFrame | None = None) -> DataFrame:
     """Date dimension: weekday (1 Monday), holiday name and flag, non-working, bridge, eve and after flags, and running spans."""
     years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))

@@ -8,26 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.storage import stored
+
 one = "*"
 
 
-def running(df: DataFrame, order: str, sums: list[str], cells: int = 256) -> DataFrame:
-    """``df`` (one row for each value of the double ``order``) with running sums over descending ``order`` as ``cum_`` columns.
+def running(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None, cells: int | None = None) -> DataFrame:
+    """``df`` (one row for each value of ``order`` within ``by``) with running sums over descending ``order`` as ``cum_`` columns.
 
-    Values are cut into ``cells`` ranges: sums run inside a range, and the ranges' totals, a small table, are added. No
-    single task sorts all rows.
+    Rows are dealt by Spark's range partitioning, so skewed values make no large cell, and stored once: sums run inside a
+    cell, and the cells' totals, a small table, are added. No single task sorts all rows. ``cells`` is the session's number
+    of shuffle partitions.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumns({f"cum_{c}": F.lit(None).cast("bigint") for c in sums})
-    width = (high - low) / cells or 1.0
-    df = df.withColumn("_cell", F.least(F.floor((F.lit(high) - F.col(order)) / width), F.lit(cells - 1)))
-    totals = df.groupBy("_cell").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
-    before = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cells`` rows
-    totals = totals.select("_cell", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
-    inside = Window.partitionBy("_cell").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(F.broadcast(totals), "_cell").withColumns({f"cum_{c}": F.sum(c).over(inside) + F.col(f"_b_{c}") for c in sums})
-    return out.drop("_cell", *(f"_b_{c}" for c in sums))
+    by = by or []
+    cells = cells or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = stored(df.repartitionByRange(cells, *by, F.desc(order)).withColumn("_cell", F.spark_partition_id()))
+    totals = df.groupBy(*by, "_cell").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    totals = totals.select(*by, "_cell", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
+    inside = Window.partitionBy(*by, "_cell").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in sums})
+    other = totals.select(*(F.col(c).alias(f"_k_{c}") for c in [*by, "_cell"]), *(f"_b_{c}" for c in sums))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_cell"]))
+    out = df.join(F.broadcast(other) if not by else other, same).withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_b_{c}") for c in sums})
+    return out.drop("_cell", *(f"_b_{c}" for c in sums), *(f"_k_{c}" for c in [*by, "_cell"]))
 
 
 def confusion(reco: Column, label: Column) -> list[Column]:
@@ -50,8 +54,8 @@ def regression(y: Column, p: Column, threshold: float) -> list[Column]:
 def pr_curve(scored: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """score, hits and rows from the top down to each distinct score, precision, recall. Equal scores are one point."""
     points = scored.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label)).alias("hits"), F.count(one).alias("rows"))
-    total = scored.agg(F.count_if(F.col(label)).alias("_all"))
-    curve = running(points, "score", ["hits", "rows"]).crossJoin(F.broadcast(total))  # one row
+    curve = running(points, "score", ["hits", "rows"])
+    curve = curve.crossJoin(F.broadcast(curve.agg(F.max("cum_hits").alias("_all"))))  # one row
     return curve.select("score", F.col("cum_hits").alias("hits"), F.col("cum_rows").alias("rows"), (F.col("cum_hits") / F.col("cum_rows")).alias("precision"), (F.col("cum_hits") / F.nullif("_all", F.lit(0))).alias("recall"), (F.col("hits") / F.nullif("_all", F.lit(0))).alias("step"))
 
 
@@ -65,6 +69,28 @@ def percentiles(value: str, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> l
     return [F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in at]
 
 
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """keys and interpolated percentiles p50, p90, ... from counts of distinct values and their ranks: no group's values meet in one buffer."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(one).alias("_c"))
+    ranked = running(counts, "_v", ["_c"], by=keys)
+    size = ranked.groupBy(*(F.col(k).alias(f"_n_{k}") for k in keys)).agg(F.max("cum__c").alias("_n"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys))
+    ranked = ranked.join(size, same)
+    last = F.col("_n") - F.col("cum__c") + F.col("_c") - 1  # ranks from 0 upwards: this value has those from first to last
+    first = F.col("_n") - F.col("cum__c")
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank <= last), F.col("_v")))
+
+    out = []
+    for q in at:
+        place = F.lit(float(q)) * (F.col("_n") - 1)
+        low = value_at(F.floor(place))
+        part = F.max(place - F.floor(place))
+        out.append((low + part * (value_at(F.ceil(place)) - low)).alias(f"p{round(q * 100)}"))
+    return ranked.groupBy(*keys).agg(*out)
+
+
 def matrix(rows: DataFrame, row: str, column: str, values: list, agg: Column) -> DataFrame:
     return rows.groupBy(row).pivot(column, values).agg(agg)
 
@@ -95,8 +121,9 @@ def weighted_corr(x: Column, y: Column, w: Column) -> Column:
 def ks(rows: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of a value between two groups."""
     points = rows.where(F.col(group).isin(a, b)).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group) == a).alias("a"), F.count_if(F.col(group) == b).alias("b"))
-    total = points.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    return running(points, "v", ["a", "b"]).crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("cum_a") / F.col("ta") - F.col("cum_b") / F.col("tb"))).alias("ks"))
+    curve = running(points, "v", ["a", "b"])
+    total = curve.agg(F.max("cum_a").alias("ta"), F.max("cum_b").alias("tb"))
+    return curve.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("cum_a") / F.col("ta") - F.col("cum_b") / F.col("tb"))).alias("ks"))
 
 
 def concentration(rows: DataFrame, keys: list[str], cell: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import confusion, pr_curve
+from .aggregates import confusion, pr_curve, unioned
 
 one = "*"
 
@@ -16,24 +16,44 @@ def trips(legs: DataFrame, trip: list[str], pred: str, load: str, booked: str |
     return legs.groupBy(*trip).agg(F.max(pred).alias("score"), F.max(load).alias("load"), F.count(one).alias("legs"), F.coalesce(F.bool_or(F.col(load) > threshold), F.lit(False)).alias("label"), *more)
 
 
+def at_volume(curve: DataFrame, k: int | Column) -> DataFrame:
+    """threshold: the k-th largest score of a precision-recall curve's rows; the least score if there are fewer."""
+    return curve.agg(F.coalesce(F.max(F.when(F.col("rows") >= k, F.col("score"))), F.min("score")).alias("threshold"))
+
+
+def at_fbeta(curve: DataFrame, beta: float) -> DataFrame:
+    """threshold, f: the score with the highest F-beta on a curve, the least of equals."""
+    b = beta * beta
+    p, r = F.col("precision"), F.col("recall")
+    f = (1 + b) * p * r / (b * p + r + 1e-12)
+    return curve.withColumn("f", F.round(f, 12)).agg(F.max_by("score", F.struct(F.col("f"), -F.col("score"))).alias("threshold"), F.max("f").alias("f"))
+
+
 def volume_threshold(scored: DataFrame, score: str, k: int) -> DataFrame:
     """threshold: the k-th largest score, found from counts of distinct scores."""
-    curve = pr_curve(scored.withColumn("_l", F.lit(False)), score, "_l")
-    return curve.where(F.col("rows") >= k).agg(F.max("score").alias("threshold"))
+    return at_volume(pr_curve(scored.withColumn("_l", F.lit(False)), score, "_l"), k)
 
 
 def fbeta_threshold(scored: DataFrame, score: str, label: str, beta: float) -> DataFrame:
     """threshold, f: the score with the highest F-beta, the least of equals."""
-    b = beta * beta
-    p, r = F.col("precision"), F.col("recall")
-    f = (1 + b) * p * r / (b * p + r + 1e-12)
-    return pr_curve(scored, score, label).withColumn("f", F.round(f, 12)).agg(F.max_by("score", F.struct(F.col("f"), -F.col("score"))).alias("threshold"), F.max("f").alias("f"))
+    return at_fbeta(pr_curve(scored, score, label), beta)
+
+
+def same_share(curve: DataFrame, share: Column) -> DataFrame:
+    """threshold: the score down to which a share of all rows of a curve lies (``share`` may be a column of a one-row join)."""
+    total = curve.agg(F.max("rows").alias("_n"))
+    wanted = F.greatest(F.round(share * F.col("_n")), F.lit(1))
+    return curve.crossJoin(F.broadcast(total)).where(F.col("rows") >= wanted).agg(F.max("score").alias("threshold"))  # one row
 
 
-def same_share(scored: DataFrame, score: str, share: float) -> DataFrame:
-    """threshold: the score down to which a share of all rows lies."""
-    n = scored.count()
-    return volume_threshold(scored, score, max(1, round(share * n)))
+def candidate_lists(rows: DataFrame, reco: Column, label: Column, orders: dict[str, list[Column]], n: int) -> DataFrame:
+    """The first ``n`` rows of each confusion cell (tp, fp, fn, tn) by the cell's own order, with cell and place."""
+    cell = F.when(reco & label, "tp").when(reco, "fp").when(label, "fn").otherwise("tn")
+    lists = [rows.where(cell == name).orderBy(*order).limit(n).withColumn("cell", F.lit(name)) for name, order in orders.items()]  # top-k, no sort of a whole cell
+    out = []
+    for one_list, order in zip(lists, orders.values(), strict=True):
+        out.append(one_list.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy(*order))))  # n rows
+    return unioned(out)
 
 
 def evaluated(rows: DataFrame, recos: dict[str, Column], label: str, sets: list[list[str]]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
-from .joins import asof
+from .aggregates import running
+from .joins import asof, small
 
 
 def legs(stops: DataFrame, trip: list[str], time: str, carry: list[str]) -> DataFrame:
@@ -52,8 +55,8 @@ def publication_cutoff(day: Column) -> Column:
 def publication_history(rows: DataFrame, keys: list[str], day: str, value: str, threshold: float, n: int = 7) -> DataFrame:
     """Rows with statistics of the ``n`` daily means that end with the last one published before the row's day.
 
-    Daily means, their running statistics and the as-of step share the partitioning by ``keys``. A single value has a
-    standard deviation of 0. Null keys are a group of their own.
+    Statistics are looked up once for every (keys, last published day) that occurs, a small table; the rows then meet it
+    in an equi join. A single value has a standard deviation of 0. Null keys are a group of their own.
     """
     daily = rows.groupBy(*keys, day).agg(F.avg(value).alias("_v"))
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(-n + 1, 0)
@@ -61,8 +64,18 @@ def publication_history(rows: DataFrame, keys: list[str], day: str, value: str,
         *keys, day, F.col("_v").alias("h_last"), F.avg("_v").over(w).alias("h_mean"), F.percentile("_v", F.lit(0.5)).over(w).alias("h_median"), F.max("_v").over(w).alias("h_max"),
         F.coalesce(F.stddev_samp("_v").over(w), F.lit(0.0)).alias("h_std"), F.count_if(F.col("_v") > threshold).over(w).alias("h_over"),
     )
-    probes = rows.withColumn("_cut", publication_cutoff(F.col(day)))
-    return asof(daily, probes, keys, day, "_cut", ["h_last", "h_mean", "h_median", "h_max", "h_std", "h_over"]).drop("_cut")
+    rows = rows.withColumn("_cut", publication_cutoff(F.col(day)))
+    cuts = rows.select(*keys, "_cut").distinct()
+    looked = asof(daily, cuts, keys, day, "_cut", ["h_last", "h_mean", "h_median", "h_max", "h_std", "h_over"])
+    names = [*keys, "_cut"]
+    return null_safe_join(rows, small(looked), names, "left").drop("_cut")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which nulls equal nulls; the columns of ``on`` come from the left."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on))
+    return left.join(other, same, how).drop(*(f"_r_{c}" for c in on))
 
 
 def carried_forward(rows: DataFrame, keys: list[str], order: str, value: str, gaps: list) -> Column:
@@ -71,19 +84,32 @@ def carried_forward(rows: DataFrame, keys: list[str], order: str, value: str, ga
     return F.when(F.col(value).isNull() & F.col(order).isin(gaps), F.last(value, ignorenulls=True).over(w)).otherwise(F.col(value))
 
 
-def rank_share(keys: list[str], value: str) -> Column:
-    """Average rank of ties over the number of rows."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    same = Window.partitionBy(*keys, value)
-    every = Window.partitionBy(*keys)
-    return (F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2) / F.count(F.lit(1)).over(every)
+def rank_share(rows: DataFrame, keys: list[str], value: str, name: str = "pct") -> DataFrame:
+    """``rows`` with the average rank of ties over the number of rows as ``name``.
 
+    Distinct values are counted and their ranks run over cells of their range; rows only join the result.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(counts, value, ["_c"], by=keys)
+    size = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ranked = null_safe_join(ranked, size, keys)
+    # from below: rows with a larger value are cum - c
+    share = (F.col("_n") - F.col("cum__c") + (F.col("_c") + 1) / 2) / F.col("_n")
+    return null_safe_join(rows, ranked.select(*keys, value, share.alias(name)), [*keys, value])
 
-def ranked_cut(keys: list[str], order: list, parts: int = 4) -> Column:
-    """Number (from 1) of the part when ranks 1..n are cut at 1 + (n - 1) k / parts, the lower part holding its edge."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return F.when(r == 1, 1).otherwise(F.ceil((r - 1) * parts / (n - 1)).cast("int"))
+
+def ranked_cut(rows: DataFrame, keys: list[str], order: list[str], parts: int = 4, name: str = "part") -> DataFrame:
+    """``rows`` with the number (from 1) of the part when ranks 1..n are cut at 1 + (n - 1) k / parts, the lower part holding its edge.
+
+    The first column of ``order`` is counted value by value; only rows that share it are sorted together.
+    """
+    first = order[0]
+    counts = rows.groupBy(*keys, first).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(counts, first, ["_c"], by=keys)
+    before = null_safe_join(ranked, counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys).select(*keys, first, "_n", (F.col("_n") - F.col("cum__c")).alias("_before"))
+    r = F.row_number().over(Window.partitionBy(*keys, first).orderBy(*order[1:])) + F.col("_before")
+    placed = null_safe_join(rows, before, [*keys, first]).withColumn("_r", r)
+    return placed.withColumn(name, F.when(F.col("_r") == 1, 1).otherwise(F.ceil((F.col("_r") - 1) * parts / (F.col("_n") - 1)).cast("int"))).drop("_r", "_n", "_before")
 
 
 def top(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

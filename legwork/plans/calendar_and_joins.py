@@ -89,12 +89,13 @@ def q_fiscal_month(t):
 
 
 @query("""
-with w as (select event_type, nullif(trim(substr(props, 6, event_id % 4)), '') as raw from events)
+with w as (select event_type, nullif(trim(case event_id % 4 when 0 then '' when 1 then props when 2 then substr(props, 6) else regexp_extract(props, '(\\d+)', 1) end), '') as raw from events)
 select event_type, count(*) as n, count(raw) as there, count(*) filter (raw is not null and try_cast(raw as double) is null) as bad, sum(try_cast(raw as double))::bigint as total
 from w group by event_type
 """)
 def q_strict_cast(t):
-    raw = casts.blank_to_null(F.substring("props", F.lit(6), (F.col("event_id") % 4).cast("int")))
+    kind = F.col("event_id") % 4
+    raw = casts.blank_to_null(F.when(kind == 0, "").when(kind == 1, F.col("props")).when(kind == 2, F.expr("substring(props, 6)")).otherwise(F.regexp_extract("props", r"(\d+)", 1)))
     rows = t.events.select("event_type", raw.alias("raw"))
     value = casts.cast_or_null(F.col("raw"), "bigint")
     return rows.groupBy("event_type").agg(
@@ -149,13 +150,13 @@ def q_utc_hour(t):
 
 
 @query("""
-with d as (select event_type, ts::date as day, max(value) as top, round(sum(value), 4) as total from events where event_id % 9 < 5 and user_id % 3 = 0 and not (day(ts) % 7 = 3) group by 1, 2)
+with d as (select event_type, ts::date as day, max(value) as top, round(sum(value), 4) as total from events group by 1, 2 having count(*) % 4 <> 0)
 select event_type, day, top, total, case when lag(day) over w = day - 1 then lag(total) over w end as total_before, case when lead(day) over w = day + 1 then lead(total) over w end as total_after
 from d window w as (partition by event_type order by day)
 """)
 def q_neighbour_days(t):
-    rows = t.events.withColumn("day", F.to_date("ts")).where("event_id % 9 < 5 and user_id % 3 = 0 and not (day(ts) % 7 = 3)")
-    daily = rows.groupBy("event_type", "day").agg(F.max("value").alias("top"), F.round(F.sum("value"), 4).alias("total"))
+    rows = t.events.withColumn("day", F.to_date("ts"))
+    daily = rows.groupBy("event_type", "day").agg(F.max("value").alias("top"), F.round(F.sum("value"), 4).alias("total"), F.count(F.lit(1)).alias("n")).where("n % 4 <> 0").drop("n")  # some days are missing
     return joins.neighbour_days(daily, "day", ["event_type"], ["total"])
 
 
@@ -203,12 +204,12 @@ def q_band_frequency(t):
 
 
 @query("""
-with m as (select event_id, event_type, day(ts) as d, (hour(ts) * 60 + minute(ts))::int as minute from events), a as (select distinct event_type, minute as anchor from m where d <= 15 and event_id % 5 = 0)
+with m as (select event_id, event_type, day(ts) as d, (hour(ts) * 60 + minute(ts))::int as minute from events), a as (select distinct event_type, minute // 75 * 75 + length(event_type) as anchor from m)
 select m.event_id, m.minute, (select arg_min(a.anchor, (abs(a.anchor - m.minute), -a.anchor)) from a where a.event_type = m.event_type and abs(a.anchor - m.minute) <= 30)::int as anchor from m
 """)
 def q_nearest_anchor(t):
     rows = t.events.select("event_id", "event_type", F.dayofmonth("ts").alias("d"), casts.minute_of_day(F.col("ts")).alias("minute"))
-    anchors = rows.where("d <= 15 and event_id % 5 = 0").select("event_type", F.col("minute").alias("anchor"))
+    anchors = rows.select("event_type", (F.floor(F.col("minute") / 75).cast("int") * 75 + F.length("event_type")).alias("anchor")).distinct()
     return joins.nearest_value(rows, anchors, ["event_type"], "minute", "anchor", 30).select("event_id", "minute", "anchor")
 
 

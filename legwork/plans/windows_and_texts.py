@@ -91,7 +91,7 @@ select o_orderkey, mon, round((rank() over (partition by mon order by s) + (coun
 """)
 def q_rank_pct(t):
     o = t.orders.select("o_orderkey", F.to_date(F.date_trunc("month", "o_orderdate")).alias("mon"), F.floor(F.col("o_totalprice") / 5000).alias("s"))
-    return o.select("o_orderkey", "mon", F.round(windows.rank_share(["mon"], "s"), 8).alias("pct"))
+    return windows.rank_share(o, ["mon"], "s").select("o_orderkey", "mon", F.round("pct", 8).alias("pct"))
 
 
 @query("""
@@ -99,7 +99,7 @@ with r as (select o_orderkey, o_orderpriority as p, row_number() over (partition
 select o_orderkey, p, (case when r = 1 then 1 else ceil((r - 1) * 4.0 / (c - 1)) end)::int as part from r
 """)
 def q_quartile_time(t):
-    return t.orders.select("o_orderkey", F.col("o_orderpriority").alias("p"), windows.ranked_cut(["o_orderpriority"], ["o_orderdate", "o_orderkey"], 4).alias("part"))
+    return windows.ranked_cut(t.orders.select("o_orderkey", F.col("o_orderpriority").alias("p"), "o_orderdate"), ["p"], ["o_orderdate", "o_orderkey"], 4).select("o_orderkey", "p", "part")
 
 
 @query("""
@@ -121,12 +121,12 @@ def q_blocks(t):
 
 
 @query("""
-with recursive p as (select distinct l_suppkey as g, l_orderkey as m from lineitem where l_quantity >= 49 and l_suppkey % 4 = 0),
+with recursive p as (select distinct l_suppkey as g, l_orderkey as m from lineitem),
 e as (select distinct a.g as a, b.g as b from p a join p b using (m)), r(g, x) as (select g, g from (select distinct g from p) union select e.b, r.x from r join e on r.g = e.a)
 select g, min(x) as label from r group by g
 """)
 def q_blocks_merged(t):
-    p = t.lineitem.where("l_quantity >= 49 and l_suppkey % 4 = 0").select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias("m"))
+    p = t.lineitem.select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias("m"))
     return windows.merged(p, "g", "m")
 
 
@@ -199,14 +199,14 @@ def q_path_explode(t):
 
 GEO = """
 p as (select c_custkey as k, 6.8 + (c_custkey * 37 % 1000) / 10000.0 as lon, 46.4 + (c_custkey * 91 % 1000) / 10000.0 as lat from customer),
-s as (select s_suppkey as id, 6.8 + (s_suppkey * 53 % 1000) / 10000.0 as slon, 46.4 + (s_suppkey * 29 % 1000) / 10000.0 as slat from supplier where s_suppkey < 100),
+s as (select s_suppkey as id, 6.8 + (s_suppkey * 53 % 1000) / 10000.0 as slon, 46.4 + (s_suppkey * 29 % 1000) / 10000.0 as slat from supplier),
 d as (select k, id, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) as m from (select k, id, pow(sin((radians(slat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(slat)) * pow(sin(radians(slon - lon) / 2), 2) as h from p, s))
 """
 
 
 def places(t):
     p = t.customer.select(F.col("c_custkey").alias("k"), (F.lit(6.8) + F.col("c_custkey") * 37 % 1000 / 10000).alias("lon"), (F.lit(46.4) + F.col("c_custkey") * 91 % 1000 / 10000).alias("lat"))
-    s = t.supplier.where("s_suppkey < 100").select(F.col("s_suppkey").alias("id"), (F.lit(6.8) + F.col("s_suppkey") * 53 % 1000 / 10000).alias("s_lon"), (F.lit(46.4) + F.col("s_suppkey") * 29 % 1000 / 10000).alias("s_lat"))
+    s = t.supplier.select(F.col("s_suppkey").alias("id"), (F.lit(6.8) + F.col("s_suppkey") * 53 % 1000 / 10000).alias("s_lon"), (F.lit(46.4) + F.col("s_suppkey") * 29 % 1000 / 10000).alias("s_lat"))
     return p, s
 
 
@@ -235,13 +235,13 @@ def q_text_flags(t):
 
 
 @query("""
-with w as (select doc_id, trim(lower(strip_accents(unnest(string_split_regex(substr(text, 1, 400), '[,/;]| et '))))) as name from documents),
+with w as (select doc_id, trim(lower(strip_accents(unnest(string_split_regex(text, '[,/;]| et '))))) as name from documents),
 z as (select * from (values ('la', 'near', 1), ('the', 'far', 2), ('de', 'edge', 3), ('of', 'hub', 1), ('und', 'edge', 3), ('tre', 'near', 2)) v(name, zone, priority))
 select doc_id, arg_min(zone, (priority, zone)) as zone from w join z using (name) group by doc_id
 """)
 def q_text_zone(t):
     z = t.spark.createDataFrame([("la", "near", 1), ("the", "far", 2), ("de", "edge", 3), ("of", "hub", 1), ("und", "edge", 3), ("tre", "near", 2)], "name string, zone string, priority int")
-    return text.zones(t.documents.select("doc_id", F.substring("text", 1, 400).alias("place")), "doc_id", "place", z)
+    return text.zones(t.documents.select("doc_id", F.col("text").alias("place")), "doc_id", "place", z)
 
 
 @query("""
@@ -279,8 +279,10 @@ r as (select *, row_number() over (partition by s order by (o_custkey % 10 = 0)
 select s, o_orderkey, o_totalprice, prev_key, next_key from r where r = 1
 """)
 def q_nearest_case(t):
-    o = t.orders.withColumn("s", F.col("o_orderstatus"))
-    w = Window.partitionBy("s").orderBy("o_orderdate", "o_orderkey")
-    o = o.withColumns({"prev_key": F.lag("o_orderkey").over(w), "next_key": F.lead("o_orderkey").over(w)}).where("o_totalprice > 200000")
-    best = windows.top(o, ["s"], [F.desc(F.col("o_custkey") % 10 == 0), F.abs(F.col("o_totalprice") - 250000), F.col("o_orderdate"), F.col("o_orderkey")], 1)
-    return best.select("s", "o_orderkey", "o_totalprice", "prev_key", "next_key")
+    """The case first (an aggregate), then its neighbours by two more aggregates: no window over all orders of a status."""
+    o = t.orders.select(F.col("o_orderstatus").alias("s"), "o_orderkey", "o_totalprice", "o_orderdate", "o_custkey")
+    order = F.struct((F.col("o_custkey") % 10 != 0).alias("a"), F.abs(F.col("o_totalprice") - 250000).alias("b"), "o_orderdate", "o_orderkey")
+    best = o.where("o_totalprice > 200000").groupBy("s").agg(F.min_by(F.struct("o_orderdate", "o_orderkey", "o_totalprice"), order).alias("c"))
+    place, case = F.struct("o_orderdate", "o_orderkey"), F.struct(F.col("c.o_orderdate"), F.col("c.o_orderkey"))
+    near = o.join(joins.small(best), "s").groupBy("s").agg(F.any_value("c").alias("c"), F.max(F.when(place < case, place)).alias("before"), F.min(F.when(place > case, place)).alias("after"))
+    return near.select("s", F.col("c.o_orderkey").alias("o_orderkey"), F.col("c.o_totalprice").alias("o_totalprice"), F.col("before.o_orderkey").alias("prev_key"), F.col("after.o_orderkey").alias("next_key"))
