@@ -135,7 +135,7 @@ def signatures(texts: DataFrame, words: int, bands: int, rows: int, weights: str
 
     def run(batches):
         darts = Darts(bands * rows)
-        for batch in slices(batches, rows=256, size=1 << 20):
+        for batch in slices(batches, rows=256, size=512 << 10):
             if kind == "binary":
                 first = dict((n, i) for i, n in reversed(list(enumerate(batch.column("node").to_pylist()))))
                 batch = batch.take(pa.array(sorted(first.values())))
@@ -164,7 +164,7 @@ def profiles(texts: DataFrame, words: int, weights: str) -> DataFrame:
     """node, cells (sorted hashes of the units of weight) and heights (empty where all are 1) of ``texts`` (node, text)."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, rows=256, size=1 << 20):
             text, hashes, n = shingles(batch.column("text"), words)
             text, cell, height = weighted(text, hashes, weights)
             order = np.lexsort((cell, text))

@@ -31,12 +31,14 @@ each; an empty table gives an empty result; extra columns are ignored, and kept
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,13 @@ class Vocabulary:
         return out
 
 
+def arrays(counts) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and how often they occur, of a dictionary or as they are."""
+    if isinstance(counts, dict):
+        return np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+    return counts
+
+
 def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one after another."""
     size = end - begin
@@ -98,9 +107,10 @@ def association(in1: np.ndarray, in0: np.ndarray, n1: int, n0: int) -> np.ndarra
 class Index:
     """Block-max inverted index of the examples, and the fit from votes to scores."""
 
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list, term_weight: np.ndarray, factor: np.ndarray, k: int, block: int):
+    def __init__(self, vectors: list, labels: list[int], ids: list, term_weight: np.ndarray, factor: np.ndarray, k: int, block: int):
         self.term_weight, self.k, self.block = term_weight, k, block
-        main = [max(v, key=lambda t: (v[t] * term_weight[t], -t), default=-1) for v in vectors]
+        vectors = [arrays(v) for v in vectors]
+        main = [int(at[np.lexsort((at, -n * term_weight[at]))[0]]) if len(at) else -1 for at, n in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (labels[i], main[i], i))
         self.ids = [ids[i] for i in order]
         self.labels = np.array([labels[i] for i in order], np.float64)
@@ -137,13 +147,13 @@ class Index:
         self.rate = float((self.weight * self.labels).sum() / total) if total else 0.0
         self.at, self.fit = monotone(np.array(votes), np.array(truth), np.array(weight))
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.term_weight[at]
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        at, n = arrays(counts)
+        w = (1 + np.log(n)) * self.term_weight[at]
         norm = math.sqrt(float(w @ w))
         return at, (w / norm if norm else w).astype(np.float32)
 
-    def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, counts, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a term in common, and their cosines: exact."""
         at, w = self.vector(counts)
         begin, end = self.entries[at], self.entries[at + 1]
@@ -174,9 +184,10 @@ class Index:
         best = np.lexsort((rows, -scores))[: self.k]
         return rows[best], scores[best]
 
-    def vote(self, counts: dict[int, int], without: int = -1):
+    def vote(self, counts, without: int = -1):
         """Share of label 1 among the nearest, by closeness; None without any."""
-        if not counts:
+        counts = arrays(counts)
+        if not len(counts[0]):
             return None, ()
         rows, scores = self.nearest(counts, without)
         if not len(rows):
@@ -184,7 +195,7 @@ class Index:
         w = self.weight[rows] / (1.02 - np.minimum(scores, 1))
         return float((w * self.labels[rows]).sum() / w.sum()), rows
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list]:
+    def score(self, counts) -> tuple[float, list]:
         vote, rows = self.vote(counts)
         if vote is None:
             return self.bare[0] / self.bare[1] if self.bare[1] else self.rate, []
@@ -224,7 +235,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
     return int(out[size]), out[:size]
 
 
-def train(docs: DataFrame, labelled: DataFrame, examples: int = 1500, k: int = 32, block: int = 32) -> tuple[Vocabulary, Index] | None:
+def train(docs: DataFrame, labelled: DataFrame, examples: int = 1000, k: int = 32, block: int = 32) -> tuple[Vocabulary, Index] | None:
     """The index over ``labelled`` (doc_id, label 0/1), rows of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
     labelled = labelled.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast(kind).alias("doc_id")).agg(F.max("label").alias("label"))
@@ -238,27 +249,38 @@ def train(docs: DataFrame, labelled: DataFrame, examples: int = 1500, k: int = 3
         for batch in slices(batches):
             found = [terms_of(t) for t in batch.column("text").to_pylist()]
             lists = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "term", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "tie")), *lists], ["doc_id", "label", "tie", "term", "n"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, label int, term array<string>, n array<int>").collect()
+    sample = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).join(F.broadcast(chosen), "doc_id")
+    table = sample.mapInArrow(run, f"doc_id {kind}, label int, tie long, term array<string>, n array<int>").toArrow()  # the examples' terms: packed, as their texts may be long
     # one row for each example, the same whatever the order of the rows
-    by_id = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["term"], r["n"]))}
-    rows = sorted(by_id.values(), key=lambda r: r["doc_id"])
-    if not rows:
+    ids, ties = table.column("doc_id").to_pylist(), table.column("tie").to_pylist()
+    first: dict = {}
+    for i in sorted(range(len(ids)), key=lambda i: (ids[i], ties[i])):
+        first.setdefault(ids[i], i)
+    if not first:
         return None
-    number: dict[str, int] = {}
-    vectors = [{number.setdefault(t, len(number)): n for t, n in zip(r["term"], r["n"], strict=True)} for r in rows]
-    seen, counts = np.zeros((2, len(number))), [0, 0]
-    for label, texts in ((x, {frozenset(v.items()) for v, r in zip(vectors, rows, strict=True) if r["label"] == x}) for x in (0, 1)):
-        counts[label] = len(texts)
-        for v in texts:
-            seen[label, [t for t, _ in v]] += 1
-    vocabulary = Vocabulary(list(number))
+    table = table.take(pa.array(list(first.values()))).combine_chunks()
+    ids, labels = list(first), table.column("label").to_pylist()
+    terms = pc.list_flatten(table.column("term").combine_chunks()).dictionary_encode()
+    terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+    code, amount = terms.indices.to_numpy().astype(np.int64), pc.list_flatten(table.column("n").combine_chunks()).to_numpy().astype(np.float64)
+    cut = np.concatenate(([0], np.cumsum(pc.list_value_length(table.column("term")).to_numpy())))
+    vectors = [(code[a:b], amount[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+    number = terms.dictionary.to_pylist()
+    del table, terms
+    seen, counts, known = np.zeros((2, len(number))), [0, 0], set()
+    for (at, times), label in zip(vectors, labels, strict=True):
+        order = np.argsort(at)
+        if (key := (label, hashlib.blake2b(at[order].tobytes() + times[order].tobytes()).digest())) not in known:  # distinct texts
+            known.add(key)
+            counts[label] += 1
+            seen[label, at] += 1
+    vocabulary = Vocabulary(number)
     total, df = frequencies(docs, vocabulary)
     weight = (np.log((1 + total) / (1 + df)) + 1) * (BASE + np.maximum(association(seen[1], seen[0], counts[1], counts[0]) - CHANCE, 0))
-    n = [sum(r["label"] == x for r in rows) for x in (0, 1)]
-    factor = np.array([totals.get(x, 0) / max(1, n[x]) for x in (0, 1)])
-    return vocabulary, Index(vectors, [r["label"] for r in rows], [r["doc_id"] for r in rows], weight, factor, k, block)
+    factor = np.array([totals.get(x, 0) / max(1, labels.count(x)) for x in (0, 1)])
+    return vocabulary, Index(vectors, labels, ids, weight, factor, k, block)
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, Index] | None, columns: list[str], rejects: float | None = None, threshold: float = 0.7) -> DataFrame:
