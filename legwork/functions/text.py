@@ -28,12 +28,18 @@ def last_rule(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
     return out.otherwise(other)
 
 
-def zones(rows: DataFrame, key: str, place: str, table: DataFrame, sep: str = r"[,/;]| et ") -> DataFrame:
+def zones(rows: DataFrame, key: str, place: str, table: DataFrame, sep: str = r"[,/;]| et | - ") -> DataFrame:
     """key, zone of best (least) priority among the places named in a text; ``table`` has name, zone, priority."""
     names = rows.select(key, F.explode(F.split(place, sep)).alias("_name")).withColumn("name", folded(F.col("_name")))
     return names.join(F.broadcast(table), "name").groupBy(key).agg(F.min_by("zone", F.struct("priority", "zone")).alias("zone"))
 
 
+def locality(c: Column, names: list[str]) -> Column:
+    """The first of ``names``, in their order, that the folded text holds; null without any."""
+    place = folded(c)
+    return F.coalesce(*(F.when(place.contains(n), n) for n in names))
+
+
 def event_lines(lines: DataFrame, text: str = "line", drop: str = r"(?i)annul|report") -> DataFrame:
     """name, first and last day and place of lines such as ``12.07.2023 - 15.07.2023 Name, Place``; cancelled ones go.
 

@@ -169,6 +169,25 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(one).alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest")).withColumn("schema", F.lit(df.schema.simpleString()))
 
 
+def portable_fingerprint(df: DataFrame) -> DataFrame:
+    """rows, digest: sum of the leading 32 bits of each row's MD5 over its columns as text."""
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in df.columns)).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return df.agg(F.count(one).alias("rows"), F.sum(part).alias("digest"))
+
+
+def coverage(run: DataFrame, measured: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """by, run, measured and their ratio; ``measured`` holds distinct keys."""
+    out = run.join(measured.withColumn("_m", F.lit(1)), key, "left").groupBy(*by).agg(F.count(one).alias("run"), F.count("_m").alias("measured"))
+    return out.withColumn("coverage", F.round(F.col("measured") / F.col("run"), 6))
+
+
+def monthly_mass(rows: DataFrame, keys: list[str], families: list[str], whole: str, tolerance: float) -> DataFrame:
+    """keys, family, mean signed and absolute contribution, and whether the families of a group add up to its whole."""
+    sums = rows.groupBy(*keys).agg(*(F.avg(f).alias(f) for f in families), *(F.avg(F.abs(f)).alias(f"_m_{f}") for f in families), (F.abs(sum((F.sum(f) for f in families[1:]), F.sum(families[0])) - F.sum(whole)) < tolerance).alias("additive"))
+    cells = F.array(*(F.struct(F.lit(f).alias("family"), F.col(f).alias("signed"), F.col(f"_m_{f}").alias("mass")) for f in families))
+    return sums.select(*keys, F.inline(cells), "additive")
+
+
 def gaps(days: DataFrame, keys: list[str], day: str) -> DataFrame:
     """keys, gap_from, gap_to, missing: stretches of days without a row between the first and last of each group."""
     w = Window.partitionBy(*keys).orderBy(day)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import aggregates
+from . import aggregates, decision
 
 
 def temporal_split(df: DataFrame, year: str, train: Iterable[int], test: Iterable[int], closed: DataFrame | None = None, on: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -143,3 +143,34 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
         dealt = df.withColumn(f, F.coalesce(F.lead(f).over(w), F.first(f).over(w)))
         out.append(rmse(dealt).select(F.lit(f).alias("feature"), F.col("rmse").alias("_with")))
     return aggregates.unioned(out).crossJoin(F.broadcast(base)).select("feature", (F.col("_with") - F.col("rmse")).alias("rise"))  # one row
+
+
+def walk_forward(df: DataFrame, year: str, years: list[int], features: list[str], target: str, grid: dict[str, object], threshold: float, beta: float) -> DataFrame:
+    """params, fold, cut, precision, recall: each estimator over expanding folds, its cut (F-beta on the fold's past) fitted anew; fold null is the mean."""
+    over = F.col(target) > threshold
+    rows = []
+    for name, estimator in grid.items():
+        for past, now in expanding_folds(years):
+            train = df.where(F.col(year).isin(past))
+            model = fit(train, features, estimator)
+            seen = score(model, train, features).select(F.round("pred", 3).alias("pred"), over.alias("label"))
+            cut = decision.at_fbeta(aggregates.pr_curve(seen, "pred", "label"), beta).select(F.col("threshold").alias("cut"))
+            later = score(model, df.where(F.col(year) == now), features).select("pred", over.alias("label")).crossJoin(F.broadcast(cut))  # one row
+            rows.append(later.agg(F.lit(name).alias("params"), F.lit(now).alias("fold"), F.first("cut").alias("cut"), *aggregates.confusion(F.col("pred") >= F.col("cut"), F.col("label"))))
+    every = aggregates.unioned(rows)
+    return every.groupingSets([[F.col("params"), F.col("fold")], [F.col("params")]], "params", "fold").agg(F.avg("cut").alias("cut"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
+
+
+def added_family(train: DataFrame, years: dict[str, DataFrame], base: list[str], family: list[str], target: str, threshold: float, trip: list[str], estimator) -> DataFrame:
+    """year, grain, without, with_family, gain: average precision by row and by trip, without and with a family of features."""
+    fitted = {"without": fit(train, base, estimator), "with_family": fit(train, [*base, *family], estimator)}
+    out = []
+    for name, rows in years.items():
+        for arm, model in fitted.items():
+            scored = score(model, rows, base if arm == "without" else [*base, *family]).withColumn("label", F.col(target) > threshold)
+            trips = decision.trips(scored, trip, "pred", target, threshold=threshold)
+            for grain, frame, value in (("row", scored, "pred"), ("trip", trips, "score")):
+                curve = aggregates.pr_curve(frame.withColumn(value, F.round(value, 3)), value, "label")
+                out.append(aggregates.average_precision(curve).select(F.lit(name).alias("year"), F.lit(grain).alias("grain"), F.lit(arm).alias("arm"), "ap"))
+    wide = aggregates.unioned(out).groupBy("year", "grain").pivot("arm", ["without", "with_family"]).agg(F.first("ap"))
+    return wide.withColumn("gain", F.col("with_family") - F.col("without"))

@@ -67,6 +67,42 @@ def missing_rates(df: DataFrame, columns: list[str], most: float) -> DataFrame:
     return rates.where(F.col("rate") > most)
 
 
+def first_gap(df: DataFrame, keys: list[str], day: str, order: list[str], least: int) -> DataFrame:
+    """The median gap in days between a group's first and second row must be at least ``least``."""
+    return guard(two_first(df, keys, day, order), "first_gap", F.when(F.percentile(F.datediff("_second", "_first"), F.lit(0.5)) >= least, 0).otherwise(1))
+
+
+def two_first(df: DataFrame, keys: list[str], day: str, order: list[str]) -> DataFrame:
+    """_first and _second day of each group, by two aggregates."""
+    place = F.struct(*order)
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_at"), F.min_by(day, place).alias("_first"))
+    later = df.join(first.select(*keys, "_at"), keys).where(place > F.col("_at")).groupBy(*keys).agg(F.min_by(day, place).alias("_second"))
+    return first.join(later, keys, "left")
+
+
+def in_range(df: DataFrame, name: str, value: str, low: float, high: float, closed: bool = False) -> DataFrame:
+    """Values outside [low, high), or [low, high] if ``closed``; null passes."""
+    v = F.col(value)
+    return guard(df, name, F.count_if((v < low) | ((v > high) if closed else (v >= high))))
+
+
+def null_iff(df: DataFrame, name: str, value: str, flag: str) -> DataFrame:
+    """A value must be null exactly where the flag says so."""
+    return guard(df, name, F.count_if(F.col(value).isNull() != F.col(flag)))
+
+
+def orphans(facts: DataFrame, keys: DataFrame, on: list[str], by: str, most: float) -> DataFrame:
+    """Groups (years) in which more than a share of the facts has no key in ``keys`` (distinct)."""
+    rates = facts.join(keys.withColumn("_there", F.lit(True)), on, "left").groupBy(by).agg(F.avg(F.col("_there").isNull().cast("double")).alias("_rate"))
+    return guard(rates, "orphans", F.count_if(F.col("_rate") > most))
+
+
+def first_is_null(df: DataFrame, keys: list[str], order: list[str], history: str) -> DataFrame:
+    """A group's first row has no history."""
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(F.col(history).alias("h")), F.struct(*order)).alias("_f"))
+    return guard(first, "first_is_null", F.count_if(F.col("_f.h").isNotNull()))
+
+
 def enforce(*guards: DataFrame) -> None:
     broken = [tuple(r) for g in guards for r in g.where("violations > 0").collect()]
     if broken:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, haversine
@@ -51,3 +51,15 @@ def nearest_station(points: DataFrame, stations: DataFrame, key: list[str], radi
     """Each point's nearest station within ``radius`` (ties: least id); points without one are left out."""
     pairs = within_radius(points, stations, radius, on=on)
     return pairs.groupBy(*key).agg(F.min_by(F.struct("id", "metres"), F.struct("metres", "id")).alias("_n")).select(*key, "_n.id", "_n.metres")
+
+
+def leg_templates(stops: DataFrame, service: list[str], trip: list[str], time: str, station: str, place: str) -> DataFrame:
+    """Distinct legs of each service: seq, leg_from, leg_to, direction (by the stations' order ``place`` on the line).
+
+    Stops of a trip that follow each other at one station are one; equal legs of a service's trips give one template.
+    """
+    w = Window.partitionBy(*service, *trip).orderBy(time)
+    kept = stops.withColumn("_last", F.lag(station).over(w)).where(~F.col(station).eqNullSafe(F.col("_last")) | F.col("_last").isNull())
+    legs = kept.select(*service, F.row_number().over(w).alias("seq"), F.col(station).alias("leg_from"), F.lead(station).over(w).alias("leg_to"), F.col(place).alias("_a"), F.lead(place).over(w).alias("_b"))
+    direction = F.when(F.col("_b") > F.col("_a"), "up").otherwise("down")
+    return legs.where("leg_to is not null").select(*service, "seq", "leg_from", "leg_to", direction.alias("direction")).distinct()

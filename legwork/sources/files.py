@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import casts
+
 
 def header(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8") -> list[str]:
     """Column names of one delimited file, without a byte order mark."""
@@ -75,34 +78,46 @@ def read_stage(spark: SparkSession, parquet: str, csv: str | None = None, schema
 
 
 def write_stage(df: DataFrame, parquet: str, csv: str | None = None) -> None:
-    """Written beside the target and then swapped in, so that readers never see half a stage."""
+    """Written beside the target and then swapped in: the old stage is renamed aside, the new one to its name, then the old
+    one deleted; if the swap fails the old stage is put back. Readers never see half a stage, and a crash leaves one of them."""
     spark = df.sparkSession
-    fresh = f"{parquet}.{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fresh, aside = (f"{parquet}.{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
     df.write.parquet(fresh)
     fs, target = _fs(spark, parquet)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), target):
+    had = fs.exists(target)
+    if had and not fs.rename(target, path(aside)):
+        raise OSError(f"{parquet} can't be renamed to {aside}")
+    if not fs.rename(path(fresh), target):
+        if had:
+            fs.rename(path(aside), target)
         raise OSError(f"{fresh} can't be renamed to {parquet}")
+    if had:
+        fs.delete(path(aside), True)
     if csv:
         spark.read.parquet(parquet).write.mode("overwrite").option("header", True).csv(csv)
 
 
-def read_yearly(spark: SparkSession, paths: dict[int, str], keep: Column | None = None, year: str = "year") -> DataFrame:
-    """Yearly files with the year in their column names (``B23BTOT`` becomes ``BBTOT``), separator found from the header, boxes filtered."""
+def read_yearly(spark: SparkSession, paths: list[str] | dict[int, str], schema: T.StructType, box: dict[str, tuple[float, float]] | None = None, keep: Column | None = None, year: str = "year") -> DataFrame:
+    """Yearly files whose columns carry the year (``B23BTOT`` becomes ``BBTOT``), as one frame of ``schema`` and the year.
+
+    The year is the last four digits in a file's name (or given); the separator is that of the header; columns are read as
+    text and cast strictly by ``schema``, so types never drift between years; ``box`` keeps ranges of columns.
+    """
+    by_year = paths if isinstance(paths, dict) else {int(re.findall(r"\d{4}", p.rsplit("/", 1)[-1])[-1]): p for p in paths}
     frames = []
-    for y, path in sorted(paths.items()):
+    for y, path in sorted(by_year.items()):
         line = spark.read.text(path).limit(1).collect()[0][0]
         sep = ";" if line.count(";") >= line.count(",") else ","
-        f = spark.read.option("header", True).option("sep", sep).option("inferSchema", True).csv(path)
+        names = [c.strip().strip('"') for c in line.lstrip("﻿").split(sep)]
         mark = f"{y % 100:02d}"
-        f = f.withColumnsRenamed({c: c[0] + c[3:] for c in f.columns if len(c) > 3 and c[0].isalpha() and c[1:3] == mark})
-        f = f.withColumn(year, F.lit(y))
-        frames.append(f.where(keep) if keep is not None else f)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+        plain = [c[0] + c[3:] if len(c) > 3 and c[0].isalpha() and c[1:3] == mark else c for c in names]
+        f = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in plain])).option("header", True).option("sep", sep).csv(path)
+        f = casts.conform(f.select(*(casts.cast_or_null(F.col(c.name), c.dataType.simpleString()).alias(c.name) for c in schema if c.name in plain)), schema)
+        for c, (low, high) in (box or {}).items():
+            f = f.where(F.col(c).between(low, high))
+        frames.append((f.where(keep) if keep is not None else f).withColumn(year, F.lit(y)))
+    return union_checked(frames)
 
 
 def cleaned_series(raw: DataFrame, names: dict[str, str], time: str, station: str) -> tuple[DataFrame, DataFrame]:

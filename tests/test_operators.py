@@ -220,7 +220,10 @@ def test_files(spark, tmp_path):
         files.read_stage(spark, str(tmp_path / "none"))
     (tmp_path / "y23.csv").write_text("E;B23BTOT\n1;5\n9;7\n")
     (tmp_path / "y24.csv").write_text("E,B24BTOT,B24X\n2,6,1\n")
-    yearly = files.read_yearly(spark, {2023: str(tmp_path / "y23.csv"), 2024: str(tmp_path / "y24.csv")}, F.col("E") < 5)
+    kinds = T.StructType([T.StructField("E", T.IntegerType()), T.StructField("BBTOT", T.LongType()), T.StructField("BX", T.DoubleType())])
+    (tmp_path / "y23.csv").rename(tmp_path / "grid_2023.csv")
+    (tmp_path / "y24.csv").rename(tmp_path / "grid_2024.csv")
+    yearly = files.read_yearly(spark, [str(tmp_path / f"grid_{y}.csv") for y in (2023, 2024)], kinds, {"E": (0, 5)})
     assert sorted(values(yearly, "year", "E", "BBTOT")) == [(2023, 1, 5), (2024, 2, 6)]
     with pytest.raises(ValueError, match="schemas differ"):
         files.union_checked([spark.range(1), spark.range(1).withColumn("x", F.lit(1))])
