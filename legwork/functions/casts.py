@@ -14,15 +14,15 @@ def blank_to_null(c: Column) -> Column:
 
 def violations(df: DataFrame, casts: dict[str, str], examples: int = 5) -> DataFrame:
     """column, violations, examples: values that are there but don't cast (for integers also those with a fraction)."""
-    parts = []
+    cells = []
     for name, kind in casts.items():
         value = blank_to_null(F.col(name))
         bad = value.isNotNull() & cast_or_null(F.col(name), kind).isNull()
-        parts.append(df.agg(F.lit(name).alias("column"), F.count_if(bad).alias("violations"), F.slice(F.array_sort(F.collect_set(F.when(bad, F.substring(value, 1, 80)))), 1, examples).alias("examples")) if examples else df.agg(F.lit(name).alias("column"), F.count_if(bad).alias("violations")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        cells.append(F.struct(F.lit(name).alias("column"), F.when(bad, F.substring(value, 1, 80)).alias("_bad")))
+    # one scan for all columns; examples are the least of each of a few groups by hash, so that no set of all bad values is built
+    long = df.select(F.inline(F.array(*cells))).groupBy("column", F.pmod(F.xxhash64("_bad"), F.lit(8 * max(1, examples))).alias("_part")).agg(F.count("_bad").alias("_n"), F.min("_bad").alias("_least"))
+    out = long.groupBy("column").agg(F.sum("_n").alias("violations"), F.slice(F.array_sort(F.collect_set("_least")), 1, max(1, examples)).alias("examples"))
+    return out if examples else out.drop("examples")
 
 
 def cast_or_null(c: Column, kind: str) -> Column:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process's tables by context, deleted when it ends.
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset (one machine, tests) a new temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, on one machine alone, a new temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -21,8 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut, and its size is known to the planner.
 
-    (Sizes of checkpointed frames are estimates that multiply with every join of an iteration.)
+    (Sizes of checkpointed frames are estimates that multiply with every join of an iteration.) The table is deleted when
+    the process ends; until then results that are read later may need it.
     """
-    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    _written.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def delete_stored() -> None:
+    """Deletes the tables that this process has stored; frames that read them can't be used any more."""
+    while _written:
+        spark, folder = _written.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(delete_stored)

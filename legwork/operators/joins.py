@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 SMALL = 50_000
 
 
+#: Bytes up to which a side is broadcast: rows times the columns' usual sizes.
+SMALL_BYTES = 64 << 20
+
+
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (Spark then shuffles)."""
+    """``df`` marked for broadcast if it has at most ``rows`` rows and about SMALL_BYTES, else as it is (Spark then shuffles)."""
+    width = sum(20 + (60 if k == "string" or "<" in k else 0) for _, k in df.dtypes)
+    rows = min(rows, SMALL_BYTES // max(1, width))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, haversine
+from ..functions.geo import band, cell, haversine, near_cells
 from .joins import small
 
 
@@ -37,12 +37,12 @@ def within_radius(points: DataFrame, stations: DataFrame, radius: float, lon: st
     """Pairs of a point and a station (id, s_lon, s_lat) at most ``radius`` metres apart, with metres; ``on`` columns are equal
     (a year: stations then are those active in it).
 
-    Both are cut into grid cells, stations go to the nine cells around: an equi join however large both sides grow.
+    Both are cut into grid cells by bands of latitude, stations go to the cells around, also near the poles and over the
+    date line: an equi join however large both sides grow.
     """
     x, y = cell(F.col(lon), F.col(lat), radius)
-    sx, sy = cell(F.col("s_lon"), F.col("s_lat"), radius)
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = stations.withColumns({"_sx": sx, "_sy": sy, "_s": F.explode(steps)}).withColumns({"_x": F.col("_sx") + F.col("_s.i"), "_y": F.col("_sy") + F.col("_s.j")}).drop("_sx", "_sy", "_s")
+    near = stations.withColumn("_y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(F.col("s_lat"), radius) + i)))
+    near = near.withColumn("_x", F.explode(near_cells(F.col("s_lon"), F.col("_y"), radius)))
     pairs = points.withColumns({"_x": x, "_y": y}).join(small(near), [*(on or []), "_x", "_y"]).drop("_x", "_y")
     return pairs.withColumn("metres", haversine(F.col(lon), F.col(lat), F.col("s_lon"), F.col("s_lat"))).where(F.col("metres") <= radius)
 

@@ -243,3 +243,21 @@ def test_similarity_profiles(spark):
     assert same
     shares = {r["column"]: r for r in aggregates.constant_shares(df, ["a"], ["b", "g"]).collect()}
     assert shares["b"]["constant"] == 1 and shares["b"]["constant_known"] == 1
+
+
+def test_places_near_the_poles_and_the_date_line(spark):
+    import math
+
+    rng = [(i * 7919 % 1000) / 1000 for i in range(400)]
+    spots = [(179.999 + 0.002 * a if i % 4 == 0 else 10 + 0.02 * a, (89.99 if i % 4 == 1 else 78.0 if i % 4 == 2 else -3.0) + 0.005 * b) for i, (a, b) in enumerate(zip(rng, rng[::-1], strict=True))]
+    spots = [(x - 360 if x > 180 else x, y) for x, y in spots]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots[:200])], "k int, lon double, lat double")
+    stations = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots[200:])], "id int, s_lon double, s_lat double")
+
+    def metres(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = {(i, j) for i, a in enumerate(spots[:200]) for j, b in enumerate(spots[200:]) if metres(a, b) <= 150}
+    got = [(r["k"], r["id"]) for r in topology.within_radius(points, stations, 150.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
