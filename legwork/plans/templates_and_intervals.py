@@ -217,3 +217,34 @@ def q_model_added_family(t):
     years = {"validation": rows.where("year = 1998"), "confirmation": rows.where("year = 1999")}
     return rounded(models.added_family(train, years, base, ["l_tax", "pri"], TARGET, 63.0, ["l_orderkey"], models.gbt(TARGET, **SMALL)))
 
+
+
+MODEL = """
+m as (select l_orderkey, l_suppkey % 2 = 0 as low, year(o_orderdate)::int as year, month(o_orderdate)::int as month, o_custkey, l_quantity, case when l_linenumber % 5 <> 0 then l_tax end as l_tax, l_extendedprice / 1000 as y from lineitem join orders on l_orderkey = o_orderkey),
+tr as (select * from m where year in (1995, 1996, 1997) and o_custkey not in (1, 2))
+"""
+
+
+@query(f"""
+with {MODEL} select 'train' as part, (case when low then 'low' else 'high' end) as segment, year, count(*) as n, count(l_tax) as taxed, round(avg((y > 63)::int), 6) as prevalence, count(*) filter (y > 63) * 4 + count(*) as weight from tr group by all
+union all select 'test', (case when low then 'low' else 'high' end), year, count(*), count(l_tax), round(avg((y > 63)::int), 6), count(*) filter (y > 63) * 4 + count(*) from m where year = 1998 group by all
+""")
+def q_model_split(t):
+    """What the models learn from and are tested on: rows, missing values, prevalence and weights by segment and year."""
+    train, test = halves(t)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.withColumn("w", models.above_weight(TARGET, 63.0, 5.0)).groupBy("part", "segment", "year").agg(
+        n(), F.count("l_tax").alias("taxed"), F.round(F.avg((F.col(TARGET) > 63).cast("double")), 6).alias("prevalence"), F.sum("w").cast("bigint").alias("weight")
+    )
+
+
+@query(f"""
+with {MODEL}, f as (select low, regr_slope(y, l_quantity) as b, regr_intercept(y, l_quantity) as a from tr group by low), p as (select low, y, a + b * l_quantity as p from m join f using (low) where year = 1998)
+select case when low then 'low' else 'high' end as segment, count(*) as n, round(1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) as r2, round(avg(abs(p - y)), 5) as mae from p group by low
+""")
+def q_model_linear(t):
+    """An unpenalised linear model of one feature for each segment, routed at scoring: least squares have a closed form."""
+    train, test = halves(t)
+    fitted = {s: models.ridge(train.where(F.col("segment") == s), ["l_quantity"], TARGET, 0.0) for s in ("low", "high")}
+    scored = models.score_segments(fitted, test, "segment", ["l_quantity"])
+    return scored.groupBy("segment").agg(*agg.regression(F.col(TARGET), F.col("pred"), 63.0)).select("segment", "n", F.round("r2", 6).alias("r2"), F.round("mae", 5).alias("mae"))
