@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, fingerprint, langid, neardup, packing, pii, repeats, sharding, toxicity
+from . import clustering, decontaminate, extract, fingerprint, langid, merkle, neardup, packing, pii, repeats, sharding, toxicity
 from .common import table
+from .oracles import clustering_sql, merkle_sql
 
 
 def tokenizer_path() -> str:
@@ -61,13 +62,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024.0, seed=3)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op3_near_duplicates, op4_toxicity, op5_language, op6_repeats, op7_pseudonyms, op8_decontaminate, op9_sharding, op10_fingerprint, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op3_near_duplicates, op4_toxicity, op5_language, op6_repeats, op7_pseudonyms, op8_decontaminate, op9_sharding, op10_fingerprint, op11_clustering, op12_merkle, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op6_repeats": r"""
@@ -89,4 +98,6 @@ hit as (select doc_id, count(distinct j) as k from h, unnest(generate_series(i,
 its as (select doc_id, count(distinct id) as m, sha256(string_agg(distinct id, ',' order by id)) as s from h group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(k, 0) as n_hit, coalesce(m, 0) as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(k, 0) > 0 as contaminated from d left join hit using (doc_id) left join its using (doc_id)
 """,
+    "op11_clustering": clustering_sql(),
+    "op12_merkle": merkle_sql(),
 }
