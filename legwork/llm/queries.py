@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clustering, decontaminate, extract, fingerprint, langid, merkle, neardup, packing, pii, repeats, sharding, toxicity
+from . import clustering, decontaminate, extract, fingerprint, langid, merkle, neardup, neighbours, packing, pii, repeats, sharding, toxicity
 from .common import table
 from .oracles import clustering_sql, merkle_sql
 
@@ -70,13 +70,17 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op3_near_duplicates, op4_toxicity, op5_language, op6_repeats, op7_pseudonyms, op8_decontaminate, op9_sharding, op10_fingerprint, op11_clustering, op12_merkle, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_packing, op3_near_duplicates, op4_toxicity, op5_language, op6_repeats, op7_pseudonyms, op8_decontaminate, op9_sharding, op10_fingerprint, op11_clustering, op12_merkle, op13_neighbours, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op6_repeats": r"""
