@@ -10,7 +10,8 @@ Index, over all rows:
 3. A round of NN-descent joins every node's neighbours and reverse neighbours with the node table, and meets them at the
    node: neighbours of neighbours are compared if one of both is new, and better pairs go into the lists of both ends. A
    node that many others list is met in several parts of at most ``PART`` reverse neighbours each, every part with all
-   of its own neighbours. Rounds end when less than ``settled`` of all list entries are new.
+   of its own neighbours. Rounds end when less than ``settled`` of all list entries are new. The graph links every node
+   to those of its list and to the nearest of those whose lists it is in.
 
 Search: each query starts at its own node and keeps the ``beam`` best nodes found. A round opens the best unopened ones,
 joins their lists, and scores what they name; a query is done when its beam is open throughout. The nodes of the beam are
@@ -75,7 +76,7 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Nodes (node, code, scale), their vectors (node, v, sq, ids) and the graph (a, b, s) of a table of vectors."""
+    """Nodes (node, code, scale), their vectors (node, v, sq, ids) and the graph (a, b) of a table of vectors."""
 
     def __init__(self, nodes: DataFrame, vectors: DataFrame, rows: DataFrame, graph: DataFrame, rounds: int):
         self.nodes, self.vectors, self.rows, self.graph, self.rounds = nodes, vectors, rows, graph, rounds
@@ -234,7 +235,8 @@ def build(embeddings: DataFrame, k: int = 20, degree: int = 48, tables: int = 12
             break
         edges = written(spark, _round(nodes, edges, degree, turn))
         turn += 1
-    return Index(nodes, vectors, rows, edges, turn)
+    back = best(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "new"), "a", "b", degree)  # a search also walks from a node to those that list it
+    return Index(nodes, vectors, rows, written(spark, edges.unionByName(back).select("a", "b").distinct()), turn)
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
