@@ -14,13 +14,14 @@ lists, tables, quotations and short blocks that no wrapper (a generic container
 without any content node) parts from the article. Blocks that are mostly links stay
 between content nodes only.
 
-Markup rules out what is no article text by its name: menus, footers, sidebars,
-forms, scripts, styles and hidden elements by tag, role or attribute; page headers
-but for an article's own title; and elements with a class or id that names
-advertising, notices, comments and the like as a whole (``related-posts``, not
+Markup rules out what is no article text by its name: menus (an open one ends where an
+article begins), footers, sidebars, scripts, styles and hidden elements by tag, role
+or attribute; page headers but for an article's own title; and forms and elements with
+a class or id that names advertising, notices, comments and the like as a whole (``related-posts``, not
 ``related-work`` or ``has-sidebar``), unless such an element holds three
 blocks and more text than all that is not ruled out (for reader comments: unless
-there is no other text).
+there is no other text). Inside such a wrapper the same holds for further ones, so a
+form around the whole page hides nothing but what it would hide without the form.
 
 Every page is worked off where it is read, nothing is shuffled; a task holds one
 Arrow slice and one page's blocks, and works in time linear in the page.
@@ -46,7 +47,7 @@ from .common import slices
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
-NOT_TEXT = frozenset("nav footer aside form button select option optgroup datalist fieldset dialog menu template object svg math canvas audio video map head".split())
+NOT_TEXT = frozenset("nav footer aside button select option optgroup datalist fieldset dialog menu template object svg math canvas audio video map head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WRAPPERS = frozenset("div section article main center details header hgroup".split())
@@ -85,12 +86,12 @@ def named(value: str) -> int:
 
 
 def apart(tag: str, attributes: str) -> int:
-    """2 if an element is no article text by its tag, role or state, 1 or 3 (comments) if its class or id says so, else 0."""
+    """2 if an element is no article text by its tag, role or state, 1 or 3 (comments) if its class or id says so or it is a form, else 0."""
     if tag in NOT_TEXT:
         return 2
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return 0
-    found = 0
+        return 1 if tag == "form" else 0
+    found = 1 if tag == "form" else 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
@@ -105,7 +106,7 @@ def apart(tag: str, attributes: str) -> int:
 
 
 class Element:
-    """An open element: tag, number, path, whether it is ruled out for good, the outermost element named as no text, and where it stands."""
+    """An open element: tag, number, path, whether it is ruled out for good, the innermost element named as no text, and where it stands."""
 
     __slots__ = ("anchor", "header", "hidden", "main", "name", "number", "path", "tag")
 
@@ -114,7 +115,7 @@ class Element:
 
 
 class Block:
-    """A block's text, path, link characters, innermost block element, and the element (or 0) that is named as no text."""
+    """A block's text, path, link characters, innermost block element, and the innermost element (or 0) that is named as no text."""
 
     __slots__ = ("element", "link", "name", "path", "text")
 
@@ -123,12 +124,13 @@ class Block:
 
 
 class Page:
-    """Blocks of a page in order; for each element its parent (a smaller number) and tag; the elements of comments."""
+    """Blocks of a page in order; for each element its parent (a smaller number) and tag; the elements of comments; for each element named as no text the one around it (or 0)."""
 
     def __init__(self, page: str):
         self.blocks: list[Block] = []
         self.parent, self.tags = [0], [""]
         self.comments: set[int] = set()
+        self.within: dict[int, int] = {}
         self._paths: dict[tuple[int, str], int] = {}
         self._stack = [Element("", 0, 0, False, 0, False, False, False)]
         self._open: dict[str, int] = {}
@@ -174,6 +176,8 @@ class Page:
 
     def _begin(self, tag: str, attributes: str) -> None:
         stack = self._stack
+        if tag in ("article", "main") and self._open.get("nav"):  # a menu that was left open
+            self._end("nav")
         if tag not in INLINE:
             self._flush()
             left = {t for t in ENDED_BY.get(tag, ("p",)) if self._open.get(t)}
@@ -195,8 +199,10 @@ class Page:
         if why == 3:
             self.comments.add(len(self.tags) - 1)
         number = len(self.tags) - 1
+        if why in (1, 3):
+            self.within[number] = top.name
         path = top.path if tag in INLINE else self._paths.setdefault((top.path, tag), len(self._paths) + 1)
-        stack.append(Element(tag, number, path, hidden, top.name or (number if why in (1, 3) else 0), header, main, top.anchor or tag == "a"))
+        stack.append(Element(tag, number, path, hidden, number if why in (1, 3) else top.name, header, main, top.anchor or tag == "a"))
         self._open[tag] = self._open.get(tag, 0) + 1
 
     def _read(self, page: str) -> None:
@@ -262,16 +268,36 @@ def content_paths(found: list[Block], spread: float, scores=fused_ratios) -> set
     return {p for p, (x, n) in sums.items() if x >= bar * n}
 
 
-def content(page: Page, spread: float = 0.6, share: float = 0.8, scores=fused_ratios) -> list[Block]:
-    """The blocks of the main text: see the module's text."""
-    plain = sum(len(b.text) for b in page.blocks if not b.name)
-    size: dict[int, list[int]] = {}
+def wrappers(page: Page) -> set[int]:
+    """Elements named as no text that hold three blocks and more text than all that is not ruled out (or all text there is), in such elements only."""
+    own: dict[int, list[int]] = {e: [0, 0] for e in page.within}
+    plain = 0
     for b in page.blocks:
         if b.name:
-            s = size.setdefault(b.name, [0, 0])
-            s[0] += len(b.text)
-            s[1] += 1
-    whole = {e for e, (n, k) in size.items() if n > plain and (not plain or k > 2 and e not in page.comments)}  # a wrapper of the page's text
+            own[b.name][0] += len(b.text)
+            own[b.name][1] += 1
+        else:
+            plain += len(b.text)
+    inner = {e: list(x) for e, x in own.items()}
+    for e in sorted(page.within, reverse=True):
+        if up := page.within[e]:
+            inner[up][0] += inner[e][0]
+            inner[up][1] += inner[e][1]
+    whole: set[int] = set()
+    for e in sorted(page.within):  # outer ones first
+        up = page.within[e]
+        if up and up not in whole:
+            continue
+        rest = own[up][0] if up else plain
+        n, k = inner[e]
+        if n > rest and (not rest or k > 2 and e not in page.comments):
+            whole.add(e)
+    return whole
+
+
+def content(page: Page, spread: float = 0.6, share: float = 0.8, scores=fused_ratios) -> list[Block]:
+    """The blocks of the main text: see the module's text."""
+    whole = wrappers(page)
     found = [b for b in page.blocks if not b.name or b.name in whole]
     if not found:
         return []
