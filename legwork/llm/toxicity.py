@@ -1,12 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples: for each label the ``examples`` labelled rows that come first by a hash
-of their ids; a documented bound on the classifier's sample, taken alike at every
-size. Terms are all words of the examples and all beginnings of STEM letters of
-longer words; document frequencies are counted over all documents. A term's weight
-is its TF-IDF times BASE plus how far it is bound to label 1 in the distinct example
-texts (signed root of the log-likelihood ratio, beyond CHANCE): no term is left out,
-those that speak for a label decide which texts are near.
+of their ids, while their texts before them have less than ``size`` bytes; documented
+bounds on the classifier's sample, taken alike at every size. Terms are all words of
+the examples and all beginnings of STEM letters of longer words, weighed by TF-IDF
+alone; document frequencies are counted over all documents.
 
 Index: the examples in blocks of ``block`` neighbours (ordered by label and main
 term); for each term the blocks that hold it with their largest weight, the block
@@ -15,8 +13,12 @@ blocks are scored exactly in descending bound until no bound reaches the k-th be
 score, so the k nearest are exact. The index has a size set by the examples and goes
 to the executors once; texts are scored where they are read, whole.
 
-Votes weigh an example by its closeness and by how much rarer its label is in the
-sample than among all labelled rows. A monotone fit of label against vote, made
+Votes weigh an example by its closeness, by how much rarer its label is in the sample
+than among all labelled rows, and by what makes it close: CLOSE of its cosine counts as
+it is, the rest for each shared term by how far the term is bound to label 1 in the
+distinct example texts (root of the log-likelihood ratio, beyond CHANCE). So the
+neighbours are those of the cosine, and among them the ones that share telling words
+have the larger say. A monotone fit of label against vote, made
 on the examples with themselves left out, turns a vote into the score; texts
 without a term in common give the rate of such examples. ``evidence`` names the
 examples that speak for a score above the general rate.
@@ -39,15 +41,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, hashed_sample, slices, text_crc
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
-#: Weight of a term that speaks for no label, and root of the log-likelihood ratio that chance explains.
-BASE, CHANCE = 0.2, 2.0
+#: Share of a term that speaks for no label in a vote, and root of the log-likelihood ratio that chance explains.
+CLOSE, CHANCE = 0.1, 2.0
 
 
 def terms_of(text: str | None) -> dict[str, int]:
@@ -107,8 +109,9 @@ def association(in1: np.ndarray, in0: np.ndarray, n1: int, n0: int) -> np.ndarra
 class Index:
     """Block-max inverted index of the examples, and the fit from votes to scores."""
 
-    def __init__(self, vectors: list, labels: list[int], ids: list, term_weight: np.ndarray, factor: np.ndarray, k: int, block: int):
+    def __init__(self, vectors: list, labels: list[int], ids: list, term_weight: np.ndarray, telling: np.ndarray, factor: np.ndarray, k: int, block: int):
         self.term_weight, self.k, self.block = term_weight, k, block
+        self.telling = telling.astype(np.float32)
         vectors = [arrays(v) for v in vectors]
         main = [int(at[np.lexsort((at, -n * term_weight[at]))[0]]) if len(at) else -1 for at, n in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (labels[i], main[i], i))
@@ -163,7 +166,7 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 4
+        done, step = 0, 16
         while done < len(order):
             kth = np.partition(scores, -self.k)[-self.k] if len(scores) >= self.k else 0.0
             go = order[done : done + step]
@@ -184,15 +187,25 @@ class Index:
         best = np.lexsort((rows, -scores))[: self.k]
         return rows[best], scores[best]
 
+    def told(self, counts) -> np.ndarray:
+        """For every example the parts of its cosine, each times how far the shared term is bound to label 1."""
+        at, w = self.vector(counts)
+        some = self.telling[at] > 0
+        at, w = at[some], w[some] * self.telling[at[some]]
+        low, high = self.begin[self.entries[at]], self.begin[self.entries[at + 1]]
+        posting = ranges(low, high)
+        return np.bincount(self.place[posting], weights=np.repeat(w, high - low) * self.posting[posting], minlength=len(self.labels))
+
     def vote(self, counts, without: int = -1):
-        """Share of label 1 among the nearest, by closeness; None without any."""
+        """Share of label 1 among the nearest, by closeness and by what makes them close; None without any."""
         counts = arrays(counts)
         if not len(counts[0]):
             return None, ()
         rows, scores = self.nearest(counts, without)
         if not len(rows):
             return None, ()
-        w = self.weight[rows] / (1.02 - np.minimum(scores, 1))
+        scores = np.minimum(scores, 1)
+        w = self.weight[rows] * (CLOSE * scores + self.told(counts)[rows]) / (1.02 - scores)
         return float((w * self.labels[rows]).sum() / w.sum()), rows
 
     def score(self, counts) -> tuple[float, list]:
@@ -235,7 +248,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
     return int(out[size]), out[:size]
 
 
-def train(docs: DataFrame, labelled: DataFrame, examples: int = 1000, k: int = 32, block: int = 32) -> tuple[Vocabulary, Index] | None:
+def train(docs: DataFrame, labelled: DataFrame, examples: int = 1000, k: int = 32, block: int = 64, size: int = 32 << 20) -> tuple[Vocabulary, Index] | None:
     """The index over ``labelled`` (doc_id, label 0/1), rows of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
     labelled = labelled.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast(kind).alias("doc_id")).agg(F.max("label").alias("label"))
@@ -251,7 +264,10 @@ def train(docs: DataFrame, labelled: DataFrame, examples: int = 1000, k: int = 3
             lists = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "tie")), *lists], ["doc_id", "label", "tie", "term", "n"])
 
-    sample = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).join(F.broadcast(chosen), "doc_id")
+    sample = durable(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).join(F.broadcast(chosen), "doc_id"))
+    earlier = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)  # lengths of the examples alone
+    within = sample.select("doc_id", "label", "tie", F.octet_length("text").alias("bytes")).withColumn("before", F.sum("bytes").over(earlier)).where(F.coalesce("before", F.lit(0)) < size)
+    sample = sample.join(F.broadcast(within.select("doc_id", "tie").distinct()), ["doc_id", "tie"])
     table = sample.mapInArrow(run, f"doc_id {kind}, label int, tie long, term array<string>, n array<int>").toArrow()  # the examples' terms: packed, as their texts may be long
     # one row for each example, the same whatever the order of the rows
     ids, ties = table.column("doc_id").to_pylist(), table.column("tie").to_pylist()
@@ -278,9 +294,10 @@ def train(docs: DataFrame, labelled: DataFrame, examples: int = 1000, k: int = 3
             seen[label, at] += 1
     vocabulary = Vocabulary(number)
     total, df = frequencies(docs, vocabulary)
-    weight = (np.log((1 + total) / (1 + df)) + 1) * (BASE + np.maximum(association(seen[1], seen[0], counts[1], counts[0]) - CHANCE, 0))
+    weight = np.log((1 + total) / (1 + df)) + 1
+    telling = np.maximum(association(seen[1], seen[0], counts[1], counts[0]) - CHANCE, 0)
     factor = np.array([totals.get(x, 0) / max(1, labels.count(x)) for x in (0, 1)])
-    return vocabulary, Index(vectors, labels, ids, weight, factor, k, block)
+    return vocabulary, Index(vectors, labels, ids, weight, telling, factor, k, block)
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, Index] | None, columns: list[str], rejects: float | None = None, threshold: float = 0.7) -> DataFrame:

@@ -52,7 +52,12 @@ P = "<p>A long paragraph of the article, with some commas, and a full stop. It g
 T = "A long paragraph of the article, with some commas, and a full stop. It goes on for a while."
 MENU = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
 #: Pages marked by hand. The plain ones say nothing by class or tag: the ratios alone decide.
+WRAPPED = f"<div class=menu>{MENU}</div><h1>Title</h1>{P}{P}{P}<div class=ad>buy this now</div><form class=search>Search <input></form>"
 PAGES = [
+    (f"<body><form id=aspnet action=x>{WRAPPED}</form></body>", f"Title\n{T}\n{T}\n{T}"),
+    (f"<body>{WRAPPED}</body>", f"Title\n{T}\n{T}\n{T}"),
+    (f"<body><nav>{MENU}<article><h1>Title</h1>{P}{P}</article></body>", f"Title\n{T}\n{T}"),
+    (f"<body><form><input name=q> find it</form>{P}{P}</body>", f"{T}\n{T}"),
     (None, ""),
     ("", ""),
     ("<nav>a b</nav>", ""),
@@ -352,7 +357,7 @@ def test_nearest_examples_are_exact():
     vectors = [{int(t): int(rng.randint(1, 4)) for t in rng.choice(40, rng.randint(0, 8), replace=False)} for _ in range(200)]
     labels = [int(x) for x in rng.randint(0, 2, 200)]
     idf = rng.rand(40) + 1
-    index = toxicity.Index(vectors, labels, list(range(200)), idf, np.ones(2), 7, 16)
+    index = toxicity.Index(vectors, labels, list(range(200)), idf, np.zeros(40), np.ones(2), 7, 16)
 
     def cosine(a, b):
         va = {t: (1 + np.log(n)) * idf[t] for t, n in a.items()}
@@ -386,13 +391,14 @@ def test_toxicity_by_brute_force(spark, rows):
     distinct = {x: {rows[i]: every[i] for i in labels if labels[i] == x} for x in (0, 1)}
     distinct = {x: list({frozenset(c.items()): c for c in texts.values()}.values()) for x, texts in distinct.items()}
     n1, n0 = len(distinct[1]), len(distinct[0])
-    weight = {}
+    weight, telling = {}, {}
     for t in known:
         a, b = (sum(t in c for c in distinct[x]) for x in (1, 0))
         cells = [(a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n1 + n0 - a - b), (n0 - b, n0, n1 + n0 - a - b)]
         g = 2 * sum(o * np.log(o * (n1 + n0) / (row * col)) for o, row, col in cells if o)
         sign = np.sign(a * n0 - b * n1)
-        weight[t] = (np.log((1 + len(rows)) / (1 + df[t])) + 1) * (0.2 + max(0, sign * np.sqrt(max(g, 0)) - 2))
+        weight[t] = np.log((1 + len(rows)) / (1 + df[t])) + 1
+        telling[t] = max(0, sign * np.sqrt(max(g, 0)) - 2)
 
     def vector(i):
         v = {t: (1 + np.log(n)) * weight[t] for t, n in every[i].items() if t in known}
@@ -407,7 +413,7 @@ def test_toxicity_by_brute_force(spark, rows):
         if not near:
             return None
         near = [(s, j) for s, j in near if s >= near[min(32, len(near)) - 1][0]][:32]
-        w = [1 / (1.02 - s) for s, _ in near]
+        w = [(0.1 * s + sum(x * vectors[j].get(t, 0) * telling[t] for t, x in vectors[i].items())) / (1.02 - s) for s, j in near]
         return sum(x * labels[j] for x, (_, j) in zip(w, near, strict=True)) / sum(w)
 
     own = sorted((v, labels[i]) for i in labels if (v := vote(i, skip=i)) is not None)
@@ -424,6 +430,16 @@ def test_toxicity_by_brute_force(spark, rows):
     assert len(off) <= 2  # near ties between neighbours
 
 
+def test_toxic_examples_are_bounded_in_bytes(spark):
+    """Very long examples: those that come first by the hash stay, one beyond the bound at most."""
+    docs = spark.createDataFrame([(i, f"good word{i} " * 500 if i % 2 else f"bad term{i} " * 500) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, label int")
+    vocabulary, index = toxicity.train(docs, labels, size=20_000)
+    assert 2 <= len(index.ids) <= 10
+    assert set(index.labels) == {0.0, 1.0}
+    assert len(toxicity.train(docs, labels)[1].ids) == 40
+
+
 def test_toxicity_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(odd(spark, ODD), none).collect()
