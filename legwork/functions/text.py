@@ -10,6 +10,11 @@ ACCENTED = "àáâäãåçèéêëìíîïñòóôöõùúûüýÿÀÁÂÄÃÅÇ
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
+def plain(c: Column) -> Column:
+    """Lower case, with letters that carry accents (of any kind) folded to the letters that they carry them on."""
+    return F.lower(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}", ""))
+
+
 def folded(c: Column) -> Column:
     """Lower case without accents, brackets and outer blanks."""
     return F.trim(F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), r"\([^)]*\)", ""))

@@ -95,14 +95,6 @@ def matrix(rows: DataFrame, row: str, column: str, values: list, agg: Column) ->
     return rows.groupBy(row).pivot(column, values).agg(agg)
 
 
-def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """one, two, r, n for each pair of columns over rows where both are there: a single pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    sums = rows.agg(*(F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)), *(F.count_if(both(a, b)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)), *(F.count_if(F.col(a).eqNullSafe(F.col(b))).alias(f"e{i}") for i, (a, b) in enumerate(pairs)))
-    return sums.select(F.inline(F.array(*(F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"), F.col(f"e{i}").alias("same")) for i, (a, b) in enumerate(pairs)))))
-
-
 def midranks(rows: DataFrame, keys: list[str], value: str) -> Column:
     """Average ranks within keys."""
     w = Window.partitionBy(*keys).orderBy(value)
@@ -146,24 +138,6 @@ def agreement(a: Column, b: Column) -> list[Column]:
     return [n11.alias("n11"), n10.alias("n10"), n01.alias("n01"), n00.alias("n00"), ((n10 + n01) / n).alias("discordance"), F.try_divide(po - pe, 1 - pe).alias("kappa"), F.try_divide(n11.cast("double"), n11 + n10 + n01).alias("jaccard")]
 
 
-def codebook(df: DataFrame) -> DataFrame:
-    """column, kind, rows, nulls, distinct, low, high for every column: one pass and a turn to long form."""
-    cells = []
-    for f in df.schema:
-        c = F.col(f.name)
-        cells.append((f.name, f.dataType.simpleString(), F.count_if(c.isNull()), F.count_distinct(c), F.min(c).cast("string"), F.max(c).cast("string")))
-    wide = df.agg(F.count(one).alias("rows"), *(v.alias(f"{n}_{i}") for i, c in enumerate(cells) for n, v in zip(("nulls", "distinct", "low", "high"), c[2:], strict=True)))
-    long = F.array(*(F.struct(F.lit(c[0]).alias("column"), F.lit(c[1]).alias("kind"), F.col("rows"), *(F.col(f"{n}_{i}").alias(n) for n in ("nulls", "distinct", "low", "high"))) for i, c in enumerate(cells)))
-    return wide.select(F.inline(long))
-
-
-def constant_shares(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """column, groups, constant (null is a value), constant_known (nulls ignored)."""
-    seen = df.groupBy(*keys).agg(*(F.count_distinct(c).alias(f"d_{c}") for c in columns), *(F.max(F.col(c).isNull().cast("int")).alias(f"z_{c}") for c in columns))
-    sums = seen.agg(F.count(one).alias("groups"), *(F.count_if(F.col(f"d_{c}") + F.col(f"z_{c}") <= 1).alias(f"a_{c}") for c in columns), *(F.count_if(F.col(f"d_{c}") <= 1).alias(f"b_{c}") for c in columns))
-    return sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col("groups"), F.col(f"a_{c}").alias("constant"), F.col(f"b_{c}").alias("constant_known")) for c in columns))))
-
-
 def fingerprint(df: DataFrame) -> DataFrame:
     """rows, digest, schema: a content check that doesn't depend on order."""
     return df.agg(F.count(one).alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest")).withColumn("schema", F.lit(df.schema.simpleString()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast, after they were counted.
@@ -159,3 +159,39 @@ def completed(vintages: DataFrame, wanted: DataFrame, keys: list[str], year: str
     first = vintages.groupBy(*keys).agg(F.min_by(F.struct(*vintages.columns), year).alias("_f")).select("_f.*").drop(year)
     extra = missing_rows(vintages, wanted, [*keys, year]).join(first, keys)
     return vintages.withColumn("synthetic", F.lit(False)).unionByName(extra.withColumn("synthetic", F.lit(True)))
+
+
+class Guard:
+    """What a guarded lookup saw while its rows were computed: rows in and out, the most rows of a dimension key, unmatched rows."""
+
+    def __init__(self):
+        self._facts, self._dim, self._out = (Observation() for _ in range(3))
+
+    def seen(self) -> dict[str, int]:
+        """The counts; waits for the action that computes the rows."""
+        return {k: v or 0 for o in (self._facts, self._dim, self._out) for k, v in o.get.items()}
+
+    def check(self, unmatched: float = 1.0) -> dict[str, int]:
+        """The counts, or an error if a key was not unique, rows were lost or doubled, or a larger share than ``unmatched`` met nothing."""
+        seen = self.seen()
+        if seen["most"] > 1:
+            raise ValueError(f"a key of the dimension has {seen['most']} rows")
+        if seen["rows_out"] != seen["rows_in"]:
+            raise ValueError(f"{seen['rows_in']} rows became {seen['rows_out']}")
+        if seen["unmatched"] > unmatched * seen["rows_out"]:
+            raise ValueError(f"{seen['unmatched']} of {seen['rows_out']} rows met no row of the dimension")
+        return seen
+
+
+def guarded_lookup(facts: DataFrame, dim: DataFrame, on: list[str]) -> tuple[DataFrame, Guard]:
+    """(facts with the columns of ``dim``, guard): a left lookup whose guards are counted in the job that computes it.
+
+    The dimension is grouped by key, which keeps one row and tells how many there were, so a doubled key never doubles
+    facts; ``guard.check()`` after the action raises what an extra job for each lookup would have found before.
+    """
+    guard = Guard()
+    others = [c for c in dim.columns if c not in on]
+    once = dim.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*others)).alias("_d") if others else F.lit(True).alias("_d")).observe(guard._dim, F.max("_n").alias("most"))
+    out = facts.observe(guard._facts, F.count(F.lit(1)).alias("rows_in")).join(once, on, "left")
+    out = out.observe(guard._out, F.count(F.lit(1)).alias("rows_out"), F.count_if(F.col("_n").isNull()).alias("unmatched"))
+    return out.select(*facts.columns, *(F.col(f"_d.{c}").alias(c) for c in others)), guard

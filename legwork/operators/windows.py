@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 from .aggregates import running
+from .sweeps import components
 from .joins import asof, small
 
 
@@ -131,18 +132,13 @@ def islands(rows: DataFrame, keys: list[str], order: list, same: list[str]) -> D
 def merged(pairs: DataFrame, group: str, member: str) -> DataFrame:
     """group, label: groups that share members, directly or over others, get the least label.
 
-    Minimum labels run over members and groups until nothing changes; each round's labels are written to the shared folder.
-    Groups in a chain of length d need d rounds; chains within one day are short.
+    Every group is linked to the least group of each of its members; ``sweeps.components`` then contracts these links to
+    stars in rounds by the logarithm of the longest chain.
     """
-    pairs = pairs.select(group, member).distinct()
-    labels = pairs.select(group).distinct().withColumn("label", F.col(group))
-    while True:
-        through = pairs.join(labels, group).groupBy(member).agg(F.min("label").alias("low"))
-        fresh = pairs.join(through, member).groupBy(group).agg(F.min("low").alias("new")).join(labels, group).select(group, F.least("new", "label").alias("new"), "label")
-        fresh = stored(fresh)
-        if fresh.where("new <> label").limit(1).count() == 0:
-            return fresh.select(group, "label")
-        labels = fresh.select(group, F.col("new").alias("label"))
+    pairs = stored(pairs.select(group, member).where(F.col(group).isNotNull()).distinct())
+    least = pairs.where(F.col(member).isNotNull()).groupBy(member).agg(F.min(group).alias("_least"))
+    links = pairs.join(least, member, "left").select(F.col(group), F.coalesce("_least", group).alias("_least"))
+    return components(links, group, "_least")[0]
 
 
 def conservation(rows: DataFrame, trip: list[str], order: list, load: str, on: str, off: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import aggregates_and_decisions, calendar_and_joins, decision_tables, model_queries, registry, templates_and_intervals, windows_and_texts
+    from . import aggregates_and_decisions, calendar_and_joins, decision_tables, model_queries, registry, templates_and_intervals, wide_tables_and_services, windows_and_texts
 
     return registry
 

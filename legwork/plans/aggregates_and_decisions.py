@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casts
 from ..operators import aggregates as agg
-from ..operators import decision, inference, joins, quality, windows
+from ..operators import decision, inference, joins, quality, wide, windows
 from .calendar_and_joins import dated_orders
 from .registry import query
 
@@ -196,7 +196,7 @@ select one, two, round(r, 6) as r, n, same from p
 """)
 def q_corr(t):
     d = t.lineitem.select(F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), F.when(F.col("l_linenumber") > 2, F.col("l_discount")).alias("c"), F.col("l_quantity").alias("d"))
-    return agg.correlations(d, ["a", "b", "c", "d"]).withColumn("r", F.round("r", 6))
+    return wide.correlations(d, ["a", "b", "c", "d"], equal=True).drop("duplicate").withColumn("r", F.round("r", 6))
 
 
 @query("""
@@ -261,7 +261,7 @@ union all select 'pri', count(*), count(*) - count(pri), count(distinct pri), mi
 """)
 def q_codebook(t):
     o = t.orders.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus", F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderpriority")).alias("pri"), "o_custkey")
-    return agg.codebook(o).drop("kind")
+    return wide.codebook(o).drop("kind")
 
 
 @query("""
@@ -270,7 +270,7 @@ select 'l_linestatus' as "column", count(*) as groups, count(*) filter (a + an <
 """)
 def q_constant_cols(t):
     l = t.lineitem.withColumn("rf", F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")))  # noqa: E741
-    return agg.constant_shares(l, ["l_orderkey"], ["l_linestatus", "rf"])
+    return wide.constant_shares(l, ["l_orderkey"], ["l_linestatus", "rf"])
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import casts, daycal
-from ..operators import joins
+from ..operators import joins, sweeps
 from .registry import query
 
 YEARS = "(select 'H' || lpad(((y) % 100)::varchar, 2, '0') as code, y, make_date(y - 1, 12, 15) as s, make_date(y, 12, 14) as e from range(1995, 2004) t(y))"
@@ -196,11 +196,13 @@ j as (select a.event_id, count(*) as freq, count(distinct b.event_type) as kinds
 select event_id, freq, kinds, round(wait / 6e7, 4) as wait_min from j
 """)
 def q_band_frequency(t):
+    """Counts by prefix sums and the next event by a sweep: no pair of events is made."""
     e = t.events.select("event_id", "ts", F.to_date("ts").alias("day"), "event_type", (F.col("user_id") % 5).alias("line"))
-    other = e.select(F.col("ts").alias("other"), "day", "line", F.col("event_type").alias("kind"))
-    met = joins.band_join(e, other, ["day", "line"], "ts", "other", -1800, 1800)
-    wait = F.when(F.col("other") > F.col("ts"), F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("other")))
-    return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("freq"), F.count_distinct("kind").alias("kinds"), F.round(F.min(wait) / 6e7, 4).alias("wait_min"))
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    met = sweeps.band_counts(e, e, "event_id", ["day", "line"], "ts", "ts", -1800, 1800, "event_type", kinds)
+    wait = sweeps.next_later(e, ["day", "line"], "ts", "wait").select("event_id", F.when(F.col("wait") <= 1_800_000_000, F.round(F.col("wait") / 6e7, 4)).alias("wait_min"))
+    counts = [F.col(f"n_{i}") for i in range(len(kinds))]
+    return met.select("event_id", sum(counts[1:], counts[0]).alias("freq"), sum(((c > 0).cast("bigint") for c in counts[1:]), (counts[0] > 0).cast("bigint")).alias("kinds")).join(wait, "event_id")
 
 
 @query("""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,9 +52,25 @@ def union_checked(frames: list[DataFrame]) -> DataFrame:
 
 
 def land(df: DataFrame, path: str, keep: Column, by: str) -> DataFrame:
-    """Filtered rows landed as Parquet by a partition column, then read once."""
-    df.where(keep).repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Filtered rows landed as Parquet by a partition column: only values of ``by`` that are not there yet, which are
+    written without touching the others. A null is landed as Hive's default partition; land it with its own value to be safe."""
+    spark = df.sparkSession
+    have = partitions(spark, path, by)
+    fresh = df.where(keep)
+    if have:
+        fresh = fresh.where(F.coalesce(~F.col(by).cast("string").isin(have), F.lit(True)))
+    fresh.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession, path: str, by: str) -> list[str]:
+    """The values of a partition column that a folder holds, by their folders' names."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    names = (s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+    return sorted(unescape(n.split("=", 1)[1]) for n in names if n.startswith(f"{by}="))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -66,10 +83,33 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: A stage is a folder of versions; this file in it names the one that readers take.
+POINTER = "_current"
+
+
+def _plain(fs):
+    """A local file system without its checksum files, which a rename would not replace together with the file."""
+    return fs.getRaw() if fs.getScheme() == "file" else fs
+
+
+def _pointed(spark: SparkSession, stage: str) -> str | None:
+    """The folder of a stage's current version; None where the stage has no pointer."""
+    fs, p = _fs(spark, f"{stage}/{POINTER}")
+    fs = _plain(fs)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return f"{stage}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
 def read_stage(spark: SparkSession, parquet: str, csv: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """A stage's Parquet, else its CSV with an explicit schema, else an error that names both."""
-    if exists(spark, parquet):
-        return spark.read.parquet(parquet)
+    """A stage's current version (or a plain Parquet folder), else its CSV with an explicit schema, else an error that names both."""
+    version = _pointed(spark, parquet)
+    if version or exists(spark, parquet):
+        return spark.read.parquet(version or parquet)
     if csv and exists(spark, csv):
         if schema is None:
             raise ValueError("a CSV stage needs a schema")
@@ -77,25 +117,56 @@ def read_stage(spark: SparkSession, parquet: str, csv: str | None = None, schema
     raise FileNotFoundError(f"neither {parquet} nor {csv} is there")
 
 
-def write_stage(df: DataFrame, parquet: str, csv: str | None = None) -> None:
-    """Written beside the target and then swapped in: the old stage is renamed aside, the new one to its name, then the old
-    one deleted; if the swap fails the old stage is put back. Readers never see half a stage, and a crash leaves one of them."""
+def versions(spark: SparkSession, stage: str) -> list[tuple[int, str]]:
+    """When the versions of a stage were written (milliseconds) and their names, oldest first."""
+    fs, p = _fs(spark, stage)
+    return sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().startswith("v-"))
+
+
+def write_stage(df: DataFrame, parquet: str, csv: str | None = None, keep: int = 2, grace: float = 3600.0) -> None:
+    """A new version beside the current one, then one rename of the pointer file that replaces it.
+
+    A reader finds the old version or the new one, whole, at any moment; a crash leaves the old one current. The last
+    ``keep`` versions stay, and for readers that are still on them all that were current in the last ``grace`` seconds.
+    """
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fresh, aside = (f"{parquet}.{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
-    df.write.parquet(fresh)
-    fs, target = _fs(spark, parquet)
-    had = fs.exists(target)
-    if had and not fs.rename(target, path(aside)):
-        raise OSError(f"{parquet} can't be renamed to {aside}")
-    if not fs.rename(path(fresh), target):
-        if had:
-            fs.rename(path(aside), target)
-        raise OSError(f"{fresh} can't be renamed to {parquet}")
-    if had:
-        fs.delete(path(aside), True)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{parquet}/{name}")
+    fs, _ = _fs(spark, parquet)
+    plain = _plain(fs)
+    draft, pointer = path(f"{parquet}/.{name}"), path(f"{parquet}/{POINTER}")
+    out = plain.create(draft, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    if plain is not fs:
+        plain.rename(draft, pointer)  # the system's own rename, which replaces a file in one step
+    else:
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        overwrite = spark.sparkContext._gateway.new_array(kinds, 1)
+        overwrite[0] = kinds.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(pointer), overwrite)
+    there = versions(spark, parquet)
+    replaced = [t for t, _ in there][1:]  # when the next version was written
+    for (_, old), since in list(zip(there, replaced, strict=False))[: max(0, len(there) - keep)]:
+        if old != name and since <= (time.time() - grace) * 1000:
+            fs.delete(path(f"{parquet}/{old}"), True)
     if csv:
-        spark.read.parquet(parquet).write.mode("overwrite").option("header", True).csv(csv)
+        spark.read.parquet(f"{parquet}/{name}").write.mode("overwrite").option("header", True).csv(csv)
+
+
+def _unreadable(f: DataFrame, columns: list[T.StructField], examples: int = 5) -> dict[str, list[str]]:
+    """For each column up to ``examples`` values that are there and don't cast to its type: one pass over the file."""
+    lost = lambda c: F.when((F.trim(c.name) != "") & casts.cast_or_null(F.col(c.name), c.dataType.simpleString()).isNull(), F.col(c.name))
+    texts = [c for c in columns if not isinstance(c.dataType, T.StringType)]
+    if not texts:
+        return {}
+    found = f.select(F.inline(F.array(*(F.struct(F.lit(c.name).alias("c"), lost(c).alias("v")) for c in texts)))).where("v is not null").limit(examples).collect()
+    out: dict[str, list[str]] = {}
+    for r in found:
+        out.setdefault(r["c"], []).append(r["v"])
+    return out
 
 
 def read_yearly(spark: SparkSession, paths: list[str] | dict[int, str], schema: T.StructType, box: dict[str, tuple[float, float]] | None = None, keep: Column | None = None, year: str = "year") -> DataFrame:
@@ -113,7 +184,11 @@ def read_yearly(spark: SparkSession, paths: list[str] | dict[int, str], schema:
         mark = f"{y % 100:02d}"
         plain = [c[0] + c[3:] if len(c) > 3 and c[0].isalpha() and c[1:3] == mark else c for c in names]
         f = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in plain])).option("header", True).option("sep", sep).csv(path)
-        f = casts.conform(f.select(*(casts.cast_or_null(F.col(c.name), c.dataType.simpleString()).alias(c.name) for c in schema if c.name in plain)), schema)
+        known = [c for c in schema if c.name in plain]
+        bad = {c: r for c, r in _unreadable(f, known).items() if r}
+        if bad:
+            raise ValueError(f"{path}: values that don't cast: {bad}")
+        f = casts.conform(f.select(*(casts.cast_or_null(F.col(c.name), c.dataType.simpleString()).alias(c.name) for c in known)), schema)
         for c, (low, high) in (box or {}).items():
             f = f.where(F.col(c).between(low, high))
         frames.append((f.where(keep) if keep is not None else f).withColumn(year, F.lit(y)))

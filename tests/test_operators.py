@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from legwork.functions import casts, daycal, text
-from legwork.operators import aggregates, decision, inference, joins, models, quality, topology, windows
+from legwork.operators import aggregates, decision, inference, joins, models, quality, topology, wide, windows
 from legwork.sources import files
 
 D = dt.date
@@ -237,11 +237,11 @@ def test_files(spark, tmp_path):
 
 def test_similarity_profiles(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, 5.0, "x"), (2, 7.0, "y")], "a int, b double, g string")
-    book = {r["column"]: r for r in aggregates.codebook(df).collect()}
+    book = {r["column"]: r for r in wide.codebook(df).collect()}
     assert book["b"]["nulls"] == 1 and book["a"]["distinct"] == 2 and book["g"]["high"] == "y"
     same = aggregates.fingerprint(df).first()["digest"] == aggregates.fingerprint(df.orderBy(F.desc("b"))).first()["digest"]
     assert same
-    shares = {r["column"]: r for r in aggregates.constant_shares(df, ["a"], ["b", "g"]).collect()}
+    shares = {r["column"]: r for r in wide.constant_shares(df, ["a"], ["b", "g"]).collect()}
     assert shares["b"]["constant"] == 1 and shares["b"]["constant_known"] == 1
 
 
