@@ -16,13 +16,13 @@ one = "*"
 def running(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None, cells: int | None = None) -> DataFrame:
     """``df`` (one row for each value of ``order`` within ``by``) with running sums over descending ``order`` as ``cum_`` columns.
 
-    Rows are dealt by Spark's range partitioning, so skewed values make no large cell, and stored once: sums run inside a
-    cell, and the cells' totals, a small table, are added. No single task sorts all rows. ``cells`` is the session's number
+    Rows are stored, as the range partitioning reads them twice, dealt by it, so skewed values make no large cell, and
+    stored by cell: sums run inside a cell, and the cells' totals, a small table, are added. No single task sorts all rows. ``cells`` is the session's number
     of shuffle partitions.
     """
     by = by or []
     cells = cells or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = stored(df.repartitionByRange(cells, *by, F.desc(order)).withColumn("_cell", F.spark_partition_id()))
+    df = stored(stored(df).repartitionByRange(cells, *by, F.desc(order)).withColumn("_cell", F.spark_partition_id()))
     totals = df.groupBy(*by, "_cell").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
     totals = totals.select(*by, "_cell", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
@@ -95,12 +95,6 @@ def matrix(rows: DataFrame, row: str, column: str, values: list, agg: Column) ->
     return rows.groupBy(row).pivot(column, values).agg(agg)
 
 
-def midranks(rows: DataFrame, keys: list[str], value: str) -> Column:
-    """Average ranks within keys."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    return F.rank().over(w) + (F.count(one).over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
 def weighted_corr(x: Column, y: Column, w: Column) -> Column:
     """Weighted Pearson correlation from sums."""
     s = F.sum(w)

@@ -121,12 +121,12 @@ def above_weight(target: str, threshold: float, weight: float) -> Column:
 
 
 def counterfactual(model: PipelineModel, df: DataFrame, features: list[str], resets: dict[str, object], when: Column) -> DataFrame:
-    """``df`` with pred and pred_without: the score with features reset where ``when`` holds."""
-    key = F.monotonically_increasing_id()
-    base = df.withColumn("_key", key)
-    other = base.withColumns({c: F.when(when, F.lit(v).cast(dict(df.dtypes)[c])).otherwise(F.col(c)) for c, v in resets.items()})
-    both = score(model, base.withColumn("_which", F.lit(0)).unionByName(other.withColumn("_which", F.lit(1))), features)
-    return both.groupBy("_key").agg(*(F.first(F.when(F.col("_which") == 0, F.col(c)), ignorenulls=True).alias(c) for c in df.columns), F.max(F.when(F.col("_which") == 0, F.col("pred"))).alias("pred"), F.max(F.when(F.col("_which") == 1, F.col("pred"))).alias("pred_without")).drop("_key")
+    """``df`` with pred and pred_without: the score with features reset where ``when`` holds. Each row is scored twice where it is: nothing is joined or shuffled."""
+    kept = {c: f"_kept_{c}" for c in resets}
+    scored = score(model, df, features).withColumnRenamed("pred", "_pred").withColumns({k: F.col(c) for c, k in kept.items()})
+    other = scored.withColumns({c: F.when(when, F.lit(v).cast(dict(df.dtypes)[c])).otherwise(F.col(c)) for c, v in resets.items()})
+    both = score(model, other, features)
+    return both.select(*(F.col(kept.get(c, c)).alias(c) for c in df.columns), F.col("_pred").alias("pred"), F.col("pred").alias("pred_without"))
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str, keys: list[str], of: list[str] | None = None, seed: int = 7) -> DataFrame:

@@ -30,10 +30,12 @@ def carried_equal(vintages: DataFrame, keys: list[str], year: str, source: dict[
     return guard(carried.join(old, [*keys, "_from"], "left"), "carried_equal", F.count_if(~same))
 
 
-def varies(df: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
-    """More than a share of the groups must hold different values."""
-    groups = df.groupBy(*keys).agg(F.count_distinct(value).alias("_d"))
-    return guard(groups, "varies", F.when(F.avg((F.col("_d") > 1).cast("double")) > least, 0).otherwise(1))
+def varies(df: DataFrame, keys: list[str], value: str, least: float, part: str | None = None) -> DataFrame:
+    """More than a share of the groups must hold different values (null is one); with ``part`` (a leg) only groups of several parts count."""
+    several = F.min(part) < F.max(part) if part else F.lit(True)
+    different = ~F.min(value).eqNullSafe(F.max(value)) | (F.count(value).between(1, F.count(one) - 1))
+    groups = df.groupBy(*keys).agg(several.alias("_several"), different.alias("_d")).where("_several")
+    return guard(groups, "varies", F.when(F.coalesce(F.avg(F.col("_d").cast("double")), F.lit(0.0)) > least, 0).otherwise(1))
 
 
 def unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,17 +69,14 @@ def missing_rates(df: DataFrame, columns: list[str], most: float) -> DataFrame:
     return rates.where(F.col("rate") > most)
 
 
-def first_gap(df: DataFrame, keys: list[str], day: str, order: list[str], least: int) -> DataFrame:
-    """The median gap in days between a group's first and second row must be at least ``least``."""
-    return guard(two_first(df, keys, day, order), "first_gap", F.when(F.percentile(F.datediff("_second", "_first"), F.lit(0.5)) >= least, 0).otherwise(1))
+def first_gap(df: DataFrame, keys: list[str], day: str, history: str, least: int) -> DataFrame:
+    """The median number of days from a group's first row to its first row with a history must be at least ``least``.
 
-
-def two_first(df: DataFrame, keys: list[str], day: str, order: list[str]) -> DataFrame:
-    """_first and _second day of each group, by two aggregates."""
-    place = F.struct(*order)
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_at"), F.min_by(day, place).alias("_first"))
-    later = df.join(first.select(*keys, "_at"), keys).where(place > F.col("_at")).groupBy(*keys).agg(F.min_by(day, place).alias("_second"))
-    return first.join(later, keys, "left")
+    Groups without any history are left out. One aggregate by group; the gaps are counted before their median is taken.
+    """
+    first = df.groupBy(*keys).agg(F.datediff(F.min(F.when(F.col(history).isNotNull(), F.col(day))), F.min(day)).alias("_gap"))
+    gaps = first.where(F.col("_gap").isNotNull()).groupBy("_gap").agg(F.count(one).alias("_n"))
+    return guard(gaps, "first_gap", F.when(F.percentile("_gap", F.lit(0.5), F.col("_n")) >= least, 0).otherwise(1))
 
 
 def in_range(df: DataFrame, name: str, value: str, low: float, high: float, closed: bool = False) -> DataFrame:

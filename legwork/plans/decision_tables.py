@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import casts
+from ..operators import aggregates as agg
 from ..operators import decision, topology, windows
 from .aggregates_and_decisions import TRIPS, leg_rows, trip_rows
 from .registry import query
@@ -28,8 +29,9 @@ def q_service_profile(t):
     o = t.orders.select((F.col("o_custkey") % 50).alias("svc"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("mon"), F.col("o_totalprice").alias("v"))
     m = o.groupBy("svc", "mon").agg(F.max("v").alias("top"))
     best = windows.rank_share(m, ["mon"], "top").groupBy("svc").agg(F.count_if(F.col("pct") >= 0.9).alias("months_top"))
-    profile = o.groupBy("svc").agg(F.round(F.percentile("v", F.lit(0.5)), 3).alias("med"), F.round(F.percentile("v", F.lit(0.9)), 3).alias("p90"), *(F.round(F.avg((F.col("v") > x).cast("double")), 6).alias(k) for x, k in ((300000, "over_a"), (400000, "over_b"))))
-    return profile.join(best, "svc")
+    middle = agg.exact_percentiles(o, ["svc"], "v", (0.5, 0.9)).select("svc", F.round("p50", 3).alias("med"), F.round("p90", 3).alias("p90"))
+    profile = o.groupBy("svc").agg(*(F.round(F.avg((F.col("v") > x).cast("double")), 6).alias(k) for x, k in ((300000, "over_a"), (400000, "over_b"))))
+    return profile.join(middle, "svc").join(best, "svc")
 
 
 @query(f"""

@@ -144,21 +144,24 @@ def q_monthly_mass(t):
 
 
 @query("""
-with g as (select o_custkey, o_orderdate::date as d, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r from orders), gap as (select max(d) filter (r = 2) - max(d) filter (r = 1) as k from g group by o_custkey),
+with g as (select o_custkey, o_orderdate::date as d, row_number() over w as r, avg(o_totalprice) over (w rows between 3 preceding and 1 preceding) as h from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+gap as (select min(d) filter (h is not null) - min(d) as k from g group by o_custkey),
+v as (select l_orderkey, min(l_linenumber) < max(l_linenumber) as several, count(distinct case when l_linenumber % 4 > 0 then l_quantity end) + max((l_linenumber % 4 = 0)::int) > 1 as differs from lineitem group by 1),
 h as (select date_diff('microsecond', lag(ts) over w, ts) / 6e7 as before_min, row_number() over w = 1 as is_first from events window w as (partition by event_type, ts::date order by ts)),
 o as (select year(o_orderdate) as y, avg((l.k is null)::int) as rate from orders left join (select distinct l_orderkey as k from lineitem) l on l.k = o_orderkey group by 1)
 select 'first_gap' as guard, (case when median(k) >= 10 then 0 else 1 end)::bigint as violations from gap
 union all select 'headway_range', count(*) filter (before_min < 0 or before_min >= 1440)::bigint from h union all select 'headway_null_iff_first', count(*) filter ((before_min is null) <> is_first)::bigint from h
 union all select 'share_range', count(*) filter (l_discount < 0 or l_discount > 1)::bigint from lineitem union all select 'orphans', count(*) filter (rate > 0.1)::bigint from o
-union all select 'first_is_null', 0::bigint
+union all select 'first_is_null', count(*) filter (r = 1 and h is not null)::bigint from g union all select 'varies', (case when avg(differs::int) > 0.5 then 0 else 1 end)::bigint from v where several
 """)
 def q_range_guards(t):
     o = dated_orders(t)
     head = windows.headway(t.events.withColumn("day", F.to_date("ts")), ["event_type", "day"], "ts", "event_id")
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    history = windows.rolling(o.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", 3, lag=1)
+    legs = t.lineitem.withColumn("h", F.when(F.col("l_linenumber") % 4 > 0, F.col("l_quantity")))
+    history = windows.rolling(o.select("o_custkey", "day", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", 3, lag=1)
     return agg.unioned([
-        quality.first_gap(o, ["o_custkey"], "day", ["o_orderdate", "o_orderkey"], 10), quality.in_range(head, "headway_range", "before_min", 0, 1440), quality.null_iff(head, "headway_null_iff_first", "before_min", "is_first"),
+        quality.first_gap(history, ["o_custkey"], "day", "o_totalprice_mean3", 10), quality.varies(legs, ["l_orderkey"], "h", 0.5, "l_linenumber"), quality.in_range(head, "headway_range", "before_min", 0, 1440), quality.null_iff(head, "headway_null_iff_first", "before_min", "is_first"),
         quality.in_range(t.lineitem, "share_range", "l_discount", 0, 1, closed=True), quality.orphans(o.withColumn("y", F.year("day")), lines, ["o_orderkey"], "y", 0.1), quality.first_is_null(history, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice_mean3"),
     ])
 
