@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,24 @@ def slices(batches, rows: int = 512, size: int = 4 << 20):
             at += n
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """This worker's large object (an encoder): made once and kept between tasks, until a task needs another one."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drops what this worker has kept: it serves the tasks of many stages, and an earlier stage's object must not stay beside a model."""
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def text_crc(column: str = "doc_id"):
     """crc32 of a column's text form, as the folds of the queries use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, held, slices
 
 
 class Codes(dict):
@@ -112,14 +112,9 @@ class Encoder:
         return ids, ends
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, end_id: int) -> Encoder:
     """This worker's encoder; kept between tasks."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    return held(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:

@@ -8,10 +8,12 @@ alone; document frequencies are counted over all documents.
 
 Index: the examples in blocks of ``block`` neighbours (ordered by label and main
 term); for each term the blocks that hold it with their largest weight, the block
-maximum, and the postings within. A query's terms give every block an upper bound;
-blocks are scored exactly in descending bound until no bound reaches the k-th best
-score, so the k nearest are exact. The index has a size set by the examples and goes
-to the executors once; texts are scored where they are read, whole.
+maximum, and the postings within; terms that many examples hold are rows of a matrix,
+with their block maxima beside it. A query's terms give every block an upper bound; the
+matrix alone gives every example a lower one, and blocks whose bound is below the
+k-th of these are skipped. The others are scored exactly, so the k nearest are exact.
+The index has a size set by the examples and goes to the executors once; texts are
+scored where they are read, whole.
 
 Votes weigh an example by its closeness, by how much rarer its label is in the sample
 than among all labelled rows, and by what makes it close: CLOSE of its cosine counts as
@@ -44,10 +46,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, hashed_sample, slices, text_crc
+from .common import durable, hashed_sample, release, slices, text_crc
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
+#: A term is a row of the index's matrix if one example in DENSE holds it; a row takes at most DENSE times its list's room.
+DENSE = 16
 #: Share of a term that speaks for no label in a vote, and root of the log-likelihood ratio that chance explains.
 CLOSE, CHANCE = 0.1, 2.0
 
@@ -127,6 +131,15 @@ class Index:
         term, place, weight = (np.concatenate(x) if x else np.zeros(0) for x in (terms, places, weights))
         by_term = np.lexsort((place, term))
         term, self.place, self.posting = term[by_term].astype(np.int64), place[by_term].astype(np.int32), weight[by_term].astype(np.float32)
+        # terms of many examples are rows of a matrix instead: reading a long list costs more than multiplying it
+        often = np.bincount(term, minlength=len(term_weight)) * DENSE >= max(1, len(order))
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.matrix = np.zeros((int(often.sum()), len(order)), np.float32)
+        long = often[term]
+        self.matrix[self.row[term[long]], self.place[long]] = self.posting[long]
+        self.blocks = -(-len(order) // block)
+        edges = np.arange(0, len(order), block)
+        self.peaks = np.maximum.reduceat(self.matrix, edges, axis=1) if len(order) else np.zeros((len(self.matrix), 0), np.float32)
         held = self.place // block
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (held[1:] != held[:-1])
@@ -135,10 +148,11 @@ class Index:
         self.held = held[begin]  # an entry's block
         self.most = np.maximum.reduceat(self.posting, begin) if len(begin) else np.zeros(0, np.float32)
         self.entries = np.searchsorted(term[begin], np.arange(len(term_weight) + 1)).astype(np.int32)  # of a term
-        self.blocks = -(-len(order) // block)
         votes, truth, weight, self.bare = [], [], [], [0.0, 0.0]
         for place, i in enumerate(order):
-            vote, _ = self.vote(vectors[i], without=place)
+            if place % 256 == 0:
+                begun = self.begun([vectors[j] for j in order[place : place + 256]])
+            vote, _ = self.vote(vectors[i], without=place, begun=begun[place % 256])
             if vote is None:
                 self.bare[0] += self.weight[place] * self.labels[place]
                 self.bare[1] += self.weight[place]
@@ -156,36 +170,43 @@ class Index:
         norm = math.sqrt(float(w @ w))
         return at, (w / norm if norm else w).astype(np.float32)
 
-    def nearest(self, counts, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def begun(self, texts: list) -> list[tuple]:
+        """For each of many texts (counts) its vector without the matrix's terms, and what those give to every example and to every block's bound."""
+        vectors = [self.vector(c) for c in texts]
+        dense = np.zeros((len(texts), len(self.matrix)), np.float32)
+        rest = []
+        for i, (at, w) in enumerate(vectors):
+            row = self.row[at]
+            some = row >= 0
+            dense[i, row[some]] = w[some]
+            rest.append((at[~some], w[~some]))
+        return [(*r, b, p) for r, b, p in zip(rest, dense @ self.matrix, dense @ self.peaks, strict=True)]
+
+    def nearest(self, counts, without: int = -1, begun: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a term in common, and their cosines: exact."""
-        at, w = self.vector(counts)
+        at, w, base, peaks = begun or self.begun([counts])[0]
         begin, end = self.entries[at], self.entries[at + 1]
-        entry, w = ranges(begin, end), np.repeat(w, end - begin)
+        entry, part = ranges(begin, end), np.repeat(w, end - begin)
         held = self.held[entry]
-        bound = np.bincount(held, weights=w * self.most[entry], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 16
-        while done < len(order):
-            kth = np.partition(scores, -self.k)[-self.k] if len(scores) >= self.k else 0.0
-            go = order[done : done + step]
-            go = go[bound[go] >= kth - 1e-6]  # the bounds descend: nothing after a block that falls short counts
-            if not len(go):
-                break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[go] = True
-            some = np.flatnonzero(wanted[held])
-            low, high = self.begin[entry[some]], self.begin[entry[some] + 1]
-            posting = ranges(low, high)
-            got = np.bincount(self.place[posting], weights=np.repeat(w[some], high - low) * self.posting[posting], minlength=len(self.labels))
-            place = np.flatnonzero(got > 0)
-            place = place[place != without]
-            rows, scores = np.concatenate([rows, place]), np.concatenate([scores, got[place]])
-            done += len(go)
-            step *= 2
-        best = np.lexsort((rows, -scores))[: self.k]
-        return rows[best], scores[best]
+        bound = np.bincount(held, weights=part * self.most[entry], minlength=self.blocks) + peaks
+        if without >= 0:
+            base = base.copy()
+            base[without] = 0
+        # no example of the k nearest scores less than the k-th by the matrix alone: blocks bounded by less stay unread
+        least = np.partition(base, -self.k)[-self.k] - 1e-6 if len(base) > self.k else 0.0
+        wanted = (bound >= least) & (bound > 0)
+        if not wanted.all():
+            some = wanted[held]
+            entry, part = entry[some], part[some]
+        low, high = self.begin[entry], self.begin[entry + 1]
+        posting = ranges(low, high)
+        got = base + np.bincount(self.place[posting], weights=np.repeat(part, high - low) * self.posting[posting], minlength=len(self.labels))
+        got[~np.repeat(wanted, self.block)[: len(got)]] = 0
+        if without >= 0:
+            got[without] = 0
+        rows = np.flatnonzero(got >= max(np.partition(got, -self.k)[-self.k], 1e-12)) if len(got) > self.k else np.flatnonzero(got > 0)
+        best = rows[np.lexsort((rows, -got[rows]))[: self.k]]
+        return best, got[best]
 
     def told(self, counts) -> np.ndarray:
         """For every example the parts of its cosine, each times how far the shared term is bound to label 1."""
@@ -196,20 +217,25 @@ class Index:
         posting = ranges(low, high)
         return np.bincount(self.place[posting], weights=np.repeat(w, high - low) * self.posting[posting], minlength=len(self.labels))
 
-    def vote(self, counts, without: int = -1):
+    def vote(self, counts, without: int = -1, begun: tuple | None = None):
         """Share of label 1 among the nearest, by closeness and by what makes them close; None without any."""
         counts = arrays(counts)
         if not len(counts[0]):
             return None, ()
-        rows, scores = self.nearest(counts, without)
+        rows, scores = self.nearest(counts, without, begun)
         if not len(rows):
             return None, ()
         scores = np.minimum(scores, 1)
         w = self.weight[rows] * (CLOSE * scores + self.told(counts)[rows]) / (1.02 - scores)
         return float((w * self.labels[rows]).sum() / w.sum()), rows
 
-    def score(self, counts) -> tuple[float, list]:
-        vote, rows = self.vote(counts)
+    def scores(self, texts: list) -> list[tuple[float, list]]:
+        """Score and evidence of each of many texts (counts)."""
+        texts = [arrays(c) for c in texts]
+        return [self.score(c, b) for c, b in zip(texts, self.begun(texts), strict=True)]
+
+    def score(self, counts, begun: tuple | None = None) -> tuple[float, list]:
+        vote, rows = self.vote(counts, begun=begun)
         if vote is None:
             return self.bare[0] / self.bare[1] if self.bare[1] else self.rate, []
         score = float(np.interp(vote, self.at, self.fit)) if len(self.at) else self.rate
@@ -233,6 +259,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
+        release()
         own, total = sent.value, np.zeros(size + 1, np.int64)
         for batch in slices(batches):
             total[size] += batch.num_rows
@@ -306,9 +333,11 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Index] | None, columns: list
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release()
         model = sent.value
         for batch in slices(batches):
-            got = [model[1].score(model[0].counts(t)) if model else (0.0, []) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            got = model[1].scores([model[0].counts(t) for t in texts]) if model else [(0.0, [])] * len(texts)
             scores = np.array([g[0] for g in got], np.float64)
             if rejects is not None:
                 yield batch.filter(pa.array(scores < rejects))
