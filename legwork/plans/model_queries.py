@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, decision, models
+from ..operators import aggregates, decision, models, tuning
 from .registry import query
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "month", "pri"]
@@ -95,3 +95,31 @@ def q_model_importance(t):
     train, test = halves(t)
     model = models.fit(train, FEATURES, models.gbt(TARGET, **SMALL))
     return rounded(models.permutation_importance(model, test, FEATURES, TARGET, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], ["l_quantity", "l_discount", "month"]))
+
+
+#: Families of the features in the attribution.
+FAMILIES = {"l_quantity": "load", "l_discount": "price", "l_tax": "price", "l_linenumber": "place", "l_returnflag": "state", "month": "calendar", "pri": "state"}
+
+
+@query()
+def q_model_attribution(t):
+    """All features by segment and over all rows: the arms of every feature in one job."""
+    train, test = halves(t)
+    fitted = models.fit_segments(train, "segment", ["low", "high"], FEATURES, models.gbt(TARGET, **SMALL))
+    return rounded(tuning.attribution(fitted, test, "segment", FEATURES, TARGET, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]))
+
+
+@query()
+def q_model_families(t):
+    """The same attribution added up by family of features."""
+    train, test = halves(t)
+    fitted = models.fit_segments(train, "segment", ["low", "high"], FEATURES, models.gbt(TARGET, **SMALL))
+    found = tuning.attribution(fitted, test, "segment", FEATURES, TARGET, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    return rounded(tuning.family_mass(found, "segment", FAMILIES))
+
+
+@query()
+def q_model_halving(t):
+    """Eight settings over three folds, the better half of each rung with twice the trees."""
+    settings = {f"depth{d}_rate{r}": (lambda trees, d=d, r=r: models.gbt(TARGET, trees, d, r)) for d in (2, 3, 4, 5) for r in (0.1, 0.3)}
+    return rounded(tuning.successive_halving(model_rows(t), "year", [1995, 1996, 1997, 1998], FEATURES, TARGET, settings, [1, 2, 4]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import daycal, text
 from ..functions.storage import shared_folder, stored
 from ..operators import aggregates as agg
-from ..operators import decision, inference, joins, models, quality, topology, windows
+from ..operators import decision, inference, joins, models, quality, topology, tuning, windows
 from ..sources import files
 from .aggregates_and_decisions import TRIPS, trip_rows
 from .calendar_and_joins import dated_orders
@@ -250,3 +250,20 @@ def q_model_linear(t):
     fitted = {s: models.ridge(train.where(F.col("segment") == s), ["l_quantity"], TARGET, 0.0) for s in ("low", "high")}
     scored = models.score_segments(fitted, test, "segment", ["l_quantity"])
     return scored.groupBy("segment").agg(*agg.regression(F.col(TARGET), F.col("pred"), 63.0)).select("segment", "n", F.round("r2", 6).alias("r2"), F.round("mae", 5).alias("mae"))
+
+
+@query(f"""
+with {MODEL}, tr2 as (select *, coalesce(l_tax, 0.04) as l_tax2 from tr), s as (select count(*) as n, avg(l_quantity) as m1, avg(l_tax2) as m2, avg(y) as my, stddev_pop(l_quantity) as s1, stddev_pop(l_tax2) as s2, covar_pop(l_quantity, l_tax2) as c12, covar_pop(l_quantity, y) as c1, covar_pop(l_tax2, y) as c2 from tr2),
+a as (select *, n + penalty as d, n * c12 / (s1 * s2) as o, n * c1 / s1 as b1, n * c2 / s2 as b2 from s, (values (0.1::double), (10.0), (1000.0), (100000.0)) v(penalty)),
+w as (select *, (d * b1 - o * b2) / (d * d - o * o) as w1, (d * b2 - o * b1) / (d * d - o * o) as w2 from a),
+p as (select penalty, w1, w2, my - w1 * m1 / s1 - w2 * m2 / s2 as w0, y, my + w1 * (l_quantity - m1) / s1 + w2 * (l_tax2 - m2) / s2 as p from (select *, coalesce(l_tax, 0.04) as l_tax2 from m) m, w where year = 1998)
+select penalty, round(w1, 5) as w1, round(w2, 5) as w2, round(w0, 5) as w0, count(*) as n, round(1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) as r2, round(avg(abs(p - y)), 5) as mae from p group by all
+""")
+def q_model_penalties(t):
+    """A sweep of penalties from one pass: two scaled features have a closed form."""
+    filled = lambda df: df.withColumn("l_tax2", F.coalesce("l_tax", F.lit(0.04)))
+    train, test = map(filled, halves(t))
+    model = tuning.ridge_sweep(train, ["l_quantity", "l_tax2"], TARGET, [0.1, 10.0, 1000.0, 100000.0])
+    weights = t.spark.createDataFrame([(p, round(float(w[0]), 5), round(float(w[1]), 5), round(model.intercept(p), 5)) for p, w in model.weights.items()], "penalty double, w1 double, w2 double, w0 double")
+    found = tuning.ridge_metrics(model, test.select("l_quantity", "l_tax2", TARGET), TARGET)
+    return weights.join(found, "penalty").select("penalty", "w1", "w2", "w0", "n", F.round("r2", 6).alias("r2"), F.round("mae", 5).alias("mae"))
