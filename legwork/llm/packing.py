@@ -48,6 +48,8 @@ class Encoder:
 
     #: Stretches remembered in a worker; beyond them it starts anew.
     KEPT = 800_000
+    #: Stretches encoded at once: an encoding takes some kilobytes until its ids are read.
+    BATCH = 20_000
     #: Split by str.split() but not white space to the tokenizer.
     ODD = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 
@@ -73,7 +75,7 @@ class Encoder:
         at = len(self.codes) - len(fresh)
         while len(self.begin) < len(self.codes):
             self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        found = [e.ids for i in range(0, len(fresh), self.BATCH) for e in self.tokenizer.encode_batch_fast(fresh[i : i + self.BATCH], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         while len(self.flat) < self.used + total:
