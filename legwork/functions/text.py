@@ -16,8 +16,8 @@ def plain(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Lower case without accents, brackets and outer blanks."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), r"\([^)]*\)", ""))
+    """Lower case without accents, brackets (what stands inside stays) and outer blanks."""
+    return F.trim(F.regexp_replace(plain(c), "[()]", ""))
 
 
 def has_any(words: list[str], *columns: Column) -> Column:
@@ -33,10 +33,14 @@ def last_rule(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
     return out.otherwise(other)
 
 
-def zones(rows: DataFrame, key: str, place: str, table: DataFrame, sep: str = r"[,/;]| et | - ") -> DataFrame:
+# Fixed value: what parts the places of one text.
+PLACES = r"[/,]| et | - "
+
+
+def zones(rows: DataFrame, key: str, place: str, table: DataFrame, sep: str = PLACES) -> DataFrame:
     """key, zone of best (least) priority among the places named in a text; ``table`` has name, zone, priority."""
     names = rows.select(key, F.explode(F.split(place, sep)).alias("_name")).withColumn("name", folded(F.col("_name")))
-    return names.join(F.broadcast(table), "name").groupBy(key).agg(F.min_by("zone", F.struct("priority", "zone")).alias("zone"))
+    return names.join(table, "name").groupBy(key).agg(F.min_by("zone", F.struct("priority", "zone")).alias("zone"))
 
 
 def locality(c: Column, names: list[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from .aggregates import confusion, pr_curve, unioned
 
 one = "*"
@@ -49,6 +50,7 @@ def same_share(curve: DataFrame, share: Column) -> DataFrame:
 def candidate_lists(rows: DataFrame, reco: Column, label: Column, orders: dict[str, list[Column]], n: int) -> DataFrame:
     """The first ``n`` rows of each confusion cell (tp, fp, fn, tn) by the cell's own order, with cell and place."""
     cell = F.when(reco & label, "tp").when(reco, "fp").when(label, "fn").otherwise("tn")
+    rows = stored(rows)  # each list reads it
     lists = [rows.where(cell == name).orderBy(*order).limit(n).withColumn("cell", F.lit(name)) for name, order in orders.items()]  # top-k, no sort of a whole cell
     out = []
     for one_list, order in zip(lists, orders.values(), strict=True):
@@ -87,10 +89,10 @@ def block_evaluation(rows: DataFrame, block: list[str], active: str, label: str)
     )
 
 
-def false_positive_cost(rows: DataFrame, reco: Column, label: Column, distance: str, tare: float, tariff: float) -> DataFrame:
-    """false_positives, cost: tare times distance times tariff for each."""
+def false_positive_cost(reco: Column, label: Column, distance: str, tare: float, tariff: float) -> list[Column]:
+    """Aggregates false_positives and cost: tare times distance times tariff for each, over whatever rows are grouped."""
     wrong = reco & ~label
-    return rows.agg(F.count_if(wrong).alias("false_positives"), F.sum(F.when(wrong, F.col(distance) * tare * tariff).otherwise(0.0)).alias("cost"))
+    return [F.count_if(wrong).alias("false_positives"), F.sum(F.when(wrong, F.col(distance) * tare * tariff).otherwise(0.0)).alias("cost")]
 
 
 def day_table(legs: DataFrame, day: str, trip: str, vehicle: str, pred: str, load: str, booked: str, threshold: float, floor: float, capacity: float) -> DataFrame:

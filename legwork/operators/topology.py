@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import band, cell, haversine, near_cells
@@ -63,3 +63,13 @@ def leg_templates(stops: DataFrame, service: list[str], trip: list[str], time: s
     legs = kept.select(*service, F.row_number().over(w).alias("seq"), F.col(station).alias("leg_from"), F.lead(station).over(w).alias("leg_to"), F.col(place).alias("_a"), F.lead(place).over(w).alias("_b"))
     direction = F.when(F.col("_b") > F.col("_a"), "up").otherwise("down")
     return legs.where("leg_to is not null").select(*service, "seq", "leg_from", "leg_to", direction.alias("direction")).distinct()
+
+
+def platform_centroids(stops: DataFrame, platforms: DataFrame, key: str, valid: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``stops`` with the mean place of their valid platforms that have one, their number, and ``located``; stops without any keep null and 0.
+
+    A stop's platforms are summed before the join, so a stop with very many of them costs one row.
+    """
+    good = platforms.where(valid & F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    means = good.groupBy(key).agg(F.avg(lon).alias("lon"), F.avg(lat).alias("lat"), F.count(F.lit(1)).alias("platforms"))
+    return stops.join(means, key, "left").fillna(0, ["platforms"]).withColumn("located", F.col("platforms") > 0)

@@ -370,9 +370,9 @@ select st, y, round(v / (select sum(load) from trips), 6) as share, fp, round(co
 """)
 def q_share_slices(t):
     rows = trip_rows(t).withColumn("y", F.year("day"))
-    wrong = (F.col("score") > 80) & ~F.col("label")
     total = rows.agg(F.sum("load").alias("all"))
-    s = rows.groupingSets([[], [F.col("st")], [F.col("y")], [F.col("st"), F.col("y")]], F.col("st"), F.col("y")).agg(F.sum("load").alias("v"), F.count_if(wrong).alias("fp"), F.sum(F.when(wrong, F.col("legs") * 13.2 * 0.4).otherwise(0.0)).alias("cost"))
+    cost = decision.false_positive_cost(F.col("score") > 80, F.col("label"), "legs", 13.2, 0.4)
+    s = rows.groupingSets([[], [F.col("st")], [F.col("y")], [F.col("st"), F.col("y")]], F.col("st"), F.col("y")).agg(F.sum("load").alias("v"), *cost).withColumnRenamed("false_positives", "fp")
     return s.crossJoin(F.broadcast(total)).select("st", "y", F.round(F.col("v") / F.col("all"), 6).alias("share"), "fp", F.round("cost", 3).alias("cost"))
 
 

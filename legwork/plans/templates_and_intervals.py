@@ -189,7 +189,7 @@ NAMED = ["tion", "reeux", "ciones", "und", "the"]
 
 
 @query(f"""
-with f as (select lower(strip_accents(text)) as t from documents where text is not null), g as (select regexp_replace(t, '\\([^)]*\\)', '', 'g') as t from f)
+with f as (select lower(strip_accents(text)) as t from documents where text is not null), g as (select regexp_replace(t, '[()]', '', 'g') as t from f)
 select coalesce({" ".join(f"case when contains(t, '{w}') then '{w}' end," for w in NAMED)} 'elsewhere') as place, count(*) as n from g group by 1
 """)
 def q_locality(t):

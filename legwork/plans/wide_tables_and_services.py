@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import daycal
 from ..functions.storage import shared_folder, stored
-from ..operators import joins, services, sweeps, wide
+from ..operators import joins, services, sweeps, topology, wide
 from ..sources import files
 from .calendar_and_joins import DAYS
 from .registry import query
@@ -182,3 +182,15 @@ def q_guarded_lookup(t):
     seen = first.check()
     second.check()
     return done.groupBy("seg", "nation").agg(n()).withColumns({c: F.lit(seen[c]).cast("long") for c in ("rows_in", "rows_out", "most", "unmatched")})
+
+
+@query("""
+with g as (select o_custkey as k, avg(o_totalprice / 1000) as lon, avg(lat_) as lat, count(*) as platforms from (select *, o_orderkey % 90 as lat_ from orders) where o_orderstatus = 'F' and o_orderkey % 4 > 0 group by 1)
+select c_custkey as stop, round(lon, 5) as lon, round(lat, 5) as lat, coalesce(platforms, 0) as platforms, platforms is not null as located from customer left join g on k = c_custkey
+""")
+def q_platform_centroids(t):
+    """Stops at the mean place of their validated platforms; a platform without coordinates doesn't count."""
+    lon = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_totalprice") / 1000)
+    platforms = t.orders.select(F.col("o_custkey").alias("stop"), F.col("o_orderstatus").alias("status"), lon.alias("lon"), (F.col("o_orderkey") % 90).cast("double").alias("lat"))
+    out = topology.platform_centroids(t.customer.select(F.col("c_custkey").alias("stop")), platforms, "stop", F.col("status") == "F")
+    return out.select("stop", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "platforms", "located")

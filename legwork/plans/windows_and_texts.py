@@ -235,7 +235,7 @@ def q_text_flags(t):
 
 
 @query("""
-with w as (select doc_id, trim(lower(strip_accents(unnest(string_split_regex(text, '[,/;]| et | - '))))) as name from documents),
+with w as (select doc_id, trim(regexp_replace(lower(strip_accents(unnest(string_split_regex(text, '[/,]| et | - ')))), '[()]', '', 'g')) as name from documents),
 z as (select * from (values ('la', 'near', 1), ('the', 'far', 2), ('de', 'edge', 3), ('of', 'hub', 1), ('und', 'edge', 3), ('tre', 'near', 2)) v(name, zone, priority))
 select doc_id, arg_min(zone, (priority, zone)) as zone from w join z using (name) group by doc_id
 """)

@@ -147,7 +147,7 @@ def test_text_rules(spark):
     got = {r["name"]: (r["start"], r["end"], r["place"]) for r in text.event_lines(lines).collect()}
     assert got["Jazz"] == (D(2023, 7, 3), D(2023, 7, 5), "Montreux") and len(got) == 2
     z = spark.createDataFrame([("vevey", "near", 1), ("geneve", "far", 2)], "name string, zone string, priority int")
-    rows = spark.createDataFrame([(1, "Genève / Vevey (quai)"), (2, "Nowhere")], "k int, place string")
+    rows = spark.createDataFrame([(1, "Genève / Vevey)"), (2, "Nowhere"), (3, "Vevey (quai)")], "k int, place string")
     assert values(text.zones(rows, "k", "place", z), "k", "zone") == [(1, "near")]
     notes = spark.createDataFrame([(1, "runs 24.12 - 26.12 and 3.1.", D(2023, 12, 10), D(2024, 12, 14))], "note int, text string, start date, end date")
     assert sorted(r["day"] for r in text.note_days(notes).collect()) == [D(2023, 12, 24), D(2023, 12, 25), D(2023, 12, 26), D(2024, 1, 3)]
