@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.storage import stored
+from ..functions.storage import discard, stored
 
 one = "*"
 
@@ -22,7 +22,9 @@ def running(df: DataFrame, order: str, sums: list[str], by: list[str] | None = N
     """
     by = by or []
     cells = cells or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = stored(stored(df).repartitionByRange(cells, *by, F.desc(order)).withColumn("_cell", F.spark_partition_id()))
+    counted = stored(df)
+    df = stored(counted.repartitionByRange(cells, *by, F.desc(order)).withColumn("_cell", F.spark_partition_id()))
+    discard(counted)
     totals = df.groupBy(*by, "_cell").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
     totals = totals.select(*by, "_cell", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import discard, stored
 
 one = "*"
 MICROS = 1_000_000
@@ -105,7 +105,8 @@ def components(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, int]:
 
     rounds, state = 0, None
     while True:
-        links = stored(starred(starred(links, True), False))
+        before, links = links, stored(starred(starred(links, True), False))
+        discard(before)
         rounds += 1
         now = tuple(links.agg(F.count(one), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:

@@ -520,12 +520,10 @@ def q_bootstrap_point(t):
 @query("select year(o_orderdate)::int as year, count(*) as n, round(sum(o_totalprice), 2) as total, count(distinct o_orderkey) as keys, 1::bigint as sources from orders group by 1")
 def q_scan_union(t):
     """Orders landed by year in the shared folder and read once, with lineage."""
-    import uuid
-
-    from ..functions.storage import shared_folder
+    from ..functions.storage import new_folder
     from ..sources.files import land
 
-    folder = f"{shared_folder(t.spark)}/landed-{uuid.uuid4().hex}"
+    folder = new_folder(t.spark, "landed")
     landed = land(t.orders.withColumn("year", F.year("o_orderdate")), folder, F.col("o_orderkey").isNotNull(), "year")
     lineage = landed.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"year=(\d+)", 1))
     return lineage.groupBy("year").agg(n(), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("o_orderkey").alias("keys"), F.count_distinct("file").alias("sources"))

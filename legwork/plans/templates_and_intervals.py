@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import daycal, text
-from ..functions.storage import shared_folder, stored
+from ..functions.storage import new_folder, stored
 from ..operators import aggregates as agg
 from ..operators import decision, inference, joins, models, quality, topology, tuning, windows
 from ..sources import files
@@ -82,7 +80,7 @@ def q_leg_templates(t):
 @query("select year(o_orderdate)::int as year, count(*) as n, sum(o_custkey)::bigint as customers, count(distinct o_orderpriority) as priorities, 1::bigint as sources from orders group by 1")
 def q_union_checked(t):
     """Orders written as one delimited file set a year, headers checked file by file, read with one schema and stacked."""
-    folder = f"{shared_folder(t.spark)}/yearly-{uuid.uuid4().hex}"
+    folder = new_folder(t.spark, "yearly")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("year"))
     o.repartition("year").write.partitionBy("year").option("header", True).option("sep", ";").csv(folder)
     years = sorted(r[0] for r in o.select("year").distinct().collect())

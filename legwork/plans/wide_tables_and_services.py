@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import daycal
-from ..functions.storage import shared_folder, stored
+from ..functions.storage import new_folder, stored
 from ..operators import joins, services, sweeps, topology, wide
 from ..sources import files
 from .calendar_and_joins import DAYS
@@ -161,7 +159,7 @@ def q_official_seasons(t):
 @query("select year(o_orderdate)::int as year, count(*) as n, sum(o_custkey)::bigint as customers, count(*) filter (o_orderstatus = 'F') as finished, 2::bigint as versions from orders group by 1")
 def q_stage_versions(t):
     """A stage written three times, each version in place of the one before; what the pointer names is read."""
-    stage = f"{shared_folder(t.spark)}/stage-{uuid.uuid4().hex}"
+    stage = new_folder(t.spark, "stage")
     for part in (t.orders.where("o_orderstatus = 'F'"), t.orders.where("o_orderstatus <> 'F'"), t.orders):
         files.write_stage(part, stage, grace=0)
     kept = len(files.versions(t.spark, stage))

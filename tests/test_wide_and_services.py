@@ -276,3 +276,12 @@ def test_literal_dimensions_and_metric_reports(spark, tmp_path):
     files.write_metrics(spark.createDataFrame([("r2", 0.5)], "metric string, value double"), str(tmp_path / "m"))
     files.write_metrics(spark.createDataFrame([("r2", 0.6)], "metric string, value double"), str(tmp_path / "m"))
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "m")).select("metric", "value").collect()] == [("r2", 0.6)]
+
+
+def test_discarded_tables_are_gone_and_others_stay(spark):
+    from legwork.functions import storage
+
+    kept, gone = storage.stored(spark.range(3)), storage.stored(spark.range(4))
+    storage.discard(gone, spark.range(1))
+    assert kept.count() == 3
+    assert not files.exists(spark, gone._stored_in) and files.exists(spark, kept._stored_in)
