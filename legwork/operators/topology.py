@@ -53,6 +53,21 @@ def nearest_station(points: DataFrame, stations: DataFrame, key: list[str], radi
     return pairs.groupBy(*key).agg(F.min_by(F.struct("id", "metres"), F.struct("metres", "id")).alias("_n")).select(*key, "_n.id", "_n.metres")
 
 
+def radius_counts(points: DataFrame, stations: DataFrame, radii: dict[str, float], lon: str = "lon", lat: str = "lat", on: list[str] | None = None) -> DataFrame:
+    """id, a count of points within each radius by its name, and nearest (metres), of each station with a point within the largest.
+
+    Points and stations are counted by place first and only distinct places are paired, so copies of a place cost one
+    row; each station then takes the sums of its place.
+    """
+    on, reach = on or [], max(radii.values())
+    places = points.groupBy(*on, lon, lat).agg(F.count(F.lit(1)).alias("_points"))
+    pairs = within_radius(places, stations.select(*on, "s_lon", "s_lat").distinct(), reach, lon, lat, on)
+    within = {name: F.coalesce(F.sum(F.when(F.col("metres") <= radius, F.col("_points"))), F.lit(0)) for name, radius in radii.items()}
+    sums = pairs.groupBy(*on, "s_lon", "s_lat").agg(*(c.alias(name) for name, c in within.items()), F.min("metres").alias("nearest"))
+    found = stations.join(sums, [*on, "s_lon", "s_lat"])
+    return found.groupBy(*on, "id").agg(*(F.sum(name).alias(name) for name in radii), F.min("nearest").alias("nearest"))
+
+
 def leg_templates(stops: DataFrame, service: list[str], trip: list[str], time: str, station: str, place: str) -> DataFrame:
     """Distinct legs of each service: seq, leg_from, leg_to, direction (by the stations' order ``place`` on the line).
 

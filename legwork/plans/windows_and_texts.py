@@ -220,7 +220,7 @@ def q_nearest_point(t):
 @query(f"with {GEO} select id, count(*) filter (m <= 200) as within_200, count(*) as within_400, round(min(m), 3) as nearest from d where m <= 400 group by id")
 def q_radius(t):
     p, s = places(t)
-    return topology.within_radius(p, s, 400.0).groupBy("id").agg(F.count_if(F.col("metres") <= 200).alias("within_200"), F.count(F.lit(1)).alias("within_400"), F.round(F.min("metres"), 3).alias("nearest"))
+    return topology.radius_counts(p, s, {"within_200": 200.0, "within_400": 400.0}).withColumn("nearest", F.round("nearest", 3))
 
 
 @query("""
