@@ -48,9 +48,15 @@ def within_radius(points: DataFrame, stations: DataFrame, radius: float, lon: st
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, key: list[str], radius: float, on: list[str] | None = None) -> DataFrame:
-    """Each point's nearest station within ``radius`` (ties: least id); points without one are left out."""
-    pairs = within_radius(points, stations, radius, on=on)
-    return pairs.groupBy(*key).agg(F.min_by(F.struct("id", "metres"), F.struct("metres", "id")).alias("_n")).select(*key, "_n.id", "_n.metres")
+    """Each point's nearest station within ``radius`` (ties: least id); points without one are left out.
+
+    Distinct places of points meet distinct places of stations, each with its least id; points then look up their place.
+    """
+    place = [*(on or []), "lon", "lat"]
+    heads = stations.groupBy(*(on or []), "s_lon", "s_lat").agg(F.min("id").alias("id"))
+    pairs = within_radius(points.select(*place).distinct(), heads, radius, on=on)
+    best = pairs.groupBy(*place).agg(F.min_by(F.struct("id", "metres"), F.struct("metres", "id")).alias("_n"))
+    return points.join(best, place).groupBy(*key).agg(F.min_by("_n", F.struct("_n.metres", "_n.id")).alias("_n")).select(*key, "_n.id", "_n.metres")
 
 
 def radius_counts(points: DataFrame, stations: DataFrame, radii: dict[str, float], lon: str = "lon", lat: str = "lat", on: list[str] | None = None) -> DataFrame:

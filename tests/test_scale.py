@@ -37,3 +37,13 @@ def test_radius_counts_pair_places_once(spark, pairs):
     got = {r["id"]: (r["near"], r["far"], r["nearest"]) for r in topology.radius_counts(points, stations, {"near": 10.0, "far": 100.0}).collect()}
     assert got == {i: (200 if i % 2 == 0 else 100, 300, 0.0) for i in range(200)}
     assert pairs == [4]
+
+
+def test_nearest_station_pairs_places_once(spark, pairs):
+    points, stations = copies(spark)
+    points = points.withColumn("y", (F.col("k") % 2).cast("int"))
+    stations = stations.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("y"))).where("id + y > 1")
+    got = values(topology.nearest_station(points, stations, ["k", "y"], 100.0, on=["y"]), "k", "y", "id", "metres")
+    least = {(0, True): 2, (0, False): 3, (1, True): 2, (1, False): 1}  # by year and place
+    assert sorted(got) == [(k, k % 2, least[k % 2, k % 3 != 0], 0.0) for k in range(300)]
+    assert pairs == [8]
