@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from legwork.operators import topology
+from legwork.plans.model_queries import model_rows
+from legwork.plans.registry import Tables
 
 
 def values(df, *columns):
@@ -47,3 +49,11 @@ def test_nearest_station_pairs_places_once(spark, pairs):
     least = {(0, True): 2, (0, False): 3, (1, True): 2, (1, False): 1}  # by year and place
     assert sorted(got) == [(k, k % 2, least[k % 2, k % 3 != 0], 0.0) for k in range(300)]
     assert pairs == [8]
+
+
+def test_model_rows_join_once(spark):
+    rows = model_rows(Tables(spark, "/root/testdata/sf0.001"), F.col("year") == 1997)
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("year(o_orderdate) = 1997")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert rows.count() == lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).count() > 0
