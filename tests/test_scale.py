@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from legwork.operators import topology
+from legwork.plans import wide_tables_and_services
 from legwork.plans.model_queries import model_rows
 from legwork.plans.registry import Tables
 
@@ -57,3 +58,8 @@ def test_model_rows_join_once(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("year(o_orderdate) = 1997")
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     assert rows.count() == lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).count() > 0
+
+
+def test_constant_wide_deals_source_columns(spark):
+    plan = wide_tables_and_services.q_constant_wide(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(k#" not in plan
