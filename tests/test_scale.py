@@ -1,10 +1,12 @@
 """Work that must not grow faster than the tables: counts of rows, passes and values at the places that once did."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from legwork.operators import topology
-from legwork.plans import wide_tables_and_services
+from legwork.plans import aggregates_and_decisions, wide_tables_and_services
 from legwork.plans.model_queries import model_rows
 from legwork.plans.registry import Tables
 
@@ -63,3 +65,8 @@ def test_model_rows_join_once(spark):
 def test_constant_wide_deals_source_columns(spark):
     plan = wide_tables_and_services.q_constant_wide(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(k#" not in plan
+
+
+def test_human_baseline_keeps_no_sets_of_trips(spark):
+    plan = aggregates_and_decisions.q_human_baseline(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[veh#\d+L?, day#\d+, trip#", plan)
