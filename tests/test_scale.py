@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from legwork.operators import topology
+from legwork.operators import models, topology, tuning
 from legwork.plans import aggregates_and_decisions, wide_tables_and_services
 from legwork.plans.model_queries import model_rows
 from legwork.plans.registry import Tables
@@ -70,3 +70,39 @@ def test_constant_wide_deals_source_columns(spark):
 def test_human_baseline_keeps_no_sets_of_trips(spark):
     plan = aggregates_and_decisions.q_human_baseline(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"keys=\[veh#\d+L?, day#\d+, trip#", plan)
+
+
+def plain_boosting(trees, depth, rate):
+    return models.gbt("y", trees, depth, rate).setSubsamplingRate(1.0).setFeatureSubsetStrategy("all")
+
+
+def halving_rows(spark):
+    h = lambda k: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1000)) / 1000.0
+    df = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3 + 2020).cast("int").alias("year"), F.round(h(1), 1).alias("a"), F.when(F.col("id") % 5 > 0, F.round(h(2) * 20)).alias("b"), F.element_at(F.array(*map(F.lit, "pqrs")), (F.col("id") % 4 + 1).cast("int")).alias("c"), h(3).alias("e"))
+    return df.select("k", "year", "a", "b", "c", (F.col("a") * 10 + F.coalesce("b", F.lit(3.0)) + F.when(F.col("c").isin("q", "s"), F.col("a") * 7).otherwise(2.0) + F.col("e")).alias("y"))
+
+
+def test_halving_gives_the_errors_of_single_fits_in_few_jobs(spark):
+    settings = {f"d{d}_r{r}": (lambda trees, d=d, r=r: plain_boosting(trees, d, r)) for d in (1, 2, 4) for r in (0.1, 0.4)}
+    rows, features = halving_rows(spark).cache(), ["a", "b", "c"]
+    rows.count()
+    spark.sparkContext.setJobGroup("halving", "halving")
+    got = tuning.successive_halving(rows, "year", [2020, 2021, 2022], features, "y", settings, [1, 3])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("halving"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = {(r["budget"], r["params"], r["fold"]): r["rmse"] for r in got.collect()}
+    assert len(found) == 18 and jobs < 70
+    for (budget, name, fold), rmse in found.items():
+        if budget == 3 or name == "d4_r0.1":
+            past = rows.where(F.col("year") < fold)
+            model = models.fit(past, features, settings[name](budget))
+            want = models.score(model, rows.where(F.col("year") == fold), features).agg(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("y"), 2)))).first()[0]
+            assert rmse == pytest.approx(want, rel=1e-9)
+
+
+def test_halving_does_not_depend_on_the_layout(spark):
+    settings = {f"d{d}": (lambda trees, d=d: models.gbt("y", trees, d, 0.3)) for d in (2, 3)}
+    search = lambda rows: tuning.successive_halving(rows, "year", [2020, 2021, 2022], ["a", "b", "c"], "y", settings, [1, 2]).orderBy("rung", "params", "fold").collect()
+    a, b = search(halving_rows(spark).repartition(2)), search(halving_rows(spark).repartition(7, "k"))
+    assert [r["params"] for r in a] == [r["params"] for r in b] and [r["n"] for r in a] == [r["n"] for r in b]
+    assert [r["rmse"] for r in a] == pytest.approx([r["rmse"] for r in b], rel=1e-9)
