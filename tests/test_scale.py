@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from legwork.operators import models, topology, tuning
+from legwork.operators import models, topology, tuning, wide
 from legwork.plans import aggregates_and_decisions, wide_tables_and_services
 from legwork.plans.model_queries import model_rows
 from legwork.plans.registry import Tables
@@ -106,3 +106,15 @@ def test_halving_does_not_depend_on_the_layout(spark):
     a, b = search(halving_rows(spark).repartition(2)), search(halving_rows(spark).repartition(7, "k"))
     assert [r["params"] for r in a] == [r["params"] for r in b] and [r["n"] for r in a] == [r["n"] for r in b]
     assert [r["rmse"] for r in a] == pytest.approx([r["rmse"] for r in b], rel=1e-9)
+
+
+def test_codebook_blocks_are_compiled(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = t.lineitem.selectExpr(*(f"{e} as w{i}" for i, e in enumerate(wide_tables_and_services.WIDE)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows no code before it ran
+    try:
+        shown = wide.codebook(rows)._jdf.queryExecution().debug().codegenToSeq()
+        longest = [shown.apply(i)._3().maxMethodCodeSize() for i in range(shown.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert longest and max(longest) < 8000  # the JVM leaves longer methods uncompiled
