@@ -13,6 +13,10 @@ SMALL = 50_000
 SMALL_BYTES = 64 << 20
 
 
+#: Rows of a part of ``dealt``.
+DEALT = 1_000_000
+
+
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows and about SMALL_BYTES, else as it is (Spark then shuffles)."""
     width = sum(20 + (60 if k == "string" or "<" in k else 0) for _, k in df.dtypes)
@@ -195,3 +199,12 @@ def guarded_lookup(facts: DataFrame, dim: DataFrame, on: list[str]) -> tuple[Dat
     out = facts.observe(guard._facts, F.count(F.lit(1)).alias("rows_in")).join(once, on, "left")
     out = out.observe(guard._out, F.count(F.lit(1)).alias("rows_out"), F.count_if(F.col("_n").isNull()).alias("unmatched"))
     return out.select(*facts.columns, *(F.col(f"_d.{c}").alias(c) for c in others)), guard
+
+
+def dealt(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """``rows`` shuffled by ``keys`` into as many parts as hold ``DEALT`` of ``count`` rows each (as they are if Spark's own number of parts does), so that what a task sorts or groups afterwards does not grow with the table.
+
+    Groupings and windows whose keys begin with these need no other shuffle.
+    """
+    parts = -(-count // DEALT)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows

@@ -24,7 +24,8 @@ trips as (select day, trip, pri, st, round(max(pred), 6) as score, max(load) as
 def leg_rows(t):
     o = t.orders.select(F.col("o_orderkey").alias("trip"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("pri"), F.col("o_orderstatus").alias("st"), "o_custkey")
     lines = t.lineitem.select(F.col("l_orderkey").alias("trip"), (F.col("l_extendedprice") / 1000).alias("pred"), (F.col("l_quantity") * 2).alias("load"), (F.col("l_discount") * 1000).alias("booked"), "l_suppkey", "l_linenumber")
-    return lines.join(o, "trip")
+    count = t.lineitem.count()  # from the files' footers
+    return joins.dealt(lines, ["trip"], count).join(joins.dealt(o, ["trip"], count), "trip")
 
 
 def trip_rows(t):
@@ -451,7 +452,8 @@ select count(*) as trips, count(*) filter (label) as justified, count(*) filter
   round(count(distinct case when lab then (veh, day, blk) end) / count(distinct (veh, day, blk))::double, 6) as precision_blocks from c
 """)
 def q_block_grain(t):
-    l = leg_rows(t).groupBy(F.col("l_suppkey").alias("veh"), "day", "trip").agg(F.bool_or(F.col("load") > 50).alias("coupled"), F.bool_or(F.col("load") > 90).alias("label"))  # noqa: E741
+    legs = joins.dealt(leg_rows(t).select(F.col("l_suppkey").alias("veh"), "day", "trip", "load"), ["veh", "day"], t.lineitem.count())
+    l = legs.groupBy("veh", "day", "trip").agg(F.bool_or(F.col("load") > 50).alias("coupled"), F.bool_or(F.col("load") > 90).alias("label"))  # noqa: E741
     b = windows.islands(l, ["veh", "day"], ["trip"], ["coupled"])
     out = decision.block_evaluation(b, ["veh", "day", "island"], "coupled", "label")
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "precision_inherited", "precision_blocks")})

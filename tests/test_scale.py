@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from legwork.operators import models, topology, tuning, wide
+from legwork.operators import joins, models, topology, tuning, wide
 from legwork.plans import aggregates_and_decisions, wide_tables_and_services
 from legwork.plans.model_queries import model_rows
 from legwork.plans.registry import Tables
@@ -118,3 +118,13 @@ def test_codebook_blocks_are_compiled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert longest and max(longest) < 8000  # the JVM leaves longer methods uncompiled
+
+
+def test_block_grain_deals_bounded_parts(spark, monkeypatch):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    want = aggregates_and_decisions.q_block_grain(t).collect()
+    monkeypatch.setattr(joins, "DEALT", 500)
+    got = aggregates_and_decisions.q_block_grain(t)
+    parts = re.findall(r"hashpartitioning\((\w+)#.*?, (\d+)\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
+    count = str(-(-t.lineitem.count() // 500))
+    assert set(parts) == {("trip", count), ("veh", count)} and got.collect() == want
