@@ -23,6 +23,13 @@ key; that digest alone undoes pseudonyms too, so plans are as secret as the key
 Nothing is shuffled, no Python runs on the executors; texts without a digit or an @
 are passed on after one search, texts without a candidate after two.
 
+Java's matcher calls itself for each repetition of a group that may be of several
+lengths; a text with some thousand of them in a row (a table of digits, a dotted
+chain after an @) then overflows the stack, which ends the executor and not only the
+task. Such groups are possessive here, which Java repeats in a loop, and written so
+that they find what the plain ones would. Long runs of digits are searched in steps
+of the longest card, so work and memory are linear in them.
+
 Cases: null and empty texts stay as they are; overlapping candidates are taken
 from left to right, the longer kind first; a date that reads day first is taken so,
 others month first; repeated rows give equal results; null ids are rows like
@@ -39,15 +46,17 @@ from pyspark.sql import functions as F
 
 # The formats of personal data.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Labels of a mail domain that can't be its last, as they don't begin with two letters; the last that can be is the domain's end, up to where its letters end.
+LABELS = r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]+)*+"
 FORMATS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]{{1,64}}@[A-Za-z0-9-]++(?:{LABELS}\.[A-Za-z]{{2}}[A-Za-z0-9-]*+(?={LABELS}\.[A-Za-z]{{2}}))*+{LABELS}\.[A-Za-z]{{2,}}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "iso_date": r"(?<!\d)\d{4}([-/.])(?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12]\d|3[01])(?!\d)",
     "day_date": r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])[./-](?:0?[1-9]|[12]\d|3[01])[./-](?:1[6-9]|20)\d{2}(?!\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,}(?!\d)",
+    "card": r"(?<!\d)\d(?:[ -]?\d){12,}+(?!\d)",
 }
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"]
 #: Country codes of one and two digits in the numbering plan; all others have three.
@@ -183,30 +192,42 @@ def card(value: Column, key: str) -> Column:
     return refilled(value, numbers)
 
 
+def joined(chars: Column, first: Column, last: Column) -> Column:
+    """The characters of an array from ``first`` to ``last``, both counted from 1; places beyond its end are left out."""
+    return F.when(last >= first, F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(chars, i - 1)), "")).otherwise("")
+
+
 def with_cards(found: Column, key: str) -> Column:
-    """``found`` with every run of digits between group borders that is a valid card replaced, from left to right, longest first; null without any."""
+    """``found`` with every run of digits between group borders that is a valid card replaced, from left to right, longest first; null without any.
+
+    No run longer than twice the digits of a card is looked at, and characters are read from an array, so the work is linear.
+    """
     low, high = CARD_DIGITS
+    inside = lambda chars, i: F.coalesce(is_digit(F.get(chars, i - 1)), F.lit(False))
 
-    def valid(text: Column, first: Column, last: Column) -> Column:
-        return let(digits(part(text, first, last)), lambda n: F.length(n).between(low, high) & (luhn(n, 1) == 0))
+    def valid(run: Column) -> Column:
+        return let(digits(run), lambda n: F.length(n).between(low, high) & (luhn(n, 1) == 0))
 
-    def best(text: Column, first: Column, ends: Column) -> Column:
-        near = F.filter(ends, lambda e: (e - first).between(low - 1, 2 * high) & valid(text, first, e))
-        return F.struct(first.alias("first"), F.array_max(near).alias("last"))
+    def best(chars: Column, first: Column) -> Column:
+        ends = lambda ahead: F.filter(F.sequence(F.lit(low), F.lit(2 * high + 1)), lambda k: inside(chars, first + k - 1) & ~inside(chars, first + k) & valid(F.substring(ahead, F.lit(1), k)))
+        return F.struct(first.alias("first"), (first - 1 + F.array_max(let(joined(chars, first, first + 2 * high), ends))).alias("last"))
 
-    def replace(text: Column, state: Column, run: Column) -> Column:
-        out = F.concat(state["out"], part(text, state["at"], run["first"] - 1), card(part(text, run["first"], run["last"]), key))
-        return F.when(run["first"] < state["at"], state).otherwise(F.struct((run["last"] + 1).alias("at"), out.alias("out")))
+    def keep(state: Column, run: Column) -> Column:
+        more = F.struct((run["last"] + 1).alias("at"), F.concat(state["kept"], F.array(run)).alias("kept"))
+        return F.when(run["first"] < state["at"], state).otherwise(more)
 
-    def rebuilt(text: Column, runs: Column) -> Column:
-        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-        return F.when(F.size(runs) > 0, F.aggregate(runs, start, lambda state, run: replace(text, state, run), lambda s: F.concat(s["out"], part(text, s["at"], F.length(text)))))
+    def rebuilt(chars: Column, kept: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(kept, i - 1)["last"] + 1, F.lit(1))
+        pieces = F.transform(kept, lambda run, i: F.concat(joined(chars, after(i), run["first"] - 1), card(joined(chars, run["first"], run["last"]), key)))
+        return F.when(F.size(kept) > 0, F.concat(F.array_join(pieces, ""), joined(chars, after(F.size(kept)), F.size(chars))))
 
-    def search(text: Column) -> Column:
-        runs = let(borders(text, is_digit, 1), lambda ends: F.filter(F.transform(borders(text, is_digit, -1), lambda first: best(text, first, ends)), lambda r: r["last"].isNotNull()))
-        return let(runs, lambda r: rebuilt(text, r))
+    def search(chars: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: inside(chars, i) & ~inside(chars, i - 1))
+        runs = F.filter(F.transform(firsts, lambda first: best(chars, first)), lambda r: r["last"].isNotNull())
+        start = F.struct(F.lit(1).alias("at"), F.filter(F.array(F.struct(F.lit(0).alias("first"), F.lit(0).cast("int").alias("last"))), lambda r: r["first"] > 0).alias("kept"))
+        return let(F.aggregate(runs, start, keep, lambda s: s["kept"]), lambda kept: rebuilt(chars, kept))
 
-    return let(found, lambda text: F.when(F.length(text) >= low, search(text)))
+    return let(found, lambda text: F.when(F.length(text) >= low, let(F.split(text, ""), search)))
 
 
 def recased(text: Column, shape: Column) -> Column:

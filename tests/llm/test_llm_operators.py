@@ -4,6 +4,7 @@ import bisect
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -692,6 +693,28 @@ def test_pseudonyms_of_odd_tables(spark):
     assert pii.report(odd(spark, ODD).limit(0), "k").count() == 0
 
 
+def test_pseudonyms_of_long_chains(spark):
+    """Thousands of digits, groups or labels in a row, on which Java's matcher overflowed its stack and ended the process."""
+    card, mail = "4111 1111 1111 1111", "jo@x.org"
+    texts = [card, mail, "7" * 20_000, f"{card} " * 300, "ab " + "12 345 6789 " * 700, f"jo@{'b.' * 20_000}com", f"jo@{'b.' * 20_000}c"]
+    new_card, new_mail, *out = pseudonyms(spark, texts)
+    assert new_card != card and new_mail != mail
+    assert out[0] == texts[2] and out[1] == f"{new_card} " * 300
+    assert re.sub(r"\d", "9", out[2]) == re.sub(r"\d", "9", texts[4])
+    assert out[3] == new_mail.split("@")[0] + texts[5][2:] and out[4] == texts[6]
+
+
+def test_mail_and_card_patterns_find_what_plain_ones_find(spark):
+    plain = {"email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "card": r"(?<!\d)\d(?:[ -]?\d){12,}(?!\d)"}
+    draw = random.Random(11)
+    texts = ["".join(draw.choice("aB1.-@") for _ in range(3)) + "@" + "".join(draw.choice("aaBc..1-@") for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    texts += ["".join(draw.choice("1234567890 -") for _ in range(draw.randint(10, 60))) for _ in range(3000)]
+    df = odd(spark, list(enumerate(texts)))
+    for kind, pattern in plain.items():
+        both = df.select(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(pii.FORMATS[kind]), F.lit(0)).alias("b"))
+        assert both.where("a != b").count() == 0 and both.where("size(b) > 0").count() > 200
+
+
 def test_no_python_in_the_native_plans(spark, docs):
     for frame in (pii.report(docs, "k"), sharding.shard_documents(docs)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
