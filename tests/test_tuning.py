@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from legwork.operators import models, quality, tuning
+from legwork.plans import all_queries, model_queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_penalties_equal_the_closed_form(spark):
@@ -96,3 +99,8 @@ def test_guards_of_histories(spark):
     assert broken(quality.first_gap(df, ["g"], "day", "h", 21)) == 1
     assert broken(quality.varies(df, ["g"], "h", 0.9, "leg")) == 0  # a and d have two legs and vary, null beside a value
     assert broken(quality.varies(df, ["g"], "h", 0.9)) == 1  # c does not
+
+
+def test_importance_query_takes_all_features(spark):
+    got = all_queries()["q_model_importance"](spark, SF).collect()
+    assert sorted(r["feature"] for r in got) == sorted(model_queries.FEATURES)
