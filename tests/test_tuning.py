@@ -104,3 +104,21 @@ def test_guards_of_histories(spark):
 def test_importance_query_takes_all_features(spark):
     got = all_queries()["q_model_importance"](spark, SF).collect()
     assert sorted(r["feature"] for r in got) == sorted(model_queries.FEATURES)
+
+
+def grown(monkeypatch):
+    """Trees and depth of every estimator that is fitted from now on, while one tree stands for all."""
+    seen, plain = [], models.fit
+
+    def fit(train, features, estimator):
+        seen.append((estimator.getMaxIter(), estimator.getMaxDepth()))
+        return plain(train, features, estimator.copy({estimator.maxIter: 1}))
+
+    monkeypatch.setattr(models, "fit", fit)
+    return seen
+
+
+def test_segmented_query_grows_all_trees(spark, monkeypatch):
+    seen = grown(monkeypatch)
+    got = all_queries()["q_model_segmented"](spark, SF).collect()
+    assert seen == [(300, 6)] * 2 and {r["segment"] for r in got} == {"low", "high", None}
