@@ -83,3 +83,11 @@ def test_stages_take_odd_rows(spark, odd_rows):
 def test_stages_take_empty_tables(spark, odd_rows):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd_rows.limit(0), SF).count() == 0
+
+
+def test_personal_data_stage_takes_long_chains(spark):
+    """The matcher overflowed its stack on such texts and ended the executors that read them."""
+    docs = spark.createDataFrame([(1, "12 345 6789 " * 700, 8400), (2, f"jo@{'b.' * 20_000}com 4111 1111 1111 1111", 40_026), (3, "none", 4)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["pii"](spark, docs, SF).collect()}
+    assert all(len(r["text"]) == r["n_chars"] for r in got.values())
+    assert got[3]["text"] == "none" and not got[2]["text"].startswith("jo@") and "4111 1111" not in got[2]["text"]
