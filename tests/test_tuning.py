@@ -122,3 +122,10 @@ def test_segmented_query_grows_all_trees(spark, monkeypatch):
     seen = grown(monkeypatch)
     got = all_queries()["q_model_segmented"](spark, SF).collect()
     assert seen == [(300, 6)] * 2 and {r["segment"] for r in got} == {"low", "high", None}
+
+
+def test_walk_forward_query_grows_all_trees(spark, monkeypatch):
+    seen = grown(monkeypatch)
+    got = all_queries()["q_model_walk_forward"](spark, SF).collect()
+    assert sorted(seen) == [(300, 4)] * 2 + [(300, 6)] * 2
+    assert {(r["params"], r["fold"]) for r in got} == {(p, f) for p in ("shallow", "deeper") for f in (1996, 1997, None)}
